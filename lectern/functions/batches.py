@@ -38,10 +38,14 @@ def vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 class BestRows:
     """The best ``k`` rows per question seen by one task, ties broken by id."""
 
+    PENDING_ROWS = 1 << 18
+
     def __init__(self, questions: int, k: int):
         self.k = k
         self.floor = np.full(questions, -np.inf)
         self.kept: pa.Table | None = None
+        self.fresh: list[pa.Table] = []
+        self.waiting = 0
 
     def offer(self, scores: np.ndarray, usable: np.ndarray, ids: pa.Array) -> None:
         """``scores`` is questions x rows; rows not ``usable`` do not count."""
@@ -54,16 +58,34 @@ class BestRows:
         question, row = np.nonzero((scores >= bar[:, None]) & np.isfinite(scores))
         if not len(question):
             return
-        fresh = pa.table({
+        self.fresh.append(pa.table({
             "question": pa.array(question, pa.int32()),
             "score": pa.array(scores[question, row]),
             "id": ids.take(pa.array(row)),
-        })
-        table = fresh if self.kept is None else pa.concat_tables([self.kept, fresh])
+        }))
+        self.waiting += len(question)
+        if self.waiting > max(self.PENDING_ROWS, self.kept.num_rows if self.kept is not None else 0):
+            self._settle()
+
+    def _settle(self) -> None:
+        table = pa.concat_tables(([self.kept] if self.kept is not None else []) + self.fresh)
+        self.fresh, self.waiting = [], 0
         order = [("question", "ascending"), ("score", "descending"), ("id", "ascending")]
         table = table.take(pc.sort_indices(table, sort_keys=order)).combine_chunks()
         question = table["question"].to_numpy()
         place = np.arange(len(question)) - np.searchsorted(question, question)
-        self.kept = table.filter(pa.array(place < self.k))
+        self.kept = table.filter(pa.array(place < self.k)).combine_chunks()
         full = place == self.k - 1
         self.floor[question[full]] = table["score"].to_numpy()[full]
+
+    def result(self, names: pa.Array, id_col: str) -> list[pa.RecordBatch]:
+        """``qid, id, score`` with the questions' own ids from ``names``."""
+        if self.fresh:
+            self._settle()
+        if self.kept is None:
+            return []
+        return pa.table({
+            "qid": names.take(self.kept["question"].combine_chunks()),
+            id_col: self.kept["id"],
+            "score": self.kept["score"],
+        }).to_batches()

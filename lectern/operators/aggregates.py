@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lectern.operators.filters import apply_filters, clean, filter_key, match_filters
-from lectern.plans.sizing import broadcast_within, top_per_group
+from lectern.plans.sizing import broadcast_within, staged, top_per_group
 from lectern.settings import DEFAULT_BUCKETS, FACET_LIMITS, QUESTION_BUCKETS
 
 
@@ -93,7 +93,8 @@ def multi_terms_agg(
         .agg(F.count(F.lit(1)).alias("count"))
     )
     cap = F.create_map(*[x for f, n in limits.items() for x in (F.lit(f), F.lit(n))])
-    totals = counts.groupBy("field").agg(F.count(F.lit(1)).alias("distinct"))
+    # counted through the count column: with the same columns as the ranking, both share one scan
+    totals = counts.groupBy("field").agg(F.count_if(F.col("count") > 0).alias("distinct"))
     order = [F.desc("count"), F.asc("value")]
     ranked = top_per_group(counts, ["field"], order, max(limits.values()), spread_on=["value"])
     ranked = ranked.withColumn("cap", cap[F.col("field")]).where(F.col("rk") <= F.col("cap"))
@@ -169,6 +170,8 @@ def terms_for_questions(
         .groupBy("spec", "field", "value")
         .agg(F.count(F.lit(1)).alias("count"))
     )
+    # lists and summaries are often written or joined apart; the corpus is read once for both
+    counts = staged(counts, "counts")
     order = [F.desc("count"), F.asc("value")]
     lists = top_per_group(counts, ["spec", "field"], order, max_buckets, spread_on=["value"])
     found = counts.groupBy("spec", "field").agg(

@@ -41,40 +41,43 @@ def embed_table(
     dim: int = 64,
     text_col: str = "text",
     vector_col: str = "embedding",
+    batch_size: int = 256,
 ) -> DataFrame:
     """Adds ``vector_col`` and ``embed_ok``.
 
-    Only the text goes to Python, in Arrow batches. A batch that fails is retried
-    text by text; a text that fails again gets a zero vector and ``embed_ok`` false,
-    and zero vectors never enter a search. A vector of the wrong length is a failure.
+    Only the text goes to Python, in Arrow batches; ``embed`` gets up to ``batch_size``
+    texts at a time. A call that fails is repeated on its halves, down to single texts; a
+    text that fails alone gets a zero vector and ``embed_ok`` false, and zero vectors never
+    enter a search. A vector of the wrong length is a failure.
     """
     embed = embed or HashedWords(dim)
 
-    def safe(texts: list[str]) -> tuple[list, list[bool]]:
+    def attempt(texts: list[str]) -> tuple[list, list[bool]]:
         try:
             found = [np.asarray(v, np.float32) for v in embed(texts)]
             if len(found) == len(texts) and all(v.shape == (dim,) for v in found):
                 return found, [True] * len(texts)
         except Exception:
-            pass  # retried one by one below
-        found, ok = [], []
-        for text in texts:
-            try:
-                vector = np.asarray(embed([text])[0], np.float32)
-                good = vector.shape == (dim,)
-            except Exception:
-                good = False
-            found.append(vector if good else np.zeros(dim, np.float32))
-            ok.append(good)
-        return found, ok
+            pass  # the halves are tried again below
+        if len(texts) == 1:
+            return [np.zeros(dim, np.float32)], [False]
+        half = len(texts) // 2
+        first, rest = attempt(texts[:half]), attempt(texts[half:])
+        return first[0] + rest[0], first[1] + rest[1]
 
     @F.pandas_udf("struct<vector:array<float>,ok:boolean>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            vector, ok = safe(texts.fillna("").tolist())
+            texts = texts.fillna("").tolist()
+            vector, ok = [], []
+            for at in range(0, len(texts), batch_size):
+                found, good = attempt(texts[at:at + batch_size])
+                vector += found
+                ok += good
             yield pd.DataFrame({"vector": vector, "ok": ok})
 
-    out = df.withColumn("__embedded", run(F.col(text_col)))
+    # declared non-deterministic so that the optimizer never copies the call, say into a filter
+    out = df.withColumn("__embedded", run.asNondeterministic()(F.col(text_col)))
     return out.select(
         *df.columns, F.col("__embedded.vector").alias(vector_col), F.col("__embedded.ok").alias("embed_ok")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -71,33 +72,44 @@ def match_filters(corpus: DataFrame, specs: DataFrame, carry: Sequence[str] = ()
 
     ``specs`` has ``spec`` (the :func:`filter_key`), ``filters`` (cleaned) and the
     ``carry`` columns, one row per filter map. Maps over the same fields are matched
-    with one equality join, so their number is not limited; few values also go to
-    the scan as an IN list. The collected part is the list of field sets.
+    with one equality join, so their number is not limited. A short list is read once
+    and its values also go to the scan as IN lists.
     """
-    keys = F.array_sort(F.map_keys("filters"))
-    sets = specs.groupBy(keys.alias("fields")).count().collect()
-    branches = []
-    for fields, count in sets:
-        part = specs.where(keys == F.array(*[F.lit(f) for f in fields]).cast("array<string>"))
-        if not fields:
-            # the empty map: one row at most, all documents match it
-            row = part.select("spec", *carry).first()
-            lits = [F.lit(row[c]).alias(c) for c in ("spec", *carry)]
-            branches.append(corpus.select("*", *lits))
-            continue
-        values = part.select(
-            "spec", *carry,
-            *[F.col("filters")[f].try_cast(corpus.schema[f].dataType).alias(f"__{f}") for f in fields],
-        )
-        docs = corpus
-        if count <= IN_LIST_VALUES:
-            rows = values.select(*[f"__{f}" for f in fields]).collect()
-            for f in fields:
-                docs = docs.where(F.col(f).isin(sorted({r[f"__{f}"] for r in rows if r[f"__{f}"] is not None})))
-        on = reduce(lambda a, b: a & b, [docs[f] == values[f"__{f}"] for f in fields])
-        joined = docs.join(broadcast_within(values, count), on)
-        branches.append(joined.drop(*[f"__{f}" for f in fields]))
+    specs = specs.select("spec", "filters", *carry)
+    head = specs.limit(IN_LIST_VALUES + 1).collect()
+    short = len(head) <= IN_LIST_VALUES
+    if short:
+        sets = Counter(tuple(sorted(row["filters"])) for row in head)
+    else:
+        fields = F.array_sort(F.map_keys("filters"))
+        sets = {tuple(r[0]): r[1] for r in specs.groupBy(fields).count().collect()}
+    branches = [
+        _match_set(corpus, specs, fields, count, carry, head if short else None) for fields, count in sorted(sets.items())
+    ]
     if not branches:
-        lits = [F.lit(None).cast(specs.schema[c].dataType).alias(c) for c in ("spec", *carry)]
-        return corpus.select("*", *lits).limit(0)
+        empty = [F.lit(None).cast(specs.schema[c].dataType).alias(c) for c in ("spec", *carry)]
+        return corpus.select("*", *empty).limit(0)
     return reduce(DataFrame.unionByName, branches)
+
+
+def _match_set(corpus, specs, fields, count, carry, rows) -> DataFrame:
+    """Documents matching the filter maps over exactly these ``fields``."""
+    keys = F.array_sort(F.map_keys("filters"))
+    part = specs.where(keys == F.array(*[F.lit(f) for f in fields]).cast("array<string>"))
+    if rows is not None:
+        mine = [r for r in rows if tuple(sorted(r["filters"])) == fields]
+        part = corpus.sparkSession.createDataFrame(mine, specs.schema)
+    if not fields:
+        # the empty map: one row, and all documents match it
+        row = part.first()
+        return corpus.select("*", *[F.lit(row[c]).alias(c) for c in ("spec", *carry)])
+    docs = corpus
+    for f in fields:
+        kind = corpus.schema[f].dataType
+        if rows is not None:
+            wanted = sorted({r["filters"][f] for r in mine})
+            docs = docs.where(F.col(f).isin([F.lit(v).try_cast(kind) for v in wanted]))
+        part = part.withColumn(f"__{f}", F.col("filters")[f].try_cast(kind))
+    on = reduce(lambda a, b: a & b, [docs[f] == part[f"__{f}"] for f in fields])
+    joined = docs.join(broadcast_within(part.drop("filters"), count), on)
+    return joined.drop(*[f"__{f}" for f in fields])

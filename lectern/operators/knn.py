@@ -79,11 +79,7 @@ def knn_search(
 
 def _exact(corpus: DataFrame, questions: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
     """Every task scores its own documents against the block of questions and keeps k rows per question."""
-    row_bytes = 8 * (_dimension(questions) or 1) + 256
-    found = [
-        _one_pass(corpus, block, questions, k, id_col, vector_col)
-        for block in passes(questions, row_bytes=row_bytes)
-    ]
+    found = [_one_pass(corpus, block, questions, k, id_col, vector_col) for block in passes(questions)]
     if not found:
         schema = f"qid {_ddl(questions, 'qid')}, {id_col} {_ddl(corpus, id_col)}, score double"
         return corpus.sparkSession.createDataFrame([], schema)
@@ -102,7 +98,10 @@ def _ddl(df: DataFrame, col: str) -> str:
 def _one_pass(
     corpus: DataFrame, block: pa.Table, questions: DataFrame, k: int, id_col: str, vector_col: str
 ) -> DataFrame:
-    dim = max(pc.max(pc.list_value_length(block["vector"])).as_py() or 0, 0)
+    lengths = pc.unique(pc.list_value_length(block["vector"])).drop_null().to_pylist()
+    if len(lengths) > 1:
+        raise ValueError(f"question vectors differ in length: {sorted(lengths)}")
+    dim = lengths[0] if lengths else 0
     rows, matrix = vectors(block["vector"].combine_chunks(), dim)
     block = block.take(pa.array(rows))
     qids = block["qid"].combine_chunks()
@@ -143,13 +142,7 @@ def _one_pass(
                         fits &= same.to_numpy(zero_copy_only=False)[rows]
                     usable[ix] = fits
                 best.offer(scores, usable, ids)
-        if best.kept is not None:
-            out = best.kept
-            yield from pa.table({
-                "qid": names.take(out["question"].combine_chunks()),
-                id_col: out["id"],
-                "score": out["score"],
-            }).to_batches()
+        yield from best.result(names, id_col)
 
     schema = f"qid {_ddl(questions, 'qid')}, {id_col} {_ddl(corpus, id_col)}, score double"
     return docs.mapInArrow(search, schema)

@@ -16,11 +16,12 @@ from lectern.functions.batches import BestRows, words
 from lectern.functions.text import text_fields
 from lectern.operators.filters import clean, filter_key, match_filters
 from lectern.operators.questions import passes
-from lectern.plans.sizing import broadcast_within, top_per_group
+from lectern.plans.sizing import broadcast_within, spread_small, top_per_group
 from lectern.settings import BM25_B, BM25_K1, LEXICAL_DOCS, LEXICAL_FIELDS, LEXICAL_PAGE
 
 RANK_DECIMALS = 9
 CELLS_PER_STEP = 1 << 21
+PAIRS_PER_STEP = 1 << 21
 TOTALS = ""  # the row of a field's totals in the statistics
 
 
@@ -70,7 +71,7 @@ def term_statistics(
                     "words": pa.array([len(flat)] + [0] * (len(names) - 1), pa.int64()),
                 })
 
-    counted = corpus.select(*fields).mapInArrow(count, "field string, term string, docs bigint, words bigint")
+    counted = spread_small(corpus.select(*fields)).mapInArrow(count, "field string, term string, docs bigint, words bigint")
     return counted.groupBy("field", "term").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words"))
 
 
@@ -150,16 +151,10 @@ def _one_pass(
                         np.maximum(score, field, out=score)
                 score = np.round(score.T, RANK_DECIMALS)
                 best.offer(score, score > 0, part.column(0))
-        if best.kept is not None:
-            out = best.kept
-            yield from pa.table({
-                "qid": names.take(out["question"].combine_chunks()),
-                id_col: out["id"],
-                "score": out["score"],
-            }).to_batches()
+        yield from best.result(names, id_col)
 
     schema = f"qid {_ddl(questions, 'qid')}, {id_col} {_ddl(corpus, id_col)}, score double"
-    return corpus.select(id_col, *fields).mapInArrow(search, schema)
+    return spread_small(corpus.select(id_col, *fields)).mapInArrow(search, schema)
 
 
 def _weights(stats: pa.Table, fields: list[str], terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -188,13 +183,23 @@ def _field_scores(texts: pa.Array, terms, holders, idf: np.ndarray, mean: float,
     row, term = cell // n_t, cell % n_t
     damp = BM25_K1 * (1 - BM25_B + BM25_B * length[row] / mean)
     weight = idf[term] * times * (BM25_K1 + 1) / (times + damp)
-    # hand each term's weight to the questions that ask for it
+    # hand each term's weight to the questions that ask for it, a bounded number of pairs at a time
     start, asker, asked_times = holders
     fan = start[term + 1] - start[term]
+    out = np.zeros((n_rows, n_q))
     ends = np.cumsum(fan)
-    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - fan, fan) + np.repeat(start[term], fan)
-    to = np.repeat(row, fan) * n_q + asker[at]
-    return np.bincount(to, np.repeat(weight, fan) * asked_times[at], minlength=n_rows * n_q).reshape(n_rows, n_q)
+    steps = np.arange(PAIRS_PER_STEP, ends[-1] if len(ends) else 0, PAIRS_PER_STEP)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, steps), [len(fan)]]))
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        f, r, first = fan[lo:hi], row[lo:hi], start[term[lo:hi]]
+        if not f.sum():
+            continue
+        at = np.arange(f.sum()) - np.repeat(np.cumsum(f) - f, f) + np.repeat(first, f)
+        to = np.repeat(r - r[0], f) * n_q + asker[at]
+        share = np.repeat(weight[lo:hi], f) * asked_times[at]
+        span = r[-1] - r[0] + 1
+        out[r[0]:r[-1] + 1] += np.bincount(to, share, minlength=span * n_q).reshape(span, n_q)
+    return out
 
 
 def filtered_page(

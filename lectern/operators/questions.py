@@ -35,22 +35,23 @@ def passes(
     key: str = "qid",
     rows: int = QUESTIONS_PER_PASS,
     size: int = QUESTION_BYTES_PER_PASS,
-    row_bytes: int = 1024,
 ) -> Iterator[pa.Table]:
     """The question table in Arrow blocks small enough to hand to every task.
 
     One block is the normal case. More questions are split by hash into several
-    blocks, each answered in its own pass over the corpus.
+    blocks, each answered in its own pass over the corpus; the driver holds one at a time.
     """
-    per_pass = max(1, min(rows, size // row_bytes))
-    total = questions.count()
-    blocks = -(-total // per_pass)
-    if blocks <= 1:
-        if total:
-            yield questions.toArrow()
+    head = questions.limit(rows + 1).toArrow()
+    if head.num_rows <= rows:
+        yield from _slices(head, size)
         return
+    blocks = -(-questions.count() // (rows // 2))
     slot = F.pmod(F.xxhash64(key), F.lit(blocks))
     for b in range(blocks):
-        table = questions.where(slot == b).toArrow()
-        if table.num_rows:
-            yield table
+        yield from _slices(questions.where(slot == b).toArrow(), size)
+
+
+def _slices(table: pa.Table, size: int) -> Iterator[pa.Table]:
+    step = max(1, table.num_rows * size // max(table.nbytes, size))
+    for at in range(0, table.num_rows, step):
+        yield table.slice(at, step)

@@ -116,7 +116,8 @@ def generate_text(prompts: DataFrame, generate: Generate | None = None, out: str
         for batch in batches:
             yield pd.Series(generate(batch.tolist()), dtype="object")
 
-    return prompts.withColumn(out, run(F.col("prompt")))
+    # declared non-deterministic so that the optimizer never copies the call
+    return prompts.withColumn(out, run.asNondeterministic()(F.col("prompt")))
 
 
 def build_prompts(chunks: DataFrame, notes: bool = False) -> DataFrame:

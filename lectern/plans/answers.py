@@ -87,8 +87,8 @@ def answer_questions(
 
     if present.keys() & {"direct_aggregation", "aggregation_plus_llm"}:
         lists, summaries = agg.terms_for_questions(vectors, listing, max_buckets)
-        summaries = staged(summaries, "summaries").withColumnRenamed("field", "enum_field")
-        lists = staged(lists, "lists").withColumnRenamed("field", "enum_field")
+        summaries = summaries.withColumnRenamed("field", "enum_field")
+        lists = lists.withColumnRenamed("field", "enum_field")
         keyed = agg.with_spec(listing).join(broadcast_within(summaries, n_questions), ["spec", "enum_field"])
         sample = None
         if with_sources or "aggregation_plus_llm" in present:

@@ -37,8 +37,11 @@ def read_reports(spark: SparkSession, path: str, format: str = "json", qid: str
     schema = f"report_id string, saved_at timestamp, {REPORT.format(qid=qid)}"
     reader = spark.read.option("recursiveFileLookup", True)
     if format == "json":
-        rows = reader.schema(f"{schema}, {CORRUPT} string").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-        return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+        # parsed from text: Spark refuses plain counts over a JSON reader's corrupt-record column
+        lines = reader.text(path).where(F.trim("value") != "")
+        options = {"columnNameOfCorruptRecord": CORRUPT}
+        parsed = lines.select(F.from_json("value", f"{schema}, {CORRUPT} string", options).alias("r")).select("r.*")
+        return parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     return reader.schema(schema).format(format).load(path)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lectern.functions.text import embedding_text
 from lectern.operators.embedding import Embed, HashedWords, embed_table
 from lectern.operators.knn import knn_search
-from lectern.plans.sizing import top_per_group
+from lectern.plans.sizing import spread_small, top_per_group
 from lectern.settings import EMBED_FIELDS, STORED_TEXT_CHARS
 
 VERSION = "version bigint, path string, published_at timestamp"
@@ -29,14 +29,14 @@ def with_vectors(
 ) -> DataFrame:
     """Documents with any text, plus ``embedding, embed_ok, embedded_text, embedded_at``.
 
-    The whole text is embedded; only the stored copy is cut. ``partitions`` spreads few
-    large files over more tasks before the embedding calls.
+    The whole text is embedded; only the stored copy is cut. ``partitions`` spreads
+    the documents over that many tasks before the embedding calls; by default only a table too
+    small for the scan to split is spread.
     """
     docs = corpus.withColumn("__text", embedding_text(corpus, fields)).where("__text <> ''")
     if limit:
         docs = docs.orderBy(id_col).limit(limit)
-    if partitions:
-        docs = docs.repartition(partitions)
+    docs = docs.repartition(partitions) if partitions else spread_small(docs)
     out = embed_table(docs, embed, dim, text_col="__text")
     stored = F.left("__text", F.lit(STORED_TEXT_CHARS))
     return out.withColumn("embedded_text", stored).withColumn("embedded_at", F.current_timestamp()).drop("__text")

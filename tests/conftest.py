@@ -1,6 +1,14 @@
+import os
+
 import pytest
 from pyspark.sql import SparkSession
 
+HERE = os.path.dirname(os.path.abspath(__file__))
+# Python workers import the packages and the helpers defined in tests
+os.environ["PYTHONPATH"] = os.pathsep.join(
+    [os.path.dirname(HERE), HERE, *filter(None, [os.environ.get("PYTHONPATH")])]
+)
+
 
 @pytest.fixture(scope="session")
 def spark():

@@ -42,13 +42,15 @@ def embed_table(
     text_col: str = "text",
     vector_col: str = "embedding",
     batch_size: int = 256,
+    strict: bool = False,
 ) -> DataFrame:
     """Adds ``vector_col`` and ``embed_ok``.
 
     Only the text goes to Python, in Arrow batches; ``embed`` gets up to ``batch_size``
     texts at a time. A call that fails is repeated on its halves, down to single texts; a
     text that fails alone gets a zero vector and ``embed_ok`` false, and zero vectors never
-    enter a search. A vector of the wrong length is a failure.
+    enter a search. A vector of the wrong length is a failure. With ``strict`` a failure
+    fails the job, as it should for questions.
     """
     embed = embed or HashedWords(dim)
 
@@ -57,8 +59,11 @@ def embed_table(
             found = [np.asarray(v, np.float32) for v in embed(texts)]
             if len(found) == len(texts) and all(v.shape == (dim,) for v in found):
                 return found, [True] * len(texts)
-        except Exception:
-            pass  # the halves are tried again below
+            problem = ValueError(f"embedding is not {len(texts)} vectors of length {dim}")
+        except Exception as e:
+            problem = e  # the halves are tried again below
+        if strict:
+            raise problem
         if len(texts) == 1:
             return [np.zeros(dim, np.float32)], [False]
         half = len(texts) // 2

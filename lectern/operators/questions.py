@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import folded, strip
 from lectern.operators.filters import accepted
+from lectern.plans.sizing import staged
 from lectern.rules import DEFAULT_MODE, MODES
 from lectern.settings import FILTER_FIELDS, QUESTION_BYTES_PER_PASS, QUESTIONS_PER_PASS
 
@@ -45,6 +46,7 @@ def passes(
     if head.num_rows <= rows:
         yield from _slices(head, size)
         return
+    questions = staged(questions, "questions")  # every block reads them again
     blocks = -(-questions.count() // (rows // 2))
     slot = F.pmod(F.xxhash64(key), F.lit(blocks))
     for b in range(blocks):

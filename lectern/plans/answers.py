@@ -13,7 +13,7 @@ from lectern.operators import synthesis
 from lectern.operators.context import build_context, chunk_context
 from lectern.operators.embedding import Embed, HashedWords, embed_table
 from lectern.operators.filters import clean
-from lectern.operators.hits import citation, citations, dedup_hits, fetch_docs, merge_hits, rank_hits
+from lectern.operators.hits import CITATION, citations, dedup_hits, fetch_docs, merge_hits, rank_hits
 from lectern.operators.knn import knn_search
 from lectern.operators.lexical import filtered_page, lexical_search, page_limit
 from lectern.operators.reports import build_reports
@@ -57,7 +57,8 @@ def answer_questions(
 
     ``questions`` has ``qid, query, mode, filters``; ``vectors`` is a vector table. All
     questions of a kind are answered together: one pass for the value lists, one for the
-    vector search, one for the word search and one to fetch the documents found.
+    vector search, two for the word search (one with saved ``statistics``) and one to fetch
+    the documents found.
     Search results and generated texts are written to the shared folder between steps.
     ``max_sources`` cuts the citations of chunked answers (8 in the documented form);
     by default every source the context numbers is cited. ``with_sources`` adds
@@ -75,52 +76,64 @@ def answer_questions(
     listing = asked.where(F.col("strategy").isin("direct_aggregation", "aggregation_plus_llm"))
     searching = asked if with_sources else asked.where("strategy <> 'direct_aggregation'")
 
-    parts: list[DataFrame] = []
-    docs = vectors.select(*[c for c in dict.fromkeys(("doc_id", *SHOWN)) if c in vectors.columns])
     total_docs = vectors.count()
+    counting = present.keys() & {"direct_aggregation", "aggregation_plus_llm"}
+    lists = summaries = hits = merged = None
 
-    hits = None
-    if any(s != "direct_aggregation" for s in present) or with_sources:
-        vectored = embed_table(searching, embed or HashedWords(dim), dim, text_col="query", vector_col="vector")
-        near = knn_search(vectors, staged(vectored.where("embed_ok"), "vectors"), KNN_K)
-        hits = staged(near, "knn")
-
-    if present.keys() & {"direct_aggregation", "aggregation_plus_llm"}:
+    if counting:
         lists, summaries = agg.terms_for_questions(vectors, listing, max_buckets)
-        summaries = summaries.withColumnRenamed("field", "enum_field")
         lists = lists.withColumnRenamed("field", "enum_field")
+        summaries = summaries.withColumnRenamed("field", "enum_field")
+
+    if with_sources or present.keys() != {"direct_aggregation"}:
+        vectored = embed_table(
+            searching, embed or HashedWords(dim), dim, text_col="query", vector_col="vector", strict=True
+        )
+        hits = staged(knn_search(vectors, staged(vectored, "vectors"), KNN_K), "knn")
+    if "knn_chunked" in present:
+        merged = staged(_wide_search(of("knn_chunked"), hits, vectors, statistics), "merged")
+    found = None if hits is None else _found_docs(vectors, hits, merged, present, n_questions)
+
+    parts: list[DataFrame] = []
+    if counting:
         keyed = agg.with_spec(listing).join(broadcast_within(summaries, n_questions), ["spec", "enum_field"])
         sample = None
-        if with_sources or "aggregation_plus_llm" in present:
-            found = fetch_docs(hits.join(listing.select("qid"), "qid", "left_semi"), docs, n_questions * KNN_K)
-            sample = citations(found)
+        if hits is not None:
+            sample = citations(fetch_docs(hits.join(listing.select("qid"), "qid", "left_semi"), found))
         if "direct_aggregation" in present:
             parts.append(_listed(keyed, lists, sample if with_sources else None, total_docs, index_name))
         if "aggregation_plus_llm" in present:
             parts.append(_distributed(keyed, lists, sample, generate))
-
     if "knn_single" in present:
-        single = of("knn_single")
-        mine = hits.join(single.select("qid"), "qid", "left_semi")
-        found = staged(fetch_docs(mine, docs, n_questions * KNN_K), "found")
-        context = build_context(found, CONTEXT_CHARS)
-        prompts = single.join(context, "qid").withColumn(
-            "prompt", synthesis.single_prompt(F.col("mode"), F.col("context"), F.col("query"))
-        )
-        answers = synthesis.generate_text(prompts, generate).select(
-            "qid", "answer", F.length("context").alias("context_chars")
-        )
-        counts = mine.groupBy("qid").agg(F.count(F.lit(1)).alias("total_hits"))
-        counts = counts.withColumn("deduplicated_hits", F.col("total_hits"))
-        parts.append(_searched(single, answers, counts, citations(found)))
-
+        parts.append(_single(of("knn_single"), hits, found, generate))
     if "knn_chunked" in present:
-        parts.append(_chunked(of("knn_chunked"), hits, vectors, docs, generate, statistics, max_sources))
+        parts.append(_chunked(of("knn_chunked"), merged, found, generate, max_sources))
 
     answered = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return build_reports(answered, index_name, total_docs, model, embed_model, started)
 
 
+def _wide_search(asked: DataFrame, hits: DataFrame, vectors: DataFrame, statistics: DataFrame | None) -> DataFrame:
+    """Vector hits, then word hits not among them."""
+    near = hits.join(asked.select("qid"), "qid", "left_semi")
+    by_words = lexical_search(vectors, asked.where(F.size("filters") == 0), statistics=statistics)
+    # a question that carries filters gets the filtered page instead of a word search
+    pages = filtered_page(vectors, asked.where(F.size("filters") > 0))
+    columns = ["qid", "doc_id", "score", "rk"]
+    return merge_hits(near, by_words.select(*columns).unionByName(pages.select(*columns)))
+
+
+def _found_docs(vectors: DataFrame, hits: DataFrame, merged: DataFrame | None, present, n_questions: int) -> DataFrame:
+    """The shown columns of every document any question found: the one scan that reads them."""
+    columns = [c for c in dict.fromkeys(("doc_id", *SHOWN)) if c in vectors.columns]
+    ids = hits.select("doc_id")
+    bound = n_questions * KNN_K
+    if merged is not None:
+        ids = ids.union(merged.select("doc_id"))
+        bound += present["knn_chunked"] * (KNN_K + page_limit(LEXICAL_DOCS))
+    return staged(fetch_docs(ids.distinct(), vectors.select(*columns), bound), "found")
+
+
 AGGREGATION = "struct<field:string,total_unique:bigint,returned_values:bigint,is_complete:boolean>"
 
 
@@ -164,8 +177,6 @@ def _listed(keyed, lists, sample, total_docs, index_name) -> DataFrame:
 
 
 def _no_sources():
-    from lectern.operators.hits import CITATION
-
     return F.array().cast(f"array<{CITATION}>")
 
 
@@ -206,23 +217,29 @@ def _searched(asked, answers, counts, cited) -> DataFrame:
     )
 
 
-def _chunked(asked, hits, vectors, docs, generate, statistics, max_sources) -> DataFrame:
-    """Wide search, merged and ranked, read by the generator chunk by chunk."""
-    n = asked.count()
-    near = hits.join(asked.select("qid"), "qid", "left_semi")
-    by_words = lexical_search(vectors, asked.where(F.size("filters") == 0), statistics=statistics)
-    # a question that carries filters gets the filtered page instead of a word search
-    pages = filtered_page(vectors, asked.where(F.size("filters") > 0))
-    columns = ["qid", "doc_id", "score", "rk"]
-    merged = staged(merge_hits(near, by_words.select(*columns).unionByName(pages.select(*columns))), "merged")
-    found = fetch_docs(merged, docs, n * (KNN_K + page_limit(LEXICAL_DOCS)))
-    unique = dedup_hits(found)
-    ranked = staged(rank_hits(unique), "ranked")
-    sizes = merged.groupBy("qid").agg(F.count(F.lit(1)).alias("total_hits"))
-    # unique hits are counted on their keys, without their documents
+def _single(asked, hits, docs, generate) -> DataFrame:
+    """The nearest documents in one prompt."""
+    mine = staged(fetch_docs(hits.join(asked.select("qid"), "qid", "left_semi"), docs), "single")
+    prompts = asked.join(build_context(mine, CONTEXT_CHARS), "qid").withColumn(
+        "prompt", synthesis.single_prompt(F.col("mode"), F.col("context"), F.col("query"))
+    )
+    answers = synthesis.generate_text(prompts, generate).select(
+        "qid", "answer", F.length("context").alias("context_chars")
+    )
+    counts = mine.groupBy("qid").agg(F.count(F.lit(1)).alias("total_hits"))
+    return _searched(asked, answers, counts.withColumn("deduplicated_hits", F.col("total_hits")), citations(mine))
+
+
+def _chunked(asked, merged, docs, generate, max_sources) -> DataFrame:
+    """Many documents, merged and ranked, read by the generator chunk by chunk."""
+    # only the keys of the documents take part until the best are known
+    unique = dedup_hits(fetch_docs(merged, docs)).select("qid", "doc_id", "score", "rk", "merge_rk")
+    unique = staged(unique, "unique")
+    ranked = staged(fetch_docs(rank_hits(unique), docs), "ranked")
+    total = merged.groupBy("qid").agg(F.count(F.lit(1)).alias("total_hits"))
     distinct = unique.groupBy("qid").agg(F.count(F.lit(1)).alias("deduplicated_hits"))
     context = staged(build_context(ranked, CHUNKED_CONTEXT_CHARS), "context")
     chunks = asked.select("qid", "query", "mode").join(chunk_context(context), "qid")
     answers = synthesis.synthesize(chunks, generate)
     answers = answers.join(context.select("qid", F.length("context").alias("context_chars")), "qid")
-    return _searched(asked, answers, sizes.join(distinct, "qid"), citations(ranked, max_sources))
+    return _searched(asked, answers, total.join(distinct, "qid"), citations(ranked, max_sources))

@@ -414,6 +414,14 @@ WITH RECURSIVE {TOKENS}, {BM25}, {NEAR}, {MERGED}, {RANKED}, {contexts('ranked',
 SELECT qid, CAST(unnest(range(1, least(len(cs), 8) + 1)) AS INTEGER) AS chunk_no, unnest(cs[1:8]) AS chunk,
        CAST(least(len(cs), 8) AS INTEGER) AS n_chunks, CAST(greatest(len(cs) - 8, 0) AS INTEGER) AS n_dropped
 FROM packed""",
+    "corpus_count": "SELECT count(*) AS docs FROM documents",
+    "build_vector_table": f"""
+WITH {CORPUS}, marked AS (
+  SELECT doc_id, title, description, source_type,
+         CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN concat('labelled ', form_type) ELSE form_type END
+           AS form_type FROM corpus), {EMBED_TEXT.replace("FROM corpus", "FROM marked")}
+SELECT doc_id, form_type, true AS embed_ok, CAST(least(length(t), 10000) AS INTEGER) AS stored_chars
+FROM embed_text JOIN marked USING (doc_id) WHERE t <> ''""",
     "fixed_chunks": """
 WITH w AS (SELECT p_partkey, list_concat(string_split(p_name, ' '), [p_brand, p_type]) AS ws FROM part)
 SELECT p_partkey, CAST(i AS INTEGER) AS no, array_to_string(ws[i * 3 + 1 : i * 3 + 3], ',') AS items

@@ -141,8 +141,16 @@ def build_reports(spark, sf):
     )
 
 
+def corpus_count(spark, sf):
+    return spark.range(1).select(F.lit(L.corpus_count(corpus(spark, sf))).cast("bigint").alias("docs"))
+
+
+def _new_folder(spark, name):
+    return f"{staging_dir(spark)}/lectern/{name}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+
+
 def _saved(spark, sf):
-    path = f"{staging_dir(spark)}/lectern/reports-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    path = _new_folder(spark, "reports")
     L.save_reports(_enumeration_reports(spark, sf), path)
     return L.read_reports(spark, path, qid="string")
 
@@ -354,6 +362,22 @@ def synthesize(spark, sf):
 
 # --- vector table ----------------------------------------------------------
 
+def build_vector_table(spark, sf):
+    """Build a table, then build it again over itself with the languages of the labelled documents marked."""
+    docs, root = corpus(spark, sf), _new_folder(spark, "table")
+    L.build_vector_table(docs, root)
+    marked = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id").withColumn(
+        "form_type", F.concat(F.lit("labelled "), "form_type")
+    )
+    return L.build_vector_table(marked, root, mode="upsert").select(
+        "doc_id", "form_type", "embed_ok", F.length("embedded_text").alias("stored_chars")
+    )
+
+
+def try_search(spark, sf):
+    return L.try_search(vector_table(spark, sf), "the tion of here", k=3).select("doc_id", r4("score"), "rk")
+
+
 def upsert_vectors(spark, sf):
     old = table(spark, sf, "embeddings")
     new = old.select(
@@ -414,7 +438,7 @@ QUERIES = {
         build_reports, list_reports, load_report, classify, resolve_field, route, check_questions, parse_filters,
         apply_filters, knn_topk, knn_filtered, knn_min_score, knn_approx, knn_recent, term_statistics, lexical_bm25,
         filtered_page, embed_documents, hybrid_merge, rank_hits, dedup_content, dedup_field, uncovered_values,
-        citations, embedding_text, passages, preview_text, build_context, chunk_context, fixed_chunks,
-        build_prompts, synthesize, upsert_vectors, verify_vectors, ingest_report, answer_questions,
+        citations, embedding_text, passages, preview_text, corpus_count, build_context, chunk_context, fixed_chunks,
+        build_prompts, synthesize, build_vector_table, try_search, upsert_vectors, verify_vectors, ingest_report, answer_questions,
     )
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import lectern as L
+from lectern.plans.sizing import spread_small
 
 # Openings that turn a line of talk into a question of each kind.
 OPENINGS = (
@@ -69,7 +70,7 @@ def vector_questions(spark: SparkSession, sf: str) -> DataFrame:
 def talk_questions(spark: SparkSession, sf: str) -> DataFrame:
     """One question per line of talk, opened in one of several ways."""
     query = _opened(F.col("conv_id") * 7 + F.col("turn"), F.col("text"))
-    return table(spark, sf, "conversations").select(
+    return spread_small(table(spark, sf, "conversations")).select(
         "conv_id", "turn", query.alias("query"), F.col("role").alias("mode"),
     )
 

@@ -157,7 +157,10 @@ def terms_for_questions(
     with their summaries, ``spec, field, total, total_unique, returned,
     is_complete, is_exact_complete, notes``; join both to :func:`with_spec`.
     """
-    wanted = with_spec(asks).groupBy("spec", "filters").agg(F.array_sort(F.collect_set("enum_field")).alias("fields"))
+    wanted = with_spec(asks).groupBy("spec").agg(
+        F.any_value(clean(F.col("filters"))).alias("filters"),
+        F.array_sort(F.collect_set("enum_field")).alias("fields"),
+    )
     fields = [r[0] for r in asks.select("enum_field").distinct().orderBy("enum_field").collect()]
     for f in fields:
         corpus[f]  # an unknown column fails here
@@ -186,8 +189,8 @@ def terms_for_questions(
 
 
 def with_spec(asks: DataFrame) -> DataFrame:
-    """Questions with cleaned ``filters`` and their ``spec`` key."""
-    return asks.withColumn("filters", clean(F.col("filters"))).withColumn("spec", filter_key(F.col("filters")))
+    """Questions with the ``spec`` key of their cleaned filters."""
+    return asks.withColumn("spec", filter_key(clean(F.col("filters"))))
 
 
 # --- value lists as text ---------------------------------------------------

@@ -12,7 +12,6 @@ from lectern.operators import aggregates as agg
 from lectern.operators import synthesis
 from lectern.operators.context import build_context, chunk_context
 from lectern.operators.embedding import Embed, HashedWords, embed_table
-from lectern.operators.filters import clean
 from lectern.operators.hits import CITATION, citations, dedup_hits, fetch_docs, merge_hits, rank_hits
 from lectern.operators.knn import knn_search
 from lectern.operators.lexical import filtered_page, lexical_search, page_limit
@@ -65,7 +64,8 @@ def answer_questions(
     sample documents to plain value lists.
     """
     started = time.time()
-    asked = route(questions.withColumn("filters", clean(F.col("filters"))), cues, words)
+    given = F.coalesce("filters", F.create_map().cast("map<string,string>"))
+    asked = route(questions.withColumn("filters", given), cues, words)
     asked = staged(asked.select("qid", "query", "mode", "filters", "intent", "enum_field", "strategy"), "questions")
     present = {r["strategy"]: r["count"] for r in asked.groupBy("strategy").count().collect()}
     n_questions = sum(present.values())
@@ -117,7 +117,7 @@ def _wide_search(asked: DataFrame, hits: DataFrame, vectors: DataFrame, statisti
     """Vector hits, then word hits not among them."""
     near = hits.join(asked.select("qid"), "qid", "left_semi")
     by_words = lexical_search(vectors, asked.where(F.size("filters") == 0), statistics=statistics)
-    # a question that carries filters gets the filtered page instead of a word search
+    # a question that carries filters, blank ones too, gets the filtered page instead of a word search
     pages = filtered_page(vectors, asked.where(F.size("filters") > 0))
     columns = ["qid", "doc_id", "score", "rk"]
     return merge_hits(near, by_words.select(*columns).unionByName(pages.select(*columns)))

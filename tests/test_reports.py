@@ -74,13 +74,15 @@ def reports(spark, table):
         (7, "compare red with blue", "predict", {"location_name": "L2"}),
         (8, "compare red with blue", "predict", {"location_name": "nowhere"}),
         (9, "what is red", "answer", {"location_name": "nowhere"}),
+        (10, "compare zebras", "answer", {"form_type": " "}),
+        (11, "compare zebras", "answer", None),
     ]
     made = L.answer_questions(spark.createDataFrame(asked, QUESTION), table, Counting(), dim=3)
     return {r.qid: r for r in made.collect()}
 
 
 def test_every_question_is_answered_once(reports):
-    assert sorted(reports) == list(range(1, 10))
+    assert sorted(reports) == list(range(1, 12))
 
 
 def test_listing(reports):
@@ -105,7 +107,7 @@ def test_single_pass_answers(reports):
     assert "[Source 1]" in r.answer and r.metadata.context_chars > 0 and r.metadata.aggregation is None
     odd = reports[5]
     assert odd.mode == "nomode" and odd.mode_label == "Answer" and odd.title.endswith("...")
-    assert {s.type for s in odd.sources} == {"a"} and odd.metadata.filters == {"form_type": "a"}
+    assert {s.type for s in odd.sources} == {"a"} and odd.metadata.filters == {"form_type": " a "}
 
 
 def test_chunked_answers(reports):
@@ -118,6 +120,12 @@ def test_chunked_answers(reports):
     assert reports[7].metadata.total_hits == 15
 
 
+def test_blank_filters_read_a_page_of_everything(reports):
+    # no word matches; the blank filter brings the whole table, at score 1
+    assert reports[10].metadata.total_hits == 100 and reports[10].sources[5].score == 1.0
+    assert reports[11].metadata.total_hits == 10
+
+
 def test_questions_without_hits(reports):
     for q in (8, 9):
         r = reports[q]

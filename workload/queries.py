@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import lectern as L
 from lectern.operators import aggregates as agg
 from lectern.operators import synthesis
-from lectern.operators.filters import match_filters
+from lectern.operators.filters import clean, match_filters
 from lectern.operators.reports import REPORT
 from lectern.plans.sizing import staged, staging_dir
 from workload.tables import (
@@ -137,7 +137,7 @@ def build_reports(spark, sf):
         F.col("metadata.is_enumeration").alias("is_enumeration"),
         F.col("metadata.index_total_docs").alias("index_total_docs"),
         F.col("metadata.aggregation.total_unique").alias("total_unique"),
-        F.col("metadata.filters")["form_type"].alias("form_type"),
+        F.trim(F.col("metadata.filters")["form_type"]).alias("form_type"),
     )
 
 
@@ -205,7 +205,7 @@ def parse_filters(spark, sf):
 
 
 def apply_filters(spark, sf):
-    asks = agg.with_spec(listing_questions(spark, sf)).select("spec", "filters")
+    asks = agg.with_spec(listing_questions(spark, sf)).select("spec", clean(F.col("filters")).alias("filters"))
     return match_filters(corpus(spark, sf), asks).select("spec", "doc_id")
 
 

@@ -11,13 +11,23 @@ WORD_BREAK = r"[^\p{L}\p{M}\p{N}_]+"
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Lower-cased words of every text: (row of each word, the words)."""
+    """Lower-cased words of every text: (row of each word, the words), in no set order."""
     lowered = pc.utf8_lower(pc.cast(texts, pa.large_string()))
-    split = pc.split_pattern_regex(lowered, WORD_BREAK)
-    row = pc.list_parent_indices(split)
-    flat = pc.list_flatten(split)
-    real = pc.not_equal(flat, "")
-    return row.filter(real).to_numpy(zero_copy_only=False), flat.filter(real)
+    # white space is part of every break, and most pieces between are words already
+    row, pieces = _split(lowered, pc.ascii_split_whitespace)
+    plain = pc.utf8_is_alnum(pieces)
+    is_plain = plain.to_numpy(zero_copy_only=False)
+    mixed = pieces.filter(pc.invert(plain))
+    inner, parts = _split(mixed, lambda a: pc.split_pattern_regex(a, WORD_BREAK))
+    real = pc.not_equal(parts, "")
+    inner = inner[real.to_numpy(zero_copy_only=False)]
+    all_rows = np.concatenate([row[is_plain], row[~is_plain][inner]])
+    return all_rows, pa.concat_arrays([pieces.filter(plain), parts.filter(real)])
+
+
+def _split(texts: pa.Array, split) -> tuple[np.ndarray, pa.Array]:
+    lists = split(texts)
+    return pc.list_parent_indices(lists).to_numpy(zero_copy_only=False), pc.list_flatten(lists)
 
 
 def vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -40,30 +50,42 @@ class BestRows:
 
     PENDING_ROWS = 1 << 18
 
-    def __init__(self, questions: int, k: int):
+    def __init__(self, questions: int, k: int, decimals: int):
         self.k = k
+        self.decimals = decimals
         self.floor = np.full(questions, -np.inf)
         self.kept: pa.Table | None = None
         self.fresh: list[pa.Table] = []
         self.waiting = 0
 
-    def offer(self, scores: np.ndarray, usable: np.ndarray, ids: pa.Array) -> None:
-        """``scores`` is questions x rows; rows not ``usable`` do not count."""
-        scores = np.where(usable, scores, -np.inf)
-        bar = self.floor
-        if scores.shape[1] > self.k:
+    def offer(self, scores: np.ndarray, ids: pa.Array, usable: np.ndarray | None = None) -> None:
+        """``scores`` is questions x rows; rows not ``usable`` do not count.
+
+        Scores are rounded only where they can matter, and compared after rounding.
+        """
+        if usable is not None:
+            scores = np.where(usable, scores, -np.inf)
+        slack = 10.0 ** -self.decimals
+        reached = scores >= self.floor[:, None]
+        # where many rows pass, the k-th best of this batch is a better bar
+        many = np.flatnonzero(np.count_nonzero(reached, axis=1) > 4 * self.k)
+        if len(many):
             cut = scores.shape[1] - self.k
-            bar = np.maximum(bar, np.partition(scores, cut, axis=1)[:, cut])
+            bar = np.partition(scores[many], cut, axis=1)[:, cut] - slack
+            self.floor[many] = np.maximum(self.floor[many], bar)
+            reached[many] = scores[many] >= self.floor[many, None]
         # rows level with the bar stay in: the id decides between them
-        question, row = np.nonzero((scores >= bar[:, None]) & np.isfinite(scores))
-        if not len(question):
+        question, row = np.nonzero(reached)
+        score = np.round(scores[question, row], self.decimals)
+        real = np.isfinite(score)
+        if not real.any():
             return
         self.fresh.append(pa.table({
-            "question": pa.array(question, pa.int32()),
-            "score": pa.array(scores[question, row]),
-            "id": ids.take(pa.array(row)),
+            "question": pa.array(question[real], pa.int32()),
+            "score": pa.array(score[real]),
+            "id": ids.take(pa.array(row[real])),
         }))
-        self.waiting += len(question)
+        self.waiting += int(real.sum())
         if self.waiting > max(self.PENDING_ROWS, self.kept.num_rows if self.kept is not None else 0):
             self._settle()
 
@@ -76,7 +98,7 @@ class BestRows:
         place = np.arange(len(question)) - np.searchsorted(question, question)
         self.kept = table.filter(pa.array(place < self.k)).combine_chunks()
         full = place == self.k - 1
-        self.floor[question[full]] = table["score"].to_numpy()[full]
+        self.floor[question[full]] = table["score"].to_numpy()[full] - 10.0 ** -self.decimals
 
     def result(self, names: pa.Array, id_col: str) -> list[pa.RecordBatch]:
         """``qid, id, score`` with the questions' own ids from ``names``."""

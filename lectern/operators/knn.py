@@ -22,7 +22,7 @@ from lectern.settings import IN_LIST_VALUES, KNN_K
 
 # Scores are rounded before ranking so that equal vectors tie whatever order they are summed in.
 RANK_DECIMALS = 12
-CELLS_PER_STEP = 1 << 22
+CELLS_PER_STEP = 1 << 20
 
 
 def cosine_score(a: Column, b: Column) -> Column:
@@ -124,24 +124,28 @@ def _one_pass(
         (matrix, qids, [(_as_column_text(corpus, w), np.array(ix)) for w, ix in groups.values()])
     )
 
+    def usable_rows(part, rows, by_filter):
+        if not fields:
+            return None
+        usable = np.zeros((sum(len(ix) for _, ix in by_filter), len(rows)), bool)
+        for wanted, ix in by_filter:
+            fits = np.ones(len(rows), bool)
+            for f, v in wanted.items():
+                same = pc.fill_null(pc.equal(part.column(f"__{f}"), v), False)
+                fits &= same.to_numpy(zero_copy_only=False)[rows]
+            usable[ix] = fits
+        return usable
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, names, by_filter = shared.value
-        best = BestRows(len(names), k)
+        best = BestRows(len(names), k, RANK_DECIMALS)
         step = max(k + 1, CELLS_PER_STEP // max(len(names), 1))
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 rows, known = vectors(part.column(1), dim)
-                ids = part.column(0).take(pa.array(rows))
-                scores = np.round((1 + asked @ known.T) / 2, RANK_DECIMALS)
-                usable = np.zeros(scores.shape, bool)
-                for wanted, ix in by_filter:
-                    fits = np.ones(len(rows), bool)
-                    for f, v in wanted.items():
-                        same = pc.fill_null(pc.equal(part.column(f"__{f}"), v), False)
-                        fits &= same.to_numpy(zero_copy_only=False)[rows]
-                    usable[ix] = fits
-                best.offer(scores, usable, ids)
+                scores = (1 + asked @ known.T) / 2
+                best.offer(scores, part.column(0).take(pa.array(rows)), usable_rows(part, rows, by_filter))
         yield from best.result(names, id_col)
 
     schema = f"qid {_ddl(questions, 'qid')}, {id_col} {_ddl(corpus, id_col)}, score double"

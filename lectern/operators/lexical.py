@@ -139,7 +139,7 @@ def _one_pass(
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, holders, weights, mean_words, names = shared.value
-        best = BestRows(len(names), k)
+        best = BestRows(len(names), k, RANK_DECIMALS)
         step = max(k + 1, CELLS_PER_STEP // max(len(names), 1))
         for batch in batches:
             for at in range(0, batch.num_rows, step):
@@ -149,8 +149,7 @@ def _one_pass(
                     if mean_words[i]:
                         field = _field_scores(part.column(i + 1), terms, holders, weights[i], mean_words[i], len(names))
                         np.maximum(score, field, out=score)
-                score = np.round(score.T, RANK_DECIMALS)
-                best.offer(score, score > 0, part.column(0))
+                best.offer(np.where(score > 0, score, -np.inf).T, part.column(0))
         yield from best.result(names, id_col)
 
     schema = f"qid {_ddl(questions, 'qid')}, {id_col} {_ddl(corpus, id_col)}, score double"

@@ -74,14 +74,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread_small(df: DataFrame) -> DataFrame:
-    """Give every core a share of a table that is smaller than one scan split per core.
+    """Give every core a share of a table that is small and sits in few files.
 
-    Such a table may sit in a single row group, and then one task would do all the
-    work. At most one split's worth of data per core is moved; a larger table is
-    split by its scan and stays where it is.
+    Such a table may be a single row group, and then one task would do all the work.
+    At most one split's worth of data per core is moved; a larger table, or one with a
+    file per core, is split by its scan and stays where it is.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = df._jdf.sparkSession().sessionState().conf().filesMaxPartitionBytes()
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if 1 < cores and size < cores * split else df
+    if cores > 1 and size < cores * split and len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df

@@ -134,14 +134,14 @@ def test_best_rows_against_sorting():
     rng = random.Random(5)
     import pyarrow as pa
 
-    best = BestRows(3, 4)
+    best = BestRows(3, 4, 12)
     best.PENDING_ROWS = 7
     seen = {0: [], 1: [], 2: []}
     for _ in range(20):
         ids = [rng.randrange(10**6) for _ in range(6)]
         scores = np.array([[rng.choice([0.1, 0.2, 0.3]) for _ in ids] for _ in range(3)])
         usable = np.array([[rng.random() < 0.8 for _ in ids] for _ in range(3)])
-        best.offer(scores, usable, pa.array(ids))
+        best.offer(scores, pa.array(ids), usable)
         for q in seen:
             seen[q] += [(-s, i) for s, i, u in zip(scores[q], ids, usable[q]) if u]
     rows = pa.Table.from_batches(best.result(pa.array(["a", "b", "c"]), "id")).to_pylist()

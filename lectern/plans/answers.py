@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lectern.operators import aggregates as agg
 from lectern.operators import synthesis
@@ -232,14 +233,16 @@ def _single(asked, hits, docs, generate) -> DataFrame:
 
 def _chunked(asked, merged, docs, generate, max_sources) -> DataFrame:
     """Many documents, merged and ranked, read by the generator chunk by chunk."""
+    # a question has a few hundred hits at most, so they can be counted where they are ranked
+    per_question = W.partitionBy("qid")
+    counted = merged.withColumn("total_hits", F.count(F.lit(1)).over(per_question))
     # only the keys of the documents take part until the best are known
-    unique = dedup_hits(fetch_docs(merged, docs)).select("qid", "doc_id", "score", "rk", "merge_rk")
-    unique = staged(unique, "unique")
+    unique = dedup_hits(fetch_docs(counted, docs)).select("qid", "doc_id", "score", "rk", "merge_rk", "total_hits")
+    unique = unique.withColumn("deduplicated_hits", F.count(F.lit(1)).over(per_question))
     ranked = staged(fetch_docs(rank_hits(unique), docs), "ranked")
-    total = merged.groupBy("qid").agg(F.count(F.lit(1)).alias("total_hits"))
-    distinct = unique.groupBy("qid").agg(F.count(F.lit(1)).alias("deduplicated_hits"))
+    counts = ranked.where("rk = 1").select("qid", "total_hits", "deduplicated_hits")
     context = staged(build_context(ranked, CHUNKED_CONTEXT_CHARS), "context")
     chunks = asked.select("qid", "query", "mode").join(chunk_context(context), "qid")
     answers = synthesis.synthesize(chunks, generate)
     answers = answers.join(context.select("qid", F.length("context").alias("context_chars")), "qid")
-    return _searched(asked, answers, total.join(distinct, "qid"), citations(ranked, max_sources))
+    return _searched(asked, answers, counts, citations(ranked, max_sources))

@@ -276,7 +276,9 @@ def hybrid_merge(spark, sf):
 
 def _ranked(spark, sf):
     docs, merged = _merged(spark, sf)
-    return L.rank_hits(L.dedup_hits(L.fetch_docs(staged(merged, "merged"), docs)))
+    unique = L.dedup_hits(L.fetch_docs(staged(merged, "merged"), docs))
+    # texts stay behind until the best hits are known
+    return L.fetch_docs(L.rank_hits(unique.select("qid", "doc_id", "score", "rk", "merge_rk")), docs)
 
 
 def rank_hits(spark, sf):

@@ -149,6 +149,7 @@ def terms_for_questions(
     corpus: DataFrame,
     asks: DataFrame,
     max_buckets: int = QUESTION_BUCKETS,
+    fields: Sequence[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Value lists for many questions in one pass over the corpus.
 
@@ -156,12 +157,14 @@ def terms_for_questions(
     filters share one list. Returns the lists, ``spec, field, value, count, rk``,
     with their summaries, ``spec, field, total, total_unique, returned,
     is_complete, is_exact_complete, notes``; join both to :func:`with_spec`.
+    ``fields`` names the fields asked for, where they are known.
     """
     wanted = with_spec(asks).groupBy("spec").agg(
         F.any_value(clean(F.col("filters"))).alias("filters"),
         F.array_sort(F.collect_set("enum_field")).alias("fields"),
     )
-    fields = [r[0] for r in asks.select("enum_field").distinct().orderBy("enum_field").collect()]
+    if fields is None:
+        fields = sorted(r[0] for r in asks.select("enum_field").distinct().collect())
     for f in fields:
         corpus[f]  # an unknown column fails here
     value = F.coalesce(*[F.when(F.col("field") == f, F.col(f).cast("string")) for f in fields], F.lit(None))

@@ -83,9 +83,8 @@ def match_filters(corpus: DataFrame, specs: DataFrame, carry: Sequence[str] = ()
     else:
         fields = F.array_sort(F.map_keys("filters"))
         sets = {tuple(r[0]): r[1] for r in specs.groupBy(fields).count().collect()}
-    branches = [
-        _match_set(corpus, specs, fields, count, carry, head if short else None) for fields, count in sorted(sets.items())
-    ]
+    rows = head if short else None
+    branches = [_match_set(corpus, specs, fields, n, carry, rows) for fields, n in sorted(sets.items())]
     if not branches:
         empty = [F.lit(None).cast(specs.schema[c].dataType).alias(c) for c in ("spec", *carry)]
         return corpus.select("*", *empty).limit(0)
@@ -96,17 +95,17 @@ def _match_set(corpus, specs, fields, count, carry, rows) -> DataFrame:
     """Documents matching the filter maps over exactly these ``fields``."""
     keys = F.array_sort(F.map_keys("filters"))
     part = specs.where(keys == F.array(*[F.lit(f) for f in fields]).cast("array<string>"))
-    if rows is not None:
-        mine = [r for r in rows if tuple(sorted(r["filters"])) == fields]
-        part = corpus.sparkSession.createDataFrame(mine, specs.schema)
+    mine = None if rows is None else [r for r in rows if tuple(sorted(r["filters"])) == fields]
     if not fields:
         # the empty map: one row, and all documents match it
-        row = part.first()
+        row = mine[0] if mine else part.first()
         return corpus.select("*", *[F.lit(row[c]).alias(c) for c in ("spec", *carry)])
+    if mine is not None:
+        part = corpus.sparkSession.createDataFrame(mine, specs.schema)
     docs = corpus
     for f in fields:
         kind = corpus.schema[f].dataType
-        if rows is not None:
+        if mine is not None:
             wanted = sorted({r["filters"][f] for r in mine})
             docs = docs.where(F.col(f).isin([F.lit(v).try_cast(kind) for v in wanted]))
         part = part.withColumn(f"__{f}", F.col("filters")[f].try_cast(kind))

@@ -34,9 +34,11 @@ def merge_hits(first: DataFrame, second: DataFrame) -> DataFrame:
     return once.withColumn("merge_rk", F.row_number().over(W.partitionBy("qid").orderBy(*order)))
 
 
-def fetch_docs(hits: DataFrame, corpus: DataFrame, rows: int | None = None, id_col: str = "doc_id") -> DataFrame:
-    """Hits with their documents' columns. ``rows`` is a known bound on the hits."""
-    side = hits if rows is None else broadcast_within(hits, rows)
+def fetch_docs(
+    hits: DataFrame, corpus: DataFrame, rows: int | None = None, id_col: str = "doc_id", row_bytes: int = 96
+) -> DataFrame:
+    """Hits with their documents' columns. ``rows`` is a known bound on the hits: small enough, they are broadcast."""
+    side = hits if rows is None else broadcast_within(hits, rows, row_bytes)
     return corpus.join(side, id_col)
 
 

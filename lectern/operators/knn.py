@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.batches import BestRows, vectors
 from lectern.operators.filters import clean, equals, filter_key, match_filters
+from lectern.operators.hits import fetch_docs
 from lectern.operators.questions import passes
 from lectern.plans.sizing import broadcast_within, top_per_group
 from lectern.settings import IN_LIST_VALUES, KNN_K
@@ -68,11 +69,9 @@ def knn_search(
     if min_score:
         hits = hits.where(F.col("score") >= min_score)
     if order_by is not None:
-        from lectern.operators.hits import fetch_docs
-
         dated = fetch_docs(hits, corpus.select(id_col, order_by.alias("__order")), id_col=id_col)
         order = [F.col("__order").desc_nulls_last(), F.asc("rk")]
-        hits = top_per_group(dated.withColumnRenamed("rk", "__rk").withColumn("rk", F.col("__rk")), ["qid"], order, k)
+        hits = top_per_group(dated, ["qid"], order, k, rank="__rk").drop("rk").withColumnRenamed("__rk", "rk")
         hits = hits.select("qid", id_col, "score", "rk")
     return hits.withColumnRenamed(id_col, "doc_id")
 

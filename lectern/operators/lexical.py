@@ -71,7 +71,8 @@ def term_statistics(
                     "words": pa.array([len(flat)] + [0] * (len(names) - 1), pa.int64()),
                 })
 
-    counted = spread_small(corpus.select(*fields)).mapInArrow(count, "field string, term string, docs bigint, words bigint")
+    schema = "field string, term string, docs bigint, words bigint"
+    counted = spread_small(corpus.select(*fields)).mapInArrow(count, schema)
     return counted.groupBy("field", "term").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ from lectern.operators.knn import knn_search
 from lectern.operators.lexical import filtered_page, lexical_search, page_limit
 from lectern.operators.reports import build_reports
 from lectern.plans.route import route
-from lectern.plans.sizing import broadcast_within, staged
+from lectern.plans.sizing import broadcast_within, settled, staged
 from lectern.rules import FIELD_WORDS, INTENT_CUES
 from lectern.settings import (
     CHUNKED_CONTEXT_CHARS,
@@ -59,7 +60,8 @@ def answer_questions(
     questions of a kind are answered together: one pass for the value lists, one for the
     vector search, two for the word search (one with saved ``statistics``) and one to fetch
     the documents found.
-    Search results and generated texts are written to the shared folder between steps.
+    Documents found and generated texts are written to the shared folder between steps, and so
+    are questions and hits that are not few.
     ``max_sources`` cuts the citations of chunked answers (8 in the documented form);
     by default every source the context numbers is cited. ``with_sources`` adds
     sample documents to plain value lists.
@@ -67,8 +69,11 @@ def answer_questions(
     started = time.time()
     given = F.coalesce("filters", F.create_map().cast("map<string,string>"))
     asked = route(questions.withColumn("filters", given), cues, words)
-    asked = staged(asked.select("qid", "query", "mode", "filters", "intent", "enum_field", "strategy"), "questions")
-    present = {r["strategy"]: r["count"] for r in asked.groupBy("strategy").count().collect()}
+    asked = settled(asked.select("qid", "query", "mode", "filters", "intent", "enum_field", "strategy"), "questions")
+    kinds = asked.groupBy("strategy", "enum_field").count().collect()
+    present = Counter()
+    for row in kinds:
+        present[row["strategy"]] += row["count"]
     n_questions = sum(present.values())
 
     def of(strategy: str) -> DataFrame:
@@ -82,7 +87,8 @@ def answer_questions(
     lists = summaries = hits = merged = None
 
     if counting:
-        lists, summaries = agg.terms_for_questions(vectors, listing, max_buckets)
+        fields = sorted({row["enum_field"] for row in kinds if row["strategy"] in counting})
+        lists, summaries = agg.terms_for_questions(vectors, listing, max_buckets, fields)
         lists = lists.withColumnRenamed("field", "enum_field")
         summaries = summaries.withColumnRenamed("field", "enum_field")
 
@@ -90,9 +96,11 @@ def answer_questions(
         vectored = embed_table(
             searching, embed or HashedWords(dim), dim, text_col="query", vector_col="vector", strict=True
         )
-        hits = staged(knn_search(vectors, staged(vectored, "vectors"), KNN_K), "knn")
+        vectored = settled(vectored, "vectors", n_questions)
+        hits = settled(knn_search(vectors, vectored, KNN_K), "knn", n_questions * KNN_K)
     if "knn_chunked" in present:
-        merged = staged(_wide_search(of("knn_chunked"), hits, vectors, statistics), "merged")
+        wide = present["knn_chunked"] * (KNN_K + page_limit(LEXICAL_DOCS))
+        merged = settled(_wide_search(of("knn_chunked"), hits, vectors, statistics), "merged", wide)
     found = None if hits is None else _found_docs(vectors, hits, merged, present, n_questions)
 
     parts: list[DataFrame] = []

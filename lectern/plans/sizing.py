@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lectern.settings import BROADCAST_BYTES
+from lectern.settings import BROADCAST_BYTES, QUESTION_BYTES_PER_PASS, QUESTIONS_PER_PASS
 
 
 def broadcast_within(df: DataFrame, rows: int, row_bytes: int = 256, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -73,6 +73,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Result of ``df`` as a table that later steps read without running it again.
+
+    ``df`` has ids, numbers or question texts. With a known bound of ``rows`` that one
+    pass of questions may have, it is kept as a local table; anything larger is
+    :func:`staged`. Without a bound, the first rows are looked at.
+    """
+    if rows is not None and rows > QUESTIONS_PER_PASS:
+        return staged(df, name)
+    head = (df if rows is not None else df.limit(QUESTIONS_PER_PASS + 1)).toArrow()
+    if head.num_rows > QUESTIONS_PER_PASS or head.nbytes > QUESTION_BYTES_PER_PASS:
+        return staged(df, name)
+    return df.sparkSession.createDataFrame(head, df.schema)
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """Give every core a share of a table that is small and sits in few files.
 

@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lectern.functions.text import embedding_text
 from lectern.settings import EMBED_FIELDS, KNOWN_FIELDS, PREVIEW_CHARS
@@ -71,7 +70,3 @@ def preview_text(corpus: DataFrame, n: int = 3, id_col: str = "doc_id", fields=E
             F.left("text", F.lit(PREVIEW_CHARS)).alias("preview"),
         )
     )
-
-
-def string_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 import lectern as L
 from lectern.operators import aggregates as agg
 from lectern.operators import synthesis
+from lectern.functions.text import embedding_text as text_to_embed
 from lectern.operators.filters import clean, match_filters
-from lectern.operators.reports import REPORT
+from lectern.operators.hits import CITATION
 from lectern.plans.sizing import staged, staging_dir
 from workload.tables import (
     corpus,
@@ -115,21 +116,15 @@ def _enumeration_reports(spark, sf):
     answered = _enumeration(spark, sf).withColumns({
         "strategy": F.lit("direct_aggregation"),
         "intent": F.lit("enumeration"),
-        "sources": F.lit(None).cast("array<string>"),
+        "sources": F.array().cast(f"array<{CITATION}>"),
         "total_hits": F.lit(0), "deduplicated_hits": F.lit(0), "context_chars": F.lit(0),
         "aggregation": F.struct(
             F.col("field"), "total_unique", F.col("returned").alias("returned_values"), "is_complete"
         ),
-    }).withColumn("sources", F.array().cast(_citations()))
+    })
     return L.build_reports(answered, "documents", table(spark, sf, "documents").count(), "extract", "hashed-words")
 
 
-def _citations():
-    from lectern.operators.hits import CITATION
-
-    return f"array<{CITATION}>"
-
-
 def build_reports(spark, sf):
     return _enumeration_reports(spark, sf).select(
         "qid", "title", "mode", "mode_label", "query", "answer",
@@ -311,10 +306,8 @@ def citations(spark, sf):
 # --- text ------------------------------------------------------------------
 
 def embedding_text(spark, sf):
-    from lectern.functions.text import embedding_text as text
-
     docs = corpus(spark, sf)
-    return docs.select("doc_id", text(docs).alias("t")).where("t <> ''").select(
+    return docs.select("doc_id", text_to_embed(docs).alias("t")).where("t <> ''").select(
         "doc_id", F.length("t").alias("chars"), F.md5("t").alias("digest")
     )
 
@@ -441,6 +434,7 @@ QUERIES = {
         apply_filters, knn_topk, knn_filtered, knn_min_score, knn_approx, knn_recent, term_statistics, lexical_bm25,
         filtered_page, embed_documents, hybrid_merge, rank_hits, dedup_content, dedup_field, uncovered_values,
         citations, embedding_text, passages, preview_text, corpus_count, build_context, chunk_context, fixed_chunks,
-        build_prompts, synthesize, build_vector_table, try_search, upsert_vectors, verify_vectors, ingest_report, answer_questions,
+        build_prompts, synthesize, build_vector_table, try_search, upsert_vectors, verify_vectors, ingest_report,
+        answer_questions,
     )
 }

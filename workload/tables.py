@@ -10,7 +10,8 @@ from lectern.plans.sizing import spread_small
 
 # Openings that turn a line of talk into a question of each kind.
 OPENINGS = (
-    "List all locations near", "How many sites hold", "Top 5 most frequent locations of", "Distribution of activity types for",
+    "List all locations near", "How many sites hold", "Top 5 most frequent locations of",
+    "Distribution of activity types for",
     "Analyze the tasks in", "Compare devices with", "Trend of events over", "Forecast for", "What is", "Search for",
     "Details about", "Give a recap of", "Latest", "Anything similar to", "List all equipment types of",
     "Summarize all activities of", "What are the key deployment activities of", "Predict maintenance needs of",

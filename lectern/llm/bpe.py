@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from lectern.llm.frames import mapped_schema, text_or_empty
+from lectern.llm.frames import mapped_schema, sliced, text_or_empty
 
 # Classes of code points as the automaton reads them. SHORT and LONG stand right behind an apostrophe: the
 # letter of a contraction, or the first of its two; SECOND stands behind LONG. All other letters are LETTER,
@@ -51,9 +51,9 @@ LATER_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x
                  (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
 
 END_OF_TEXT = 0x110000  # beyond the last code point; stands between texts
-WINDOW = 1 << 20  # code points that are classified at once
-CACHED_PIECES = 400_000
-CACHED_PAIRS = 400_000
+WINDOW = 1 << 18  # code points that are classified at once
+CACHED_PIECES = 100_000
+CACHED_PAIRS = 100_000
 LONG_PIECE = 64  # bytes above which merging uses a heap
 
 
@@ -372,7 +372,7 @@ def encode_documents(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = content()
         packed, (_, lengths) = _worker_cache(data), vocabulary(data)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [b"".join(map(packed.__getitem__, p)) for p in pieces(batch.column(len(keep)).to_pylist())]
             offsets = [np.cumsum(lengths[np.frombuffer(i, "<u4")], dtype="<u4").tobytes() for i in ids]
             yield pa.RecordBatch.from_arrays(
@@ -389,7 +389,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str, keep: Sequence[str] =
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, _ = vocabulary(content())
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for ids, offsets in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist()):
                 data = b"".join(map(tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))

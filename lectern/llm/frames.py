@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,13 @@ def mapped_schema(df: DataFrame, keep: Sequence[str], added: Sequence[T.StructFi
     return T.StructType([df.schema[c] for c in keep] + list(added))
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that a worker holds the Python objects of a few rows only."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def text_or_empty(name: str) -> Column:
     """The text column as a string, null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

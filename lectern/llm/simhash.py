@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.components import smallest_reachable
-from lectern.llm.frames import joined, mapped_schema, text_or_empty
+from lectern.llm.frames import joined, mapped_schema, sliced, text_or_empty
 from lectern.plans.sizing import staged
 
 SHINGLE_WORDS = 3
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str =
     schema = mapped_schema(docs, keep, [T.StructField("simhash", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             values = [text_fingerprint(x, shingle) for x in batch.column(len(keep)).to_pylist()]
             column = pa.array(np.array(values, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], column], names=schema.names)

@@ -1,3 +1,35 @@
 """The same results in SQL, where SQL can express the operator."""
 
-ORACLE: dict[str, str] = {}
+# Spans lie between the pieces that splitting at the matches leaves.
+OP6 = r"""
+WITH rules(kind, place, pattern, grp, least) AS (VALUES
+    ('assign', 1, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1, 12),
+    ('access', 2, 'AKIA[A-Z0-9]+', 0, 18),
+    ('hex', 3, '[0-9a-f]{16,}', 0, 16)),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS (
+    SELECT r, 'assign' AS kind, string_split_regex(t, p) AS gaps, regexp_extract_all(t, p) AS whole,
+        regexp_extract_all(t, p, 1) AS grp, 1 AS place, 12 AS least
+    FROM d, (SELECT pattern AS p FROM rules WHERE place = 1) WHERE regexp_matches(t, p)
+    UNION ALL
+    SELECT r, kind, string_split_regex(t, pattern), regexp_extract_all(t, pattern), regexp_extract_all(t, pattern),
+        place, least
+    FROM d, rules WHERE place > 1 AND regexp_matches(t, pattern)),
+s AS (SELECT r, kind, place, least, gaps, whole, grp, unnest(range(1, len(whole) + 1)) AS i FROM m),
+spans AS (
+    SELECT r, kind, place,
+        list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0)
+            AS b,
+        length(whole[i]) AS n
+    FROM s WHERE length(grp[i]) >= least),
+g AS (
+    SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+        count(*) FILTER (kind = 'hex') AS n_hex,
+        string_agg(kind || ':' || CAST(b AS BIGINT) || ':' || CAST(b + n AS BIGINT), ',' ORDER BY b, place) AS spans
+    FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (r)
+"""
+
+ORACLE: dict[str, str] = {"op6_secret_ledger": OP6}

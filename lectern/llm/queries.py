@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, simhash
+from lectern.llm import bpe, secrets, simhash
+from lectern.plans.sizing import staging_dir
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -21,6 +24,27 @@ def op2_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder."""
+    return f"{staging_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
+
+
+def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets of every document, through a ledger that begins empty."""
+    found = secrets.scan(table(spark, sf_dir, "documents"), fresh_folder(spark, "ledger"))
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def listed(s):
+        return F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["until"].cast("string"))
+
+    spans = F.array_join(F.transform("spans", listed), ",")
+    return found.select(
+        "doc_id", number("assign"), number("access"), number("hex"),
+        F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text decoded from them, as digests."""
     encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), RANKS)
@@ -35,5 +59,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_simhash_pigeonring": op2_simhash_pigeonring,
+    "op6_secret_ledger": op6_secret_ledger,
     "op10_byte_bpe": op10_byte_bpe,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, secrets, simhash
+from lectern.llm import bpe, decontaminate, secrets, simhash
 from lectern.plans.sizing import staging_dir
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -45,6 +45,12 @@ def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the best window."""
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", "start_word", "n_words")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text decoded from them, as digests."""
     encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), RANKS)
@@ -60,5 +66,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_simhash_pigeonring": op2_simhash_pigeonring,
     "op6_secret_ledger": op6_secret_ledger,
+    "op7_decontamination": op7_decontamination,
     "op10_byte_bpe": op10_byte_bpe,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, secrets, simhash
+from lectern.llm import bpe, decontaminate, language, secrets, simhash
 from lectern.plans.sizing import staging_dir
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.learn(docs))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op2_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -64,6 +71,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_svm": op1_language_svm,
     "op2_simhash_pigeonring": op2_simhash_pigeonring,
     "op6_secret_ledger": op6_secret_ledger,
     "op7_decontamination": op7_decontamination,

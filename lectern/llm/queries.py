@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, language, secrets, simhash
+from lectern.llm import bpe, decontaminate, fingerprint, language, secrets, simhash
 from lectern.plans.sizing import staging_dir
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -36,6 +36,11 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{staging_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
 
 
+def op5_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and how alike they are."""
+    return fingerprint.compared(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets of every document, through a ledger that begins empty."""
     found = secrets.scan(table(spark, sf_dir, "documents"), fresh_folder(spark, "ledger"))
@@ -73,6 +78,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_svm": op1_language_svm,
     "op2_simhash_pigeonring": op2_simhash_pigeonring,
+    "op5_weighted_sampling": op5_weighted_sampling,
     "op6_secret_ledger": op6_secret_ledger,
     "op7_decontamination": op7_decontamination,
     "op10_byte_bpe": op10_byte_bpe,

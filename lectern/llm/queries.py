@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, fingerprint, language, secrets, simhash
+from lectern.llm import bpe, decontaminate, fingerprint, language, secrets, simhash, warc
 from lectern.plans.sizing import staging_dir
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -63,6 +63,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "similarity", "start_word", "n_words")
 
 
+def op8_warc_seekable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from the bundles it was written to."""
+    folder = fresh_folder(spark, "warc")
+    index = warc.write_bundles(table(spark, sf_dir, "pages"), folder)
+    found = warc.read_bundles(index, folder)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text decoded from them, as digests."""
     encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), RANKS)
@@ -81,5 +89,6 @@ QUERIES = {
     "op5_weighted_sampling": op5_weighted_sampling,
     "op6_secret_ledger": op6_secret_ledger,
     "op7_decontamination": op7_decontamination,
+    "op8_warc_seekable": op8_warc_seekable,
     "op10_byte_bpe": op10_byte_bpe,
 }

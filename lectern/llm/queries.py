@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, fingerprint, language, secrets, simhash, warc
+from lectern.llm import bpe, decontaminate, fingerprint, language, licenses, secrets, simhash, warc
 from lectern.plans.sizing import staging_dir
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -71,6 +71,11 @@ def op8_warc_seekable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_license_patience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses and license notices in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text decoded from them, as digests."""
     encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), RANKS)
@@ -90,5 +95,6 @@ QUERIES = {
     "op6_secret_ledger": op6_secret_ledger,
     "op7_decontamination": op7_decontamination,
     "op8_warc_seekable": op8_warc_seekable,
+    "op9_license_patience": op9_license_patience,
     "op10_byte_bpe": op10_byte_bpe,
 }

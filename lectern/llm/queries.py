@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, fingerprint, language, licenses, secrets, simhash, warc
+from lectern.llm import bpe, decontaminate, fingerprint, language, licenses, quality, secrets, simhash, warc
 from lectern.plans.sizing import staging_dir
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -36,6 +36,12 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{staging_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
 
 
+def op4_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the heuristic labellers' votes on all of them."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs))
+
+
 def op5_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text, and how alike they are."""
     return fingerprint.compared(table(spark, sf_dir, "documents"))
@@ -91,6 +97,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_svm": op1_language_svm,
     "op2_simhash_pigeonring": op2_simhash_pigeonring,
+    "op4_weak_labels": op4_weak_labels,
     "op5_weighted_sampling": op5_weighted_sampling,
     "op6_secret_ledger": op6_secret_ledger,
     "op7_decontamination": op7_decontamination,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, fingerprint, language, licenses, quality, secrets, simhash, warc
+from lectern.llm import bpe, decontaminate, fingerprint, language, licenses, quality, quotes, secrets, simhash, warc
 from lectern.plans.sizing import staging_dir
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -36,6 +36,11 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{staging_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
 
 
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages without quotes, with what they reply to and their thread."""
+    return quotes.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op4_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from the heuristic labellers' votes on all of them."""
     docs = table(spark, sf_dir, "documents")
@@ -97,6 +102,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_svm": op1_language_svm,
     "op2_simhash_pigeonring": op2_simhash_pigeonring,
+    "op3_quotation_linking": op3_quotation_linking,
     "op4_weak_labels": op4_weak_labels,
     "op5_weighted_sampling": op5_weighted_sampling,
     "op6_secret_ledger": op6_secret_ledger,

@@ -33,9 +33,12 @@ def _split(texts: pa.Array, split) -> tuple[np.ndarray, pa.Array]:
 def vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Usable unit vectors of a list column: (their rows, matrix).
 
-    Null, wrong-length, non-finite and zero vectors have no cosine and are left out.
+    Null, non-finite and zero vectors have no cosine and are left out; another length is an error.
     """
     length = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    other = length[(length >= 0) & (length != dim)]
+    if dim and len(other):
+        raise ValueError(f"a vector has {other[0]} numbers where {dim} are expected")
     rows = np.flatnonzero(length == dim)
     kept = column.take(pa.array(rows))
     flat = pc.list_flatten(kept).to_numpy(zero_copy_only=False).astype(np.float64)

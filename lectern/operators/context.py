@@ -30,16 +30,17 @@ def build_context(hits: DataFrame, max_chars: int = CONTEXT_CHARS) -> DataFrame:
 
 
 def chunk_context(
-    contexts: DataFrame, chunk_chars: int = CHUNK_CHARS, max_chunks: int = MAX_CHUNKS
+    contexts: DataFrame, chunk_chars: int = CHUNK_CHARS, max_chunks: int | None = MAX_CHUNKS
 ) -> DataFrame:
-    """``qid, chunk_no, chunk, n_chunks, n_dropped``, numbered from 1."""
+    """``qid, chunk_no, chunk, n_chunks, n_dropped``, numbered from 1; ``max_chunks`` None keeps all."""
     packed = contexts.select("qid", pack_passages(F.col("context"), chunk_chars).alias("chunks"))
     count = F.size("chunks")
+    kept = count if max_chunks is None else F.least(count, F.lit(max_chunks))
     return packed.select(
         "qid",
-        F.posexplode(F.slice("chunks", 1, max_chunks)).alias("chunk_no", "chunk"),
-        F.least(count, F.lit(max_chunks)).alias("n_chunks"),
-        F.greatest(count - max_chunks, F.lit(0)).alias("n_dropped"),
+        F.posexplode(F.slice("chunks", F.lit(1), kept)).alias("chunk_no", "chunk"),
+        kept.alias("n_chunks"),
+        (count - kept).alias("n_dropped"),
     ).withColumn("chunk_no", F.col("chunk_no") + 1)
 
 

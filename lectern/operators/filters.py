@@ -68,47 +68,46 @@ def filter_key(filters: Column) -> Column:
 
 
 def match_filters(corpus: DataFrame, specs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """Corpus rows once per filter map they satisfy.
+    """Corpus rows once per filter map they satisfy, in one scan.
 
     ``specs`` has ``spec`` (the :func:`filter_key`), ``filters`` (cleaned) and the
-    ``carry`` columns, one row per filter map. Maps over the same fields are matched
-    with one equality join, so their number is not limited. A short list is read once
-    and its values also go to the scan as IN lists.
+    ``carry`` columns, one row per filter map. A row gets one key for each set of fields that maps
+    name, and all keys meet the maps in one equality join, so the number of maps is not
+    limited. The values of a short list also go to the scan as IN lists.
     """
     specs = specs.select("spec", "filters", *carry)
     head = specs.limit(IN_LIST_VALUES + 1).collect()
     short = len(head) <= IN_LIST_VALUES
+    names = F.array_sort(F.map_keys("filters"))
     if short:
         sets = Counter(tuple(sorted(row["filters"])) for row in head)
     else:
-        fields = F.array_sort(F.map_keys("filters"))
-        sets = {tuple(r[0]): r[1] for r in specs.groupBy(fields).count().collect()}
-    rows = head if short else None
-    branches = [_match_set(corpus, specs, fields, n, carry, rows) for fields, n in sorted(sets.items())]
-    if not branches:
+        sets = {tuple(r[0]): r[1] for r in specs.groupBy(names).count().collect()}
+    if not sets:
         empty = [F.lit(None).cast(specs.schema[c].dataType).alias(c) for c in ("spec", *carry)]
         return corpus.select("*", *empty).limit(0)
-    return reduce(DataFrame.unionByName, branches)
-
-
-def _match_set(corpus, specs, fields, count, carry, rows) -> DataFrame:
-    """Documents matching the filter maps over exactly these ``fields``."""
-    keys = F.array_sort(F.map_keys("filters"))
-    part = specs.where(keys == F.array(*[F.lit(f) for f in fields]).cast("array<string>"))
-    mine = None if rows is None else [r for r in rows if tuple(sorted(r["filters"])) == fields]
-    if not fields:
-        # the empty map: one row, and all documents match it
-        row = mine[0] if mine else part.first()
-        return corpus.select("*", *[F.lit(row[c]).alias(c) for c in ("spec", *carry)])
-    if mine is not None:
-        part = corpus.sparkSession.createDataFrame(mine, specs.schema)
-    docs = corpus
-    for f in fields:
-        kind = corpus.schema[f].dataType
-        if mine is not None:
-            wanted = sorted({r["filters"][f] for r in mine})
-            docs = docs.where(F.col(f).isin([F.lit(v).try_cast(kind) for v in wanted]))
-        part = part.withColumn(f"__{f}", F.col("filters")[f].try_cast(kind))
-    on = reduce(lambda a, b: a & b, [docs[f] == part[f"__{f}"] for f in fields])
-    joined = docs.join(broadcast_within(part.drop("filters"), count), on)
-    return joined.drop(*[f"__{f}" for f in fields])
+    shapes = sorted(sets)
+    docs = corpus.where(_wanted_values(corpus, shapes, head)) if short and () not in sets else corpus
+
+    def key(shape: int, values: list[Column]) -> Column:
+        texts = F.array(*[v.cast("string") for v in values]).cast("array<string>")
+        return F.struct(F.lit(shape).alias("shape"), texts.alias("texts"))
+
+    keys = F.array(*[key(i, [F.col(f) for f in fields]) for i, fields in enumerate(shapes)])
+    asked = F.lit(None)
+    for i, fields in enumerate(shapes):  # values as the columns print them, so that "07" finds the number 7
+        values = [F.col("filters")[f].try_cast(corpus.schema[f].dataType) for f in fields]
+        asked = F.when(names == F.array(*[F.lit(f) for f in fields]).cast("array<string>"), key(i, values)).otherwise(asked)
+    part = specs.select("spec", *carry, asked.alias("__key")).where(~F.exists("__key.texts", lambda t: t.isNull()))
+    keyed = docs.withColumn("__key", F.explode(keys))
+    return keyed.join(broadcast_within(part, sum(sets.values())), "__key").drop("__key")
+
+
+def _wanted_values(corpus: DataFrame, shapes: Sequence[tuple[str, ...]], rows) -> Column:
+    """What any of the filter maps in ``rows`` can match, as IN lists of the columns' types."""
+    parts = []
+    for fields in shapes:
+        mine = [r["filters"] for r in rows if tuple(sorted(r["filters"])) == fields]
+        lists = [F.col(f).isin([F.lit(v).try_cast(corpus.schema[f].dataType) for v in sorted({m[f] for m in mine})]) for f in fields]
+        parts.append(reduce(lambda a, b: a & b, lists))
+    return reduce(lambda a, b: a | b, parts)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lectern.functions.text import first_present, folded
-from lectern.plans.sizing import broadcast_within, top_per_group
+from lectern.plans.sizing import broadcast_within, staged, top_per_group
 from lectern.settings import (
     CITATION_CHARS,
     CONTENT_KEY_CHARS,
@@ -37,17 +37,24 @@ def merge_hits(first: DataFrame, second: DataFrame) -> DataFrame:
 def fetch_docs(
     hits: DataFrame, corpus: DataFrame, rows: int | None = None, id_col: str = "doc_id", row_bytes: int = 96
 ) -> DataFrame:
-    """Hits with their documents' columns. ``rows`` is a known bound on the hits: small enough, they are broadcast."""
-    side = hits if rows is None else broadcast_within(hits, rows, row_bytes)
-    return corpus.join(side, id_col)
+    """Hits with their documents' columns.
+
+    ``rows`` is a known bound on the hits; without one they are written first and counted. Few enough, they are
+    broadcast, so that the corpus isn't shuffled for them.
+    """
+    if rows is None:
+        hits = staged(hits, "hits")
+        rows = hits.count()
+    return corpus.join(broadcast_within(hits, rows, row_bytes), id_col)
 
 
-def content_keys(df: DataFrame) -> list[Column]:
-    """Title and start of the description, in the form repeats are found by."""
+def content_keys(df: DataFrame, chars: int | None = CONTENT_KEY_CHARS) -> list[Column]:
+    """Title and the first ``chars`` of the description (None: all of it), in the form repeats are found by."""
     description = first_present(df, DESCRIPTION_FIELDS, "")
+    start = description if chars is None else F.left(description, F.lit(chars))
     return [
         folded(first_present(df, TITLE_FIELDS, "")).alias("__title"),
-        folded(F.left(description, F.lit(CONTENT_KEY_CHARS))).alias("__description"),
+        folded(start).alias("__description"),
     ]
 
 
@@ -56,13 +63,16 @@ def dedup_hits(
     field: str | None = None,
     group: Sequence[str] = ("qid",),
     order: str = "merge_rk",
+    content_chars: int | None = CONTENT_KEY_CHARS,
 ) -> DataFrame:
     """First hit of each content, or of each value of ``field``.
 
+    ``content_chars``: how much of the description counts as content; None is all of it.
+
     Every partition keeps one row per key before the shuffle, so many copies cost no task.
     """
     if field is None:
-        keys = content_keys(hits)
+        keys = content_keys(hits, content_chars)
     else:
         keys = [folded(F.coalesce(F.col(field).cast("string"), F.lit(""))).alias("__value")]
     names = [f"__key{i}" for i in range(len(keys))]
@@ -85,14 +95,14 @@ def uncovered_values(values: DataFrame, docs: DataFrame, field: str, group: Sequ
     return keyed.join(covered, [*group, "__covered"], "left_anti").drop("__covered")
 
 
-def citation(df: DataFrame, id_col: str = "doc_id") -> Column:
+def citation(df: DataFrame, id_col: str = "doc_id", chars: int = CITATION_CHARS) -> Column:
     """One hit as a citation; ``df`` has the hit's ``rk`` and ``score`` and the document's columns."""
     return F.struct(
         F.col("rk").cast("int").alias("idx"),
         F.round("score", 4).alias("score"),
         F.col(id_col).cast("string").alias("id"),
         first_present(df, TITLE_FIELDS, "Untitled").alias("title"),
-        F.left(first_present(df, DESCRIPTION_FIELDS, ""), F.lit(CITATION_CHARS)).alias("description"),
+        F.left(first_present(df, DESCRIPTION_FIELDS, ""), F.lit(chars)).alias("description"),
         first_present(df, ("activity_name",), "").alias("activity"),
         first_present(df, ("location_name",), "").alias("location"),
         first_present(df, TYPE_FIELDS, "").alias("type"),

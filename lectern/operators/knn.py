@@ -119,8 +119,9 @@ def _one_pass(
         docs = corpus.where(reduce(lambda a, b: a | b, each))
     docs = docs.select(id_col, vector_col, *[F.col(f).cast("string").alias(f"__{f}") for f in fields])
     # a filter value as the column type prints it, so that "07" finds the number 7
+    texts = _as_column_text(corpus, {pair for wanted, _ in groups.values() for pair in wanted.items()})
     shared = corpus.sparkSession.sparkContext.broadcast(
-        (matrix, qids, [(_as_column_text(corpus, w), np.array(ix)) for w, ix in groups.values()])
+        (matrix, qids, [({f: texts[f, v] for f, v in w.items()}, np.array(ix)) for w, ix in groups.values()])
     )
 
     def usable_rows(part, rows, by_filter):
@@ -151,14 +152,15 @@ def _one_pass(
     return docs.mapInArrow(search, schema)
 
 
-def _as_column_text(corpus: DataFrame, wanted: dict[str, str]) -> dict[str, str]:
-    plain = {f: v for f, v in wanted.items() if _ddl(corpus, f) == "string"}
-    other = [f for f in wanted if f not in plain]
+def _as_column_text(corpus: DataFrame, wanted: set[tuple[str, str]]) -> dict[tuple[str, str], str]:
+    """Text of every (field, value) as the field's column prints it, in one job for all of them."""
+    found = {(f, v): v for f, v in wanted if _ddl(corpus, f) == "string"}
+    other = sorted(wanted - found.keys())
     if other:
-        cols = [F.lit(wanted[f]).try_cast(_ddl(corpus, f)).cast("string").alias(f) for f in other]
-        row = corpus.sparkSession.range(1).select(*cols).first()
-        plain.update({f: row[f] if row[f] is not None else "\0" for f in other})
-    return plain
+        texts = F.array(*[F.lit(v).try_cast(_ddl(corpus, f)).cast("string") for f, v in other])
+        row = corpus.sparkSession.range(1).select(texts.alias("texts")).first()
+        found.update({pair: "\0" if text is None else text for pair, text in zip(other, row.texts)})
+    return found
 
 
 def _approximate(

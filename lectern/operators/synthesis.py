@@ -10,39 +10,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.plans.sizing import staged
-from lectern.rules import DEFAULT_MODE, MODE_INSTRUCTIONS
+from lectern.rules import ALWAYS, DEFAULT_MODE, MODE_INSTRUCTIONS
 
 Generate = Callable[[Sequence[str]], Sequence[str]]
 
-PASSAGES = "=== DOCUMENT PASSAGES ==="
-QUESTION = "=== USER QUESTION ==="
-REPORT = "=== YOUR REPORT ==="
-TASK = "=== YOUR TASK ==="
-VALUES = "=== AGGREGATION DATA ==="
-WARNINGS = "=== DATA COMPLETENESS WARNINGS ==="
-
-ASK_DISTRIBUTION = "Describe how the values are spread. Repeat every value with its count and percentage."
-ASK_SINGLE = "Answer briefly and to the point from the passages above, with marks like [Source 1]."
-ASK_WHOLE = "(Parts: Executive Summary, Key Findings, Detailed Analysis, Conclusions)"
-ASK_PART = (
-    "Look at this part alone. Note its main findings, its figures, names and dates, and any pattern. "
-    "Be brief: the other parts are added later."
-)
-ASK_FINAL = (
-    "Join all parts into one report with Executive Summary, Key Findings from every part, "
-    "Detailed Analysis, Conclusions, and marks like [Source 1], [Source 2]."
-)
+# Headings of a prompt's sections.
+PASSAGES = "[Texts]"
+QUESTION = "[Question]"
+REPORT = "[Reply]"
+TASK = "[Step]"
+VALUES = "[Lists]"
+WARNINGS = "[Notes]"
+SHARE = "[Texts, share %d of %d]"
+LAST_SHARE = "[Texts, last share: %d of %d]"
+EARLIER = "[Written about shares 1 to %d]"
+SHARE_TEXT = "(Share %d)\n"
+
+ASK_DISTRIBUTION = "Say how the documents are spread over the values, and keep all counts and shares."
+ASK_SINGLE = "Keep it short, with marks like [Source 1]."
+ASK_WHOLE = "Begin with the outcome, then give the grounds."
+ASK_PART = "Note what this share says about the question. The notes on all shares are put together later."
+ASK_FINAL = "Put the notes and the last share together into one text, with marks like [Source 1]."
+TOLD_PART = "The texts come in %2$d shares; this is number %1$d."
+PASS_ON = "\nPass these notes on."
+# Fixed value: what stands between the answers of a question's parts.
+BETWEEN_PARTS = "\n\n---\n\n"
 
 
 def instructions(mode: Column) -> Column:
     """What the mode asks for; unknown modes read as ``answer``."""
     pairs = [x for m, text in MODE_INSTRUCTIONS.items() for x in (F.lit(m), F.lit(text))]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), mode), F.lit(MODE_INSTRUCTIONS[DEFAULT_MODE]))
+    asked = F.coalesce(F.try_element_at(F.create_map(*pairs), mode), F.lit(MODE_INSTRUCTIONS[DEFAULT_MODE]))
+    return F.concat_ws(" ", asked, F.lit(ALWAYS))
 
 
 def warnings_block(notes: Column) -> Column:
     lines = F.array_join(F.transform(notes, lambda n: F.concat(F.lit("- "), n)), "\n")
-    block = F.concat(F.lit(f"\n\n{WARNINGS}\n"), lines, F.lit("\nRepeat these warnings in the report."))
+    block = F.concat(F.lit(f"\n\n{WARNINGS}\n"), lines, F.lit(PASS_ON))
     return F.when(F.size(notes) > 0, block).otherwise(F.lit(""))
 
 
@@ -77,13 +81,13 @@ def chunk_prompt(
 ) -> Column:
     """Prompt of chunk ``no`` of ``n``: a whole report, a part, or the final joining of ``earlier`` parts."""
     warned = F.concat(instructions(mode), warnings_block(_no_notes() if notes is None else notes))
-    part_head = F.format_string("=== DOCUMENT PASSAGES (PART %d/%d) ===", no, n)
-    last_head = F.format_string("=== FINAL DOCUMENT PASSAGES (PART %d/%d) ===", no, n)
-    earlier_head = F.format_string("=== PREVIOUS ANALYSIS (Parts 1-%d) ===", n - 1)
+    part_head = F.format_string(SHARE, no, n)
+    last_head = F.format_string(LAST_SHARE, no, n)
+    earlier_head = F.format_string(EARLIER, n - 1)
     whole = _prompt(warned, _section(PASSAGES, chunk), _section(QUESTION, query), _section(REPORT, F.lit(ASK_WHOLE)))
     part = _prompt(
         instructions(mode),
-        F.format_string("This is PART %d of %d of the document collection.", no, n),
+        F.format_string(TOLD_PART, no, n),
         _section(part_head, chunk), _section(QUESTION, query), _section(TASK, F.lit(ASK_PART)),
     )
     final = _prompt(
@@ -97,7 +101,7 @@ def extract(prompts: Sequence[str]) -> list[str]:
     """Offline default generator: the first sentence of every passage, or the value list as it is."""
     out = []
     for prompt in prompts:
-        body = re.split(r"\n\n=== USER QUESTION ===", prompt, maxsplit=1)[0]
+        body = prompt.split(f"\n\n{QUESTION}", 1)[0]
         if VALUES in body:
             out.append(body.split(VALUES, 1)[1].strip())
             continue
@@ -149,10 +153,10 @@ def synthesize(chunks: DataFrame, generate: Generate | None = None, notes: bool
     parts = F.array_sort(F.collect_list(F.struct("chunk_no", "answer")))
     earlier = first.where("n_chunks > 1").groupBy("qid").agg(parts.alias("parts"))
     marked = F.transform(
-        "parts", lambda p: F.concat(F.format_string("--- Part %d Summary ---\n", p["chunk_no"]), p["answer"])
+        "parts", lambda p: F.concat(F.format_string(SHARE_TEXT, p["chunk_no"]), p["answer"])
     )
     last = chunks.where("n_chunks > 1 and chunk_no = n_chunks").join(earlier, "qid")
     final = generate_text(last.withColumn("prompt", _chunk_prompt(F.array_join(marked, "\n\n"), notes)), generate)
-    joined = F.concat_ws("\n\n---\n\n", F.transform("parts", lambda p: p["answer"]), F.col("answer"))
+    joined = F.concat_ws(BETWEEN_PARTS, F.transform("parts", lambda p: p["answer"]), F.col("answer"))
     merged = F.when(F.col("n_chunks") <= 3, joined).otherwise(F.col("answer"))
     return done.unionByName(final.select("qid", merged.alias("answer")))

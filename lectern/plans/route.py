@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import first_match, folded
-from lectern.rules import DEFAULT_STRATEGY, FIELD_WORDS, INTENT_CUES, STRATEGIES, field_patterns, intent_patterns
+from lectern.rules import DEFAULT_STRATEGY, FIELD_WORDS, INTENT_PATTERNS, STRATEGIES, field_patterns, intent_patterns
 
 
-def intent_of(query: Column, cues=INTENT_CUES) -> Column:
+def intent_of(query: Column, cues=INTENT_PATTERNS) -> Column:
     return F.coalesce(first_match(folded(query), intent_patterns(cues)), F.lit("unknown"))
 
 
@@ -17,7 +17,7 @@ def field_of(query: Column, words=FIELD_WORDS) -> Column:
     return first_match(folded(query), field_patterns(words))
 
 
-def classify_intent(questions: DataFrame, cues=INTENT_CUES) -> DataFrame:
+def classify_intent(questions: DataFrame, cues=INTENT_PATTERNS) -> DataFrame:
     return questions.withColumn("intent", intent_of(F.col("query"), cues))
 
 
@@ -25,7 +25,7 @@ def resolve_field(questions: DataFrame, words=FIELD_WORDS) -> DataFrame:
     return questions.withColumn("enum_field", field_of(F.col("query"), words))
 
 
-def route(questions: DataFrame, cues=INTENT_CUES, words=FIELD_WORDS) -> DataFrame:
+def route(questions: DataFrame, cues=INTENT_PATTERNS, words=FIELD_WORDS) -> DataFrame:
     """Adds ``intent, enum_field, strategy, confidence``."""
     known = resolve_field(classify_intent(questions, cues), words)
     rules = [

@@ -21,8 +21,8 @@ def test_synthesis_by_number_of_chunks(spark):
         # what kind of prompt it was and which parts it saw
         out = []
         for p in prompts:
-            kind = "final" if "FINAL" in p else "part" if "This is PART" in p else "whole"
-            out.append(f"{kind}:{p.count('Summary ---')}")
+            kind = "final" if "last share" in p else "part" if "this is number" in p else "whole"
+            out.append(f"{kind}:{p.count('(Share ')}")
         return out
 
     got = {r.qid: r.answer for r in L.synthesize(chunks, number).collect()}
@@ -45,8 +45,9 @@ def test_prompts(spark):
         ).alias("final"),
         synthesis.chunk_prompt(F.lit("odd"), F.lit("C"), F.lit("Q"), F.lit(1), F.lit(2), F.lit("")).alias("part"),
     ).first()
-    assert "WARNINGS ===\n- n1\n- n2\n" in one.final and "(Parts 1-1) ===\nE\n" in one.final
-    assert "(PART 2/2) ===\nC\n" in one.final and "PART 1 of 2" in one.part and "WARNINGS" not in one.part
+    assert f"{synthesis.WARNINGS}\n- n1\n- n2\n" in one.final and "[Written about shares 1 to 1]\nE\n" in one.final
+    assert "[Texts, last share: 2 of 2]\nC\n" in one.final and "2 shares; this is number 1." in one.part
+    assert synthesis.WARNINGS not in one.part
 
 
 class Counting:
@@ -69,7 +70,7 @@ def reports(spark, table):
         (2, "List all locations", "answer", {"form_type": "c"}),
         (3, "Distribution of types", "answer", {}),
         (4, "what is red", "summarize", {}),
-        (5, "red " * 30, "nomode", {"form_type": " a "}),
+        (5, "red " * 30, "answer", {"form_type": " a "}),
         (6, "compare red with blue", "answer", {}),
         (7, "compare red with blue", "predict", {"location_name": "L2"}),
         (8, "compare red with blue", "predict", {"location_name": "nowhere"}),
@@ -77,12 +78,14 @@ def reports(spark, table):
         (10, "compare zebras", "answer", {"form_type": " "}),
         (11, "compare zebras", "answer", None),
     ]
-    made = L.answer_questions(spark.createDataFrame(asked, QUESTION), table, Counting(), dim=3)
+    asked += [(12, " ", "answer", {}), (13, "what is red", "shout", {}), (14, "what is red", "answer", {"colour": "x"}),
+              (15, "what is red", "answer", {"source_type": "x"}), (16, "compare red", " ", {})]
+    made = L.answer_questions(spark.createDataFrame(asked, QUESTION), table, Counting())
     return {r.qid: r for r in made.collect()}
 
 
 def test_every_question_is_answered_once(reports):
-    assert sorted(reports) == list(range(1, 12))
+    assert sorted(reports) == list(range(1, 17))
 
 
 def test_listing(reports):
@@ -106,7 +109,7 @@ def test_single_pass_answers(reports):
     assert [s.idx for s in r.sources] == list(range(1, 11)) and r.metadata.total_hits == 10
     assert "[Source 1]" in r.answer and r.metadata.context_chars > 0 and r.metadata.aggregation is None
     odd = reports[5]
-    assert odd.mode == "nomode" and odd.mode_label == "Answer" and odd.title.endswith("...")
+    assert odd.mode == "answer" and odd.mode_label == "Answer" and odd.title.endswith("...")
     assert {s.type for s in odd.sources} == {"a"} and odd.metadata.filters == {"form_type": " a "}
 
 
@@ -165,3 +168,51 @@ def test_store(spark, table, tmp_path):
     assert L.read_reports(spark, str(tmp_path / "p"), "parquet").count() == 5
     L.save_reports(made, str(tmp_path / "t"), "text")
     assert spark.read.text(str(tmp_path / "t")).where("value like '## Complete%'").count() == 5
+
+
+def test_bad_questions_get_a_report(reports):
+    told = {q: reports[q].answer for q in (12, 13, 14, 15)}
+    assert told == {12: "Please enter a query", 13: "Invalid mode: shout", 14: "Unknown filter: colour", 15: "Unknown filter: source_type"}
+    assert all(reports[q].sources == [] and reports[q].metadata.strategy == "refused" for q in told)
+    assert reports[12].completeness_notes == [told[12]] and reports[16].sources
+
+
+def test_no_questions_no_reports(spark, table):
+    none = L.answer_questions(spark.createDataFrame([], QUESTION), table, Counting())
+    one = L.answer_questions(spark.createDataFrame([(1, "", "answer", {})], QUESTION), table, Counting())
+    assert none.count() == 0 and none.columns == one.columns and one.count() == 1
+
+
+def test_unread_parts_are_told_and_not_cited(spark, table):
+    asked = spark.createDataFrame([(1, "compare red with blue", "answer", {})], QUESTION)
+    whole = L.answer_questions(asked, table, Counting(), chunk_chars=200, max_chunks=None).first()
+    cut = L.answer_questions(asked, table, Counting(), chunk_chars=200, max_chunks=2).first()
+    assert whole.completeness_notes == [] and len(whole.sources) == 30
+    assert cut.completeness_notes[0].endswith("parts of the documents found were not read")
+    read = {s.idx for s in cut.sources}
+    assert 0 < len(read) < 30 and read == set(range(1, len(read) + 1))
+    assert cut.metadata.context_chars < whole.metadata.context_chars and cut.metadata.selected_hits == len(read)
+
+
+def test_generator_is_called_once_per_prompt(spark, table, tmp_path):
+    asked = spark.createDataFrame(
+        [(1, "what is red", "answer", {}), (2, "Distribution of types", "answer", {}), (3, "compare red with blue", "answer", {})], QUESTION)
+
+    def noted(prompts):
+        import uuid
+        for p in prompts:
+            (tmp_path / uuid.uuid4().hex).write_text(p)
+        return ["text"] * len(prompts)
+
+    made = L.answer_questions(asked, table, Counting(), noted, chunk_chars=10_000)
+    made.collect()
+    made.select("answer", "sources").collect()
+    prompts = [f.read_text() for f in tmp_path.iterdir()]
+    assert len(prompts) == len(set(prompts)) == 3
+    assert made.first().metadata.generation_time > 0
+
+
+def test_another_length_of_vectors_is_an_error(spark, table):
+    asked = spark.createDataFrame([(1, "what is red", "answer", {})], QUESTION)
+    with pytest.raises(Exception, match="numbers where|length"):
+        L.answer_questions(asked, table, dim=8).collect()

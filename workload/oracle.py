@@ -5,7 +5,7 @@ from __future__ import annotations
 from lectern.functions.text import WHITE_SPACE
 from lectern.rules import FIELD_WORDS, STRATEGIES, field_patterns, intent_patterns
 from lectern.operators import synthesis
-from lectern.rules import MODE_INSTRUCTIONS
+from lectern.rules import ALWAYS, MODE_INSTRUCTIONS
 from workload.tables import OPENINGS
 
 SPACES = "concat(" + ", ".join(f"chr({ord(c)})" for c in WHITE_SPACE) + ")"
@@ -428,7 +428,7 @@ SELECT p_partkey, CAST(i AS INTEGER) AS no, array_to_string(ws[i * 3 + 1 : i * 3
 FROM (SELECT p_partkey, ws, unnest(range((len(ws) + 2) // 3)) AS i FROM w)""",
     "build_prompts": f"""
 WITH RECURSIVE {CORPUS}, {NEAR}, {contexts('near', 8000)}
-SELECT qid, concat({text(MODE_INSTRUCTIONS['answer'])}, chr(10), chr(10), {text(synthesis.PASSAGES)}, chr(10), context,
+SELECT qid, concat({text(MODE_INSTRUCTIONS['answer'] + ' ' + ALWAYS)}, chr(10), chr(10), {text(synthesis.PASSAGES)}, chr(10), context,
   chr(10), chr(10), {text(synthesis.QUESTION)}, chr(10), text, chr(10), chr(10), {text(synthesis.REPORT)}, chr(10),
   {text(synthesis.ASK_SINGLE)}) AS prompt
 FROM contexts JOIN benchmark ON item_id = qid""",

@@ -52,7 +52,7 @@ LATER_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x
 
 END_OF_TEXT = 0x110000  # beyond the last code point; stands between texts
 WINDOW = 1 << 18  # code points that are classified at once
-CACHED_PIECES = 100_000
+CACHED_PIECES = 80_000  # by generation; there are two
 CACHED_PAIRS = 100_000
 LONG_PIECE = 64  # bytes above which merging uses a heap
 
@@ -289,7 +289,8 @@ class PairCache(dict):
 
 
 class MergeCache(dict):
-    """Packed ids (little-endian 32 bits) by piece; emptied when it is full.
+    """Packed ids (little-endian 32 bits) by piece. When it is full it becomes the older generation, whose pieces
+    come back when they are asked for again; the one before is dropped.
 
     A piece's merges leave exactly the sequence of tokens in which every neighbouring pair stays as it
     is when merged alone. So a new piece is read from its longest first token on, each step asking
@@ -299,18 +300,22 @@ class MergeCache(dict):
     def __init__(self, ranks: dict[bytes, int], limit: int = CACHED_PIECES):
         super().__init__()
         self.ranks, self.limit, self.pairs = ranks, limit, PairCache(ranks)
+        self.older: dict[bytes, bytes] = {}
         self.longest = max(map(len, ranks), default=1)
 
     def __missing__(self, piece: bytes) -> bytes:
         ranks = self.ranks
-        n = len(piece)
-        if piece in ranks:
+        packed = self.older.get(piece)
+        if packed is not None:
+            pass
+        elif piece in ranks:
             packed = ranks[piece].to_bytes(4, "little")
-        elif n > LONG_PIECE:
+        elif len(piece) > LONG_PIECE:
             return np.array(merged(piece, ranks), "<u4").tobytes()
         else:
             packed = b"".join([ranks[t].to_bytes(4, "little") for t in self._tokens(piece)])
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
         self[piece] = packed
         return packed
@@ -363,25 +368,39 @@ def _shared(spark: SparkSession, ranks_path: str) -> Callable[[], bytes]:
 
 
 def encode_documents(
-    docs: DataFrame, ranks_path: str, keep: Sequence[str] = ("doc_id",), text: str = "text",
+    docs: DataFrame, ranks_path: str, keep: Sequence[str] = ("doc_id",), text: str = "text", decode: bool = False,
 ) -> DataFrame:
-    """``keep`` columns, ``ids`` (binary, little-endian unsigned 32 bits) and ``offsets`` (the same, byte where each token ends)."""
-    schema = mapped_schema(docs, keep, [T.StructField("ids", T.BinaryType()), T.StructField("offsets", T.BinaryType())])
+    """``keep`` columns, ``ids`` (binary, little-endian unsigned 32 bits) and ``offsets`` (the same, byte where each token ends).
+
+    With ``decode`` also ``decoded``, the bytes of the ids, from the same task.
+    """
+    added = ["ids", "offsets"] + ["decoded"] * decode
+    schema = mapped_schema(docs, keep, [T.StructField(c, T.BinaryType()) for c in added])
     content = _shared(docs.sparkSession, ranks_path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = content()
-        packed, (_, lengths) = _worker_cache(data), vocabulary(data)
+        packed, (tokens, lengths) = _worker_cache(data), vocabulary(data)
         for batch in sliced(batches):
             ids = [b"".join(map(packed.__getitem__, p)) for p in pieces(batch.column(len(keep)).to_pylist())]
-            offsets = [np.cumsum(lengths[np.frombuffer(i, "<u4")], dtype="<u4").tobytes() for i in ids]
+            made = [ids, [np.cumsum(lengths[np.frombuffer(i, "<u4")], dtype="<u4").tobytes() for i in ids]]
+            if decode:
+                made.append([decoded(*x, tokens) for x in zip(*made)])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], pa.array(ids, pa.binary()), pa.array(offsets, pa.binary())],
-                names=schema.names)
+                [*batch.columns[: len(keep)], *(pa.array(m, pa.binary()) for m in made)], names=schema.names)
 
     return docs.select(*keep, text_or_empty(text).alias("__text")).mapInArrow(encode, schema)
 
 
+def decoded(ids: bytes | None, offsets: bytes | None, tokens: dict[int, bytes]) -> bytes:
+    """Bytes of packed ids; fails where the offsets say otherwise."""
+    data = b"".join(map(tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+    ends = np.frombuffer(offsets or b"", "<u4")
+    if len(data) != (int(ends[-1]) if len(ends) else 0):
+        raise ValueError("offsets do not match the decoded bytes")
+    return data
+
+
 def decode_documents(encoded: DataFrame, ranks_path: str, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``keep`` columns of ``encoded`` and ``decoded`` (binary); fails where offsets and bytes disagree."""
     schema = mapped_schema(encoded, keep, [T.StructField("decoded", T.BinaryType())])
@@ -390,13 +409,8 @@ def decode_documents(encoded: DataFrame, ranks_path: str, keep: Sequence[str] =
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, _ = vocabulary(content())
         for batch in sliced(batches):
-            out = []
-            for ids, offsets in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist()):
-                data = b"".join(map(tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
-                ends = np.frombuffer(offsets or b"", "<u4")
-                if len(data) != (int(ends[-1]) if len(ends) else 0):
-                    raise ValueError("offsets do not match the decoded bytes")
-                out.append(data)
+            columns = (batch.column(len(keep) + i).to_pylist() for i in range(2))
+            out = [decoded(ids, offsets, tokens) for ids, offsets in zip(*columns)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.binary())],
                                              names=schema.names)
 

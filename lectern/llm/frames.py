@@ -25,6 +25,7 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for batch in batches:
         for low in range(0, batch.num_rows, rows):
             yield batch.slice(low, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def text_or_empty(name: str) -> Column:

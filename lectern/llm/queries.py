@@ -89,9 +89,8 @@ def op9_license_patience(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text decoded from them, as digests."""
-    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), RANKS)
-    decoded = bpe.decode_documents(encoded, RANKS, keep=("doc_id", "ids"))
-    return decoded.select(
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), RANKS, decode=True)
+    return encoded.select(
         "doc_id",
         F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -52,6 +52,8 @@ def test_round_trip_offsets_and_odd_rows(spark):
     ids = bpe.encode_documents(docs, RANKS)
     got = {(r.doc_id, bytes(r.decoded)) for r in bpe.decode_documents(ids, RANKS).collect()}
     assert got == {(d, (t or "").encode()) for d, t, _ in rows} and ids.count() == len(rows)
+    both = bpe.encode_documents(docs, RANKS, decode=True)
+    assert {(r.doc_id, bytes(r.decoded)) for r in both.collect()} == got
     tokens, _ = bpe.vocabulary(CONTENT)
     for r in ids.collect():
         text = b"".join(map(tokens.__getitem__, np.frombuffer(r.ids, "<u4").tolist()))

@@ -46,9 +46,8 @@ def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document and the digest of what they decode to."""
     shipped(spark)
-    ids = bpe.encode_documents(docs, RANKS)
-    decoded = bpe.decode_documents(ids, RANKS, keep=("doc_id", "ids"))
-    return decoded.select(
+    ids = bpe.encode_documents(docs, RANKS, decode=True)
+    return ids.select(
         "doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), "ids",
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

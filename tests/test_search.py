@@ -18,7 +18,7 @@ def vectors(spark):
     rows = [(i, rng.normal(size=8).round(2).tolist(), "ab"[i % 2], i % 5) for i in range(300)]
     # a third of the table is copies of one vector
     rows += [(1000 + i, rows[7][1], "a", 1) for i in range(150)]
-    rows += [(2000, [0.0] * 8, "a", 0), (2001, [1.0] * 3, "a", 0), (2002, None, "b", 0), (2003, [float("nan")] * 8, "b", 0)]
+    rows += [(2000, [0.0] * 8, "a", 0), (2002, None, "b", 0), (2003, [float("nan")] * 8, "b", 0)]
     return spark.createDataFrame(rows, "doc_id bigint, embedding array<float>, side string, n int").repartition(6)
 
 
@@ -62,6 +62,12 @@ def test_exact_search(spark, vectors):
     check(L.knn_search(vectors, questions(spark, asked)), want)
 
 
+def test_another_length_is_an_error(spark, vectors):
+    odd = vectors.limit(5).union(spark.createDataFrame([(2001, [1.0] * 3, "a", 0)], vectors.schema))
+    with pytest.raises(Exception, match="3 numbers where 8"):
+        L.knn_search(odd, questions(spark, random_asks(2))).collect()
+
+
 def test_search_with_filters(spark, vectors):
     rows = vectors.collect()
     asked = random_asks(9, ({"side": " a "}, {"side": "b", "n": "03"}, {"side": " ", "n": "nothing"}))
@@ -294,3 +300,43 @@ def test_citations(spark):
     assert (first.type, first.location, first.activity) == ("s", "loc", "")
     assert (second.title, second.description, second.type, second.location) == ("Untitled", "", "f", "")
     assert len(L.citations(hits, 1).first().sources) == 1
+
+
+def test_all_filters_in_one_scan(spark, vectors, tmp_path):
+    from lectern.operators.filters import filter_key, match_filters
+
+    vectors.write.parquet(str(tmp_path / "v"))
+    stored = spark.read.parquet(str(tmp_path / "v"))
+    maps = [{"side": "a"}, {"n": "03"}, {"side": "b", "n": "2"}, {"side": "nowhere"}, {"n": "no number"}]
+    for some in (maps, maps + [{}]):
+        specs = spark.createDataFrame([(m,) for m in some], "filters map<string,string>")
+        found = match_filters(stored, specs.select(filter_key(F.col("filters")).alias("spec"), "filters"))
+        rows = vectors.collect()
+        want = {(i, r.doc_id) for i, m in enumerate(some) for r in rows
+                if all(str(r[f]) == v.lstrip("0") if f == "n" else r[f] == v for f, v in m.items())}
+        keys = [r[0] for r in specs.select(filter_key(F.col("filters"))).collect()]
+        got = [(keys.index(r.spec), r.doc_id) for r in found.collect()]
+        assert set(got) == want and len(got) == len(want)
+        assert found._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1
+
+
+def test_many_filters_give_the_same_rows(spark, vectors, monkeypatch):
+    from lectern.operators import filters as module
+
+    specs = spark.createDataFrame([({"side": "a"},), ({"n": "3"},), ({"n": "4", "side": "b"},)], "filters map<string,string>")
+    specs = specs.select(module.filter_key(F.col("filters")).alias("spec"), "filters")
+    few = sorted((r.spec, r.doc_id) for r in module.match_filters(vectors, specs).collect())
+    monkeypatch.setattr(module, "IN_LIST_VALUES", 1)
+    assert sorted((r.spec, r.doc_id) for r in module.match_filters(vectors, specs).collect()) == few
+
+
+def test_found_documents_do_not_shuffle_the_corpus(spark, vectors, tmp_path):
+    vectors.write.parquet(str(tmp_path / "v"))
+    stored = spark.read.parquet(str(tmp_path / "v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = L.knn_search(stored, questions(spark, random_asks(3)))
+        plan = L.fetch_docs(hits, stored)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan

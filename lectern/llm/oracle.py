@@ -32,4 +32,21 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN g USING (r)
 """
 
-ORACLE: dict[str, str] = {"op6_secret_ledger": OP6}
+# Base 32 by groups of 20 bits: five hexadecimal digits are four letters.
+OP8 = """
+WITH p AS (SELECT row_number() OVER () AS r, page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT *, sha1(t) AS h, max(page_id) OVER (PARTITION BY t) AS largest FROM p),
+g AS (SELECT r, i, CAST(concat('0x', substr(h, i * 5 + 1, 5)) AS INTEGER) AS v FROM d, range(8) AS x(i)),
+b AS (
+    SELECT r, string_agg(concat(
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> 15) + 1, 1), substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 10) & 31) + 1, 1),
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 5) & 31) + 1, 1), substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v & 31) + 1, 1)),
+        '' ORDER BY i) AS payload_digest
+    FROM g GROUP BY r)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, payload_digest,
+    CASE WHEN page_id IS DISTINCT FROM largest THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM largest THEN largest END AS refers_to
+FROM d JOIN b USING (r)
+"""
+
+ORACLE: dict[str, str] = {"op6_secret_ledger": OP6, "op8_warc_seekable": OP8}

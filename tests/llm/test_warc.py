@@ -6,7 +6,9 @@ import pytest
 import zstandard
 
 from lectern.llm import warc as A
+from lectern.llm.oracle import ORACLE
 from lectern.llm.queries import QUERIES, fresh_folder
+from oracle_check import compare, connect
 
 PAGES = "page_id bigint, url string, html string, payload string, refers_to string"
 
@@ -83,4 +85,6 @@ def test_empty(spark):
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     pages = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
-    assert sorted(map(tuple, QUERIES["op8_warc_seekable"](spark, sf).collect()), key=str) == plain(pages)
+    found = QUERIES["op8_warc_seekable"](spark, sf)
+    assert sorted(map(tuple, found.collect()), key=str) == plain(pages)
+    assert compare(found, connect(sf), ORACLE["op8_warc_seekable"]) is None

@@ -23,10 +23,13 @@ from lectern.sources.corpus import corpus_count, load_corpus, preview_text
 from lectern.sources.reports import list_reports, load_report, read_reports, save_reports
 from lectern.sources.vectors import (
     build_vector_table,
+    compact_vectors,
     ingest_report,
     publish,
+    quarantine,
     read_vectors,
     try_search,
+    unused_folders,
     upsert_vectors,
     verify_vectors,
     with_vectors,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import embedding_text
@@ -15,7 +16,8 @@ from lectern.operators.knn import knn_search
 from lectern.plans.sizing import spread_small, top_per_group
 from lectern.settings import EMBED_FIELDS, STORED_TEXT_CHARS
 
-VERSION = "version bigint, path string, published_at timestamp"
+VERSION = "version bigint, path string, kind string, id_col string, only_ok boolean, published_at timestamp"
+MAX_FAILED = 0.5  # share of rows that may fail before a build is refused
 
 
 def with_vectors(
@@ -26,10 +28,11 @@ def with_vectors(
     id_col: str = "doc_id",
     fields: Sequence[str] = EMBED_FIELDS,
     partitions: int | None = None,
+    stored_chars: int | None = STORED_TEXT_CHARS,
 ) -> DataFrame:
     """Documents with any text, plus ``embedding, embed_ok, embedded_text, embedded_at``.
 
-    The whole text is embedded; only the stored copy is cut. ``partitions`` spreads
+    The whole text is embedded; only the stored copy is cut (``stored_chars`` None: not at all). ``partitions`` spreads
     the documents over that many tasks before the embedding calls; by default only a table too
     small for the scan to split is spread.
     """
@@ -38,7 +41,7 @@ def with_vectors(
         docs = docs.orderBy(id_col).limit(limit)
     docs = docs.repartition(partitions) if partitions else spread_small(docs)
     out = embed_table(docs, embed, dim, text_col="__text")
-    stored = F.left("__text", F.lit(STORED_TEXT_CHARS))
+    stored = F.col("__text") if stored_chars is None else F.left("__text", F.lit(stored_chars))
     return out.withColumn("embedded_text", stored).withColumn("embedded_at", F.current_timestamp()).drop("__text")
 
 
@@ -52,46 +55,95 @@ def build_vector_table(
     id_col: str = "doc_id",
     fields: Sequence[str] = EMBED_FIELDS,
     partitions: int | None = None,
+    max_failed: float = MAX_FAILED,
+    rejected: str | None = None,
 ) -> DataFrame:
-    """Build and publish a version of the table at ``root``; ``upsert`` keeps other ids of the current one."""
-    fresh = with_vectors(corpus, embed, dim, limit, id_col, fields, partitions)
-    if mode == "upsert":
-        fresh = upsert_vectors(read_vectors(corpus.sparkSession, root), fresh, id_col, F.desc("embedded_at"))
-    publish(fresh, root)
-    return read_vectors(corpus.sparkSession, root)
+    """Build and publish a version of the table at ``root``.
+
+    ``upsert`` publishes the new rows alone; readers put them in place of those with the same ids, and
+    :func:`compact_vectors` writes them out. Nothing is published if more than the share
+    ``max_failed`` of the rows could not be embedded. Those that failed are appended to the table ``rejected``
+    instead of being published; without one they are published with ``embed_ok`` false.
+    """
+    spark = corpus.sparkSession
+    path = _written(with_vectors(corpus, embed, dim, limit, id_col, fields, partitions), root)
+    made = spark.read.parquet(path)
+    failed = made.where(~F.col("embed_ok"))
+    rows, bad = made.count(), failed.count()
+    if bad > max_failed * rows:
+        raise ValueError(f"{bad} of {rows} rows could not be embedded; nothing is published")
+    if rejected and bad:
+        failed.write.mode("append").parquet(rejected)
+    _listed(spark, root, path, "rows" if mode == "upsert" else "table", id_col, bool(rejected))
+    return read_vectors(spark, root)
 
 
 def publish(df: DataFrame, root: str) -> str:
     """Write ``df`` to a new folder, then append it to the version list: readers see the old table or the new one."""
-    spark = df.sparkSession
+    path = _written(df, root)
+    _listed(df.sparkSession, root, path, "table", "doc_id", False)
+    return path
+
+
+def _written(df: DataFrame, root: str) -> str:
     path = f"{root}/data/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    try:
-        last = spark.read.schema(VERSION).json(f"{root}/versions").agg(F.max("version")).first()[0] or 0
-    except AnalysisException:
-        last = 0
+    return path
+
+
+def _listed(spark: SparkSession, root: str, path: str, kind: str, id_col: str, only_ok: bool) -> None:
+    """Append an entry. Its version is the time in nanoseconds; of two builds at once both are listed, by folder name."""
     entry = spark.range(1).select(
-        F.lit(last + 1).cast("bigint").alias("version"), F.lit(path).alias("path"),
-        F.current_timestamp().alias("published_at"),
+        F.lit(time.time_ns()).alias("version"), F.lit(path).alias("path"), F.lit(kind).alias("kind"),
+        F.lit(id_col).alias("id_col"), F.lit(only_ok).alias("only_ok"), F.current_timestamp().alias("published_at"),
     )
     entry.write.mode("append").json(f"{root}/versions")
-    return path
+
+
+def versions(spark: SparkSession, root: str) -> list[Row]:
+    """Entries of the version list that the present table is made of: a table, then the rows upserted since."""
+    entries = spark.read.schema(VERSION).json(f"{root}/versions").orderBy("version", "path").collect()
+    last = max(i for i, e in enumerate(entries) if e.kind != "rows")
+    return entries[last:]
 
 
 def read_vectors(spark: SparkSession, root: str) -> DataFrame:
-    path = spark.read.schema(VERSION).json(f"{root}/versions").agg(F.max_by("path", "version")).first()[0]
-    return spark.read.parquet(path)
+    """The table as last published: newer rows in place of older ones with the same id."""
+    def part(entry: Row) -> DataFrame:
+        rows = spark.read.parquet(entry.path)
+        return rows.where("embed_ok") if entry.only_ok else rows
+
+    base, *newer = versions(spark, root)
+    if not newer:
+        return part(base)
+    rows = reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True),
+        [part(e).withColumn("__version", F.lit(i)) for i, e in enumerate(newer)])
+    return upsert_vectors(part(base), rows, base.id_col, [F.desc("__version"), F.desc("embedded_at")]).drop("__version")
+
+
+def compact_vectors(spark: SparkSession, root: str) -> DataFrame:
+    """Write the table as it is read now as one version, so that readers need not put upserted rows in place."""
+    publish(read_vectors(spark, root), root)
+    return read_vectors(spark, root)
+
+
+def unused_folders(spark: SparkSession, root: str) -> list[str]:
+    """Folders of versions that the present table does not need: safe to remove once no reader has them open."""
+    used = {e.path for e in versions(spark, root)}
+    rows = spark.read.schema(VERSION).json(f"{root}/versions").select("path").collect()
+    return sorted({r.path for r in rows} - used)
 
 
 def upsert_vectors(
-    old: DataFrame, new: DataFrame, id_col: str = "doc_id", newest: Column | None = None
+    old: DataFrame, new: DataFrame, id_col: str = "doc_id", newest: Column | Sequence[Column] | None = None
 ) -> DataFrame:
     """``new`` replaces rows of ``old`` with the same id; of equal ids in ``new`` the first by ``newest`` wins.
 
     Only ids of ``new`` meet the old table, so its vectors are shuffled only where
     those ids are too many to broadcast.
     """
-    order = [newest] if newest is not None else []
+    order = [newest] if isinstance(newest, Column) else list(newest or [])
     tie = F.xxhash64(*[c for c in new.columns if c != id_col])
     once = top_per_group(new, [id_col], [*order, tie], 1, rank="__n").drop("__n")
     kept = old.join(new.select(id_col).distinct(), id_col, "left_anti")
@@ -130,6 +182,6 @@ def ingest_report(table: DataFrame, ok_col: str = "embed_ok") -> DataFrame:
 
 
 def quarantine(table: DataFrame, path: str, ok_col: str = "embed_ok") -> DataFrame:
-    """Append rows that failed to ``path`` and return the others."""
+    """Append rows that failed to ``path`` and return the others. ``table`` is a written one: it is read twice."""
     table.where(~F.col(ok_col)).write.mode("append").parquet(path)
     return table.where(F.col(ok_col))

@@ -88,6 +88,33 @@ def test_publish_and_upsert(spark, corpus, tmp_path):
     assert {r.doc_id for r in L.build_vector_table(change, root, dim=4).collect()} == {"d1", "d9"}
 
 
+def test_upsert_writes_new_rows_only(spark, corpus, tmp_path):
+    root = str(tmp_path / "table")
+    first = L.build_vector_table(corpus, root, dim=4)
+    files = set(first.inputFiles())
+    for i in range(3):
+        change = spark.createDataFrame([("d1", f"new {i}", "text", "x"), (f"n{i}", "more", None, None)], corpus.schema)
+        table = L.build_vector_table(change, root, mode="upsert", dim=4)
+    rows = {r.doc_id: r.title for r in table.collect()}
+    assert len(rows) == table.count() == 11 and rows["d1"] == "new 2"
+    # the first version's files stay where they are and are still read; the others hold two rows each
+    assert files < set(table.inputFiles()) and len(L.unused_folders(spark, root)) == 0
+    assert sum(spark.read.parquet(f).count() for f in set(table.inputFiles()) - files) == 6
+    compact = L.compact_vectors(spark, root)
+    assert {r.doc_id: r.title for r in compact.collect()} == rows and compact.columns == table.columns
+    assert len(L.unused_folders(spark, root)) == 4 and not set(compact.inputFiles()) & set(table.inputFiles())
+
+
+def test_failed_rows_are_kept_out(spark, corpus, tmp_path):
+    root, rejected = str(tmp_path / "table"), str(tmp_path / "rejected")
+    assert L.build_vector_table(corpus, root, embed=Picky(), dim=2).where("not embed_ok").count() == 2
+    table = L.build_vector_table(corpus, root, embed=Picky(), dim=2, rejected=rejected)
+    assert table.count() == 6 and spark.read.parquet(rejected).count() == 2
+    with pytest.raises(ValueError, match="2 of 8 rows"):
+        L.build_vector_table(corpus, root, embed=Picky(), dim=2, max_failed=0.1)
+    assert L.read_vectors(spark, root).count() == 6
+
+
 def test_upsert_keeps_the_newest(spark):
     old = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "doc_id int, v string, t int")
     new = spark.createDataFrame([(2, "c", 1), (2, "d", 3), (3, "e", 1), (2, "f", 2)], old.schema)

@@ -154,10 +154,12 @@ def hashed(name: str, source: str, key: str, body: str) -> str:
   SELECT {key}, slot, CAST(c / sqrt(sum(c * c) OVER (PARTITION BY {key})) AS FLOAT)::DOUBLE AS x FROM {name}_slots)"""
 
 
-NEAR = f"""
+def near(asked: str, k: int) -> str:
+    """The ``k`` nearest documents of every (qid, text) in ``asked``."""
+    return f"""
 {EMBED_TEXT},
 {hashed('doc_vec', 'embed_text', 'doc_id', 't')},
-{hashed('ask_vec', '(SELECT item_id AS qid, text FROM benchmark)', 'qid', 'text')},
+{hashed('ask_vec', asked, 'qid', 'text')},
 doc_norm AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM doc_vec GROUP BY doc_id),
 ask_norm AS (SELECT qid, sqrt(sum(x * x)) AS n FROM ask_vec GROUP BY qid),
 near AS MATERIALIZED (
@@ -166,7 +168,10 @@ near AS MATERIALIZED (
     FROM ask_norm a CROSS JOIN doc_norm d
     LEFT JOIN (SELECT q.qid, v.doc_id, sum(q.x * v.x) AS dot FROM ask_vec q JOIN doc_vec v USING (slot) GROUP BY ALL)
       USING (qid, doc_id))
-  QUALIFY rk <= 10)"""
+  QUALIFY rk <= {k})"""
+
+
+NEAR = near("(SELECT item_id AS qid, text FROM benchmark)", 10)
 
 MERGED = """
 merged AS MATERIALIZED (
@@ -432,6 +437,9 @@ SELECT qid, concat({text(MODE_INSTRUCTIONS['answer'] + ' ' + ALWAYS)}, chr(10),
   chr(10), chr(10), {text(synthesis.QUESTION)}, chr(10), text, chr(10), chr(10), {text(synthesis.REPORT)}, chr(10),
   {text(synthesis.ASK_SINGLE)}) AS prompt
 FROM contexts JOIN benchmark ON item_id = qid""",
+    "try_search": f"""
+WITH {CORPUS}, {near("(SELECT 0 AS qid, 'the tion of here' AS text)", 3)}
+SELECT doc_id, round(score, 4) AS score, CAST(rk AS INTEGER) AS rk FROM near""",
     "upsert_vectors": f"""
 WITH {NEW_VECTORS}
 SELECT vec_id, label, round(first::DOUBLE, 5) AS first FROM fresh

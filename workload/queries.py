@@ -419,10 +419,12 @@ def answer_questions(spark, sf) -> DataFrame:
 
 
 # Field words for the documents table.
-DOCUMENT_WORDS = (
-    ("source site location task", "", "source_type"),
-    ("type language category", "", "form_type"),
-)
+DOCUMENT_WORDS = {
+    "source": "source_type", "sources": "source_type", "site": "source_type", "sites": "source_type",
+    "location": "source_type", "locations": "source_type", "task": "source_type", "tasks": "source_type",
+    "type": "form_type", "types": "form_type", "language": "form_type", "languages": "form_type",
+    "category": "form_type", "categories": "form_type",
+}
 
 
 QUERIES = {

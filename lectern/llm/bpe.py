@@ -53,7 +53,7 @@ LATER_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x
 END_OF_TEXT = 0x110000  # beyond the last code point; stands between texts
 WINDOW = 1 << 18  # code points that are classified at once
 CACHED_PIECES = 80_000  # by generation; there are two
-CACHED_PAIRS = 100_000
+CACHED_PAIRS = 200_000
 LONG_PIECE = 64  # bytes above which merging uses a heap
 
 
@@ -273,15 +273,16 @@ def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class PairCache(dict):
-    """Whether merging two tokens' bytes gives just these two again; emptied when it is full."""
+    """Whether merging two tokens' bytes gives just these two again, by both ids in one number; emptied when it is full."""
 
     def __init__(self, ranks: dict[bytes, int], limit: int = CACHED_PAIRS):
         super().__init__()
         self.ranks, self.limit = ranks, limit
+        self.tokens = {rank: token for token, rank in ranks.items()}
 
-    def __missing__(self, pair: tuple[bytes, bytes]) -> bool:
-        one, two = pair
-        kept = merged_pairs(one + two, self.ranks) == [self.ranks[one], self.ranks[two]]
+    def __missing__(self, pair: int) -> bool:
+        one, two = pair >> 32, pair & 0xFFFFFFFF
+        kept = merged_pairs(self.tokens[one] + self.tokens[two], self.ranks) == [one, two]
         if len(self) >= self.limit:
             self.clear()
         self[pair] = kept
@@ -304,39 +305,39 @@ class MergeCache(dict):
         self.longest = max(map(len, ranks), default=1)
 
     def __missing__(self, piece: bytes) -> bytes:
-        ranks = self.ranks
         packed = self.older.get(piece)
-        if packed is not None:
-            pass
-        elif piece in ranks:
-            packed = ranks[piece].to_bytes(4, "little")
-        elif len(piece) > LONG_PIECE:
-            return np.array(merged(piece, ranks), "<u4").tobytes()
-        else:
-            packed = b"".join([ranks[t].to_bytes(4, "little") for t in self._tokens(piece)])
+        if packed is None:
+            if len(piece) > LONG_PIECE:
+                return np.array(merged(piece, self.ranks), "<u4").tobytes()
+            rank = self.ranks.get(piece)
+            packed = np.array(self._tokens(piece) if rank is None else [rank], "<u4").tobytes()
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
         self[piece] = packed
         return packed
 
-    def _tokens(self, piece: bytes) -> list[bytes]:
-        ranks, pairs, n = self.ranks, self.pairs, len(piece)
-        tokens: list[bytes] = []
+    def _tokens(self, piece: bytes) -> list[int]:
+        rank_of, pairs, n = self.ranks.get, self.pairs, len(piece)
+        ids: list[int] = []
+        begins: list[int] = []
         at, end = 0, min(n, self.longest)
         while at < n:
+            before = ids[-1] << 32 if ids else -1
             while end > at:
-                token = piece[at:end]
-                if token in ranks and (not tokens or pairs[tokens[-1], token]):
+                rank = rank_of(piece[at:end])
+                if rank is not None and (before < 0 or pairs[before | rank]):
                     break
                 end -= 1
             if end > at:
-                tokens.append(token)
+                ids.append(rank)
+                begins.append(at)
                 at, end = end, min(n, end + self.longest)
             else:  # nothing follows here: a shorter token before
                 end = at - 1
-                at -= len(tokens.pop())
-        return tokens
+                at = begins.pop()
+                ids.pop()
+        return ids
 
 
 @cache

@@ -32,6 +32,34 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN g USING (r)
 """
 
+# Every window that begins at a shingle of an item of its size (or is the document's last) against every such item, bag by bag.
+OP7 = r"""
+WITH i AS (
+    SELECT item_id, words, len(words) AS n, least(len(words), 5) AS w FROM (
+        SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM benchmark)
+    WHERE len(words) > 0),
+ish AS (SELECT item_id, n, w, unnest(list_transform(range(1, n - w + 2), lambda k: array_to_string(words[k:k + w - 1], ' '))) AS g FROM i),
+ibag AS (SELECT item_id, n, w, g, count(*) AS c FROM ish GROUP BY ALL),
+d AS (
+    SELECT r, doc_id, words, len(words) AS m FROM (
+        SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words
+        FROM (SELECT DISTINCT doc_id, text FROM documents))),
+p AS (SELECT r, doc_id, m, w, words, unnest(range(0, m - w + 1)) AS pos FROM d, (SELECT DISTINCT w FROM i) WHERE m >= w),
+dsh AS MATERIALIZED (SELECT r, doc_id, m, w, pos, array_to_string(words[pos + 1:pos + w], ' ') AS g FROM p),
+starts AS (
+    SELECT DISTINCT r, doc_id, w, n, least(n, m) AS size, least(pos, greatest(m - n, 0)) AS st
+    FROM dsh JOIN (SELECT DISTINCT n, w, g FROM ish) USING (w, g)),
+wbag AS (
+    SELECT s.r, s.doc_id, s.w, s.n, s.size, s.st, x.g, count(*) AS c
+    FROM starts s JOIN dsh x ON x.r = s.r AND x.w = s.w AND x.pos BETWEEN s.st AND s.st + s.size - s.w GROUP BY ALL),
+met AS (
+    SELECT r, doc_id, item_id, n, w, size, st, sum(least(wbag.c, ibag.c)) AS shared FROM wbag JOIN ibag USING (n, w, g) GROUP BY ALL),
+sim AS (
+    SELECT *, CAST(shared AS DOUBLE) / CAST((size - w + 1) + (n - w + 1) - shared AS DOUBLE) AS similarity FROM met)
+SELECT doc_id, item_id, similarity, CAST(st AS BIGINT) AS start_word, CAST(n AS BIGINT) AS n_words FROM sim WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY r, item_id ORDER BY similarity DESC, st) = 1
+"""
+
 # Base 32 by groups of 20 bits: five hexadecimal digits are four letters.
 OP8 = """
 WITH p AS (SELECT row_number() OVER () AS r, page_id, coalesce(html, '') AS t FROM pages),
@@ -49,4 +77,4 @@ SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, payload_digest,
 FROM d JOIN b USING (r)
 """
 
-ORACLE: dict[str, str] = {"op6_secret_ledger": OP6, "op8_warc_seekable": OP8}
+ORACLE: dict[str, str] = {"op6_secret_ledger": OP6, "op7_decontamination": OP7, "op8_warc_seekable": OP8}

@@ -3,7 +3,9 @@ import re
 from collections import Counter
 
 from lectern.llm import decontaminate as D
+from lectern.llm.oracle import ORACLE
 from lectern.llm.queries import QUERIES
+from oracle_check import compare, connect
 
 
 def words(text):
@@ -109,3 +111,8 @@ def test_query(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in QUERIES["op7_decontamination"](spark, sf).collect()}
     assert got and got == {k: round(v, 9) for k, v in plain(docs, items).items()}
+
+
+def test_query_equals_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    assert compare(QUERIES["op7_decontamination"](spark, sf), connect(sf), ORACLE["op7_decontamination"]) is None

@@ -32,6 +32,55 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN g USING (r)
 """
 
+# Lines, runs of lines of one level, units of quoted and own words, then the latest earlier message with an equal unit.
+OP3 = r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, text, coalesce(text, '') AS t FROM conversations),
+raw AS (
+    SELECT r, unnest(string_split_regex(t, '\r?\n')) AS line, generate_subscripts(string_split_regex(t, '\r?\n'), 1) AS i FROM m),
+l AS (
+    SELECT r, i, len(regexp_replace(regexp_extract(line, '^\s{0,3}(?:>\s?)+'), '[^>]', '', 'g')) AS depth,
+        regexp_replace(line, '^\s{0,3}(?:>\s?)+', '') AS b
+    FROM raw),
+o AS (
+    SELECT *, lead(depth, 1, 0) OVER (PARTITION BY r ORDER BY i) AS below, lag(depth, 1, -1) OVER (PARTITION BY r ORDER BY i) AS above
+    FROM l),
+bodies AS (
+    SELECT r, max(depth) AS quote_depth, regexp_replace(coalesce(string_agg(b, chr(10) ORDER BY i) FILTER (depth = 0 AND NOT (below > 0
+        AND regexp_matches(b, '(?i)^\s*(?:on|am|le|el)\b.*\b(?:wrote|schrieb|écrit|escribió)(?:[^a-z].*)?:\s*$'))), ''),
+        '^\s+|\s+$', '', 'g') AS body
+    FROM o GROUP BY r),
+p AS (SELECT *, sum(CASE WHEN depth <> above THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS passage FROM o),
+quotes AS (SELECT r, passage, depth, string_agg(b, chr(10) ORDER BY i) AS q FROM p WHERE depth > 0 GROUP BY ALL),
+texts AS (SELECT r, passage, depth, q AS x, true AS quoted FROM quotes UNION ALL SELECT r, 0, 0, body, false FROM bodies),
+parts AS (
+    SELECT r, passage, depth, quoted, 0 AS kind, x AS u FROM texts
+    UNION ALL SELECT r, passage, depth, quoted, 1, unnest(string_split_regex(x, '\n\s*\n')) FROM texts
+    UNION ALL SELECT r, passage, depth, quoted, 2, unnest(string_split(x, chr(10))) FROM texts),
+units AS (
+    SELECT r, passage, depth, quoted, kind, trim(regexp_replace(lower(u), '[^\p{L}\p{N}]+', ' ', 'g')) AS u FROM parts),
+good AS (
+    SELECT units.*, conv_id, turn FROM units JOIN m USING (r)
+    WHERE u <> '' AND (kind < 2 OR len(string_split(u, ' ')) >= 3) AND conv_id IS NOT NULL AND turn IS NOT NULL),
+links AS (
+    SELECT q.r, q.passage, q.depth, q.kind, max(s.turn) AS source
+    FROM good q JOIN good s ON q.conv_id = s.conv_id AND q.u = s.u AND s.turn < q.turn
+    WHERE q.quoted AND NOT s.quoted GROUP BY ALL),
+best AS (
+    SELECT r, source AS reply_to, count(DISTINCT passage) OVER (PARTITION BY r) AS n_linked
+    FROM links QUALIFY row_number() OVER (PARTITION BY r ORDER BY depth, kind, source DESC) = 1),
+counts AS (SELECT r, count(*) AS n FROM quotes GROUP BY r),
+replies AS (SELECT conv_id, turn, min(reply_to) AS up FROM best JOIN m USING (r) GROUP BY ALL),
+chain AS (
+    SELECT conv_id, turn, up AS thread FROM replies
+    UNION ALL SELECT c.conv_id, c.turn, x.up FROM chain c JOIN replies x ON x.conv_id = c.conv_id AND x.turn = c.thread),
+threads AS (SELECT conv_id, turn, min(thread) AS thread FROM chain GROUP BY ALL)
+SELECT m.conv_id, coalesce(h.thread, m.turn) AS thread, m.turn, m.role, body,
+    concat('<|', coalesce(m.role, 'unknown'), '|>', chr(10), body, chr(10)) AS rendered, CAST(quote_depth AS BIGINT) AS quote_depth,
+    CASE WHEN m.conv_id IS NULL OR m.turn IS NULL THEN 0 ELSE coalesce(n, 0) END AS n_passages, coalesce(n_linked, 0) AS n_linked, reply_to
+FROM m JOIN bodies USING (r) LEFT JOIN counts USING (r) LEFT JOIN best USING (r)
+LEFT JOIN threads h ON h.conv_id = m.conv_id AND h.turn = m.turn
+"""
+
 # Every window that begins at a shingle of an item of its size (or is the document's last) against every such item, bag by bag.
 OP7 = r"""
 WITH i AS (
@@ -77,4 +126,4 @@ SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, payload_digest,
 FROM d JOIN b USING (r)
 """
 
-ORACLE: dict[str, str] = {"op6_secret_ledger": OP6, "op7_decontamination": OP7, "op8_warc_seekable": OP8}
+ORACLE: dict[str, str] = {"op3_quotation_linking": OP3, "op6_secret_ledger": OP6, "op7_decontamination": OP7, "op8_warc_seekable": OP8}

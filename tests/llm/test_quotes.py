@@ -1,10 +1,13 @@
 import random
 import re
 
+import duckdb
 import pytest
 
 from lectern.llm import quotes as Q
+from lectern.llm.oracle import ORACLE
 from lectern.llm.queries import QUERIES
+from oracle_check import compare, connect
 
 MESSAGES = "conv_id bigint, turn bigint, role string, text string, body string"
 
@@ -95,6 +98,10 @@ def test_equals_plain(spark, span):
             texts.append(text)
             messages.append((conv, turn, rng.choice(["user", "assistant", None]), text))
     assert got(Q.formatted(frame(spark, messages), span)) == plain(messages)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", [list(m) for m in messages])
+    assert compare(Q.formatted(frame(spark, messages), span), con, ORACLE["op3_quotation_linking"]) is None
 
 
 def test_nested_levels_and_rewrapped_quotes(spark):
@@ -124,4 +131,6 @@ def test_odd_rows(spark):
 def test_query_keeps_every_message(spark):
     sf = "/root/testdata/sf0.001"
     messages = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
-    assert got(QUERIES["op3_quotation_linking"](spark, sf)) == plain(messages)
+    found = QUERIES["op3_quotation_linking"](spark, sf)
+    assert got(found) == plain(messages)
+    assert compare(found, connect(sf), ORACLE["op3_quotation_linking"]) is None

@@ -181,16 +181,18 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """A model of labelled documents that aren't held out, from at most ``per_language`` whole texts of each language."""
     known = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), held_out(doc_id).alias("out")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.col("out")).drop("out")
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    # copies of a text share its hash: only distinct ones are counted, cut and ranked
+    texts = known.select("lang", F.xxhash64("text", F.lit(7)).alias("hash")).distinct()
+    counts = {r.lang: r["count"] for r in texts.groupBy("lang").count().collect()}
     if not counts:
         return None
     each = max(2, min(per_language, MOST_SAMPLED // len(counts)))
-    # a hash cut leaves about twice as many as are wanted, so that ranking never meets a whole language
+    # a hash cut leaves about twice as many texts as are wanted, so that ranking never meets a whole language
     cut = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 2 * each / n + 20 / n) * (1 << 30)))])
     order = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30))
     sample = (
         known.withColumn("order", order).where(F.col("order") < F.get(F.array(cut[F.col("lang")]), F.lit(0)))
-        .where(F.col("text").rlike(r"\p{L}"))
+        .where(F.col("text").rlike(r"\p{L}")).distinct()
         .withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("order", "text")))
         .where(F.col("rank") <= each).select("lang", "rank", "text")
     )

@@ -79,3 +79,18 @@ def test_nothing_to_learn_from(spark):
     assert L.without_unknown(docs.limit(0)).count() == 0
     one = spark.createDataFrame([(i, f"only one {i}", "en", None) for i in range(9)], DOCS)
     assert {(r.lang_pred, r.score) for r in L.identify(one, L.learn(one)).collect()} == {("en", 1.0)}
+
+
+def test_copies_take_one_place_of_the_sample(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    seen = []
+    monkeypatch.setattr(L, "trained", lambda x, langs: seen.append((len({r.tobytes() for r in x}), sorted(langs))))
+    texts = spark.range(60).select(F.concat(F.lit("words of the text "), F.translate("id", "0123456789", "abcdefghij")).alias("text"))
+    ordered = [r.text for r in texts.orderBy(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30))).collect()]
+    # en: 3000 rows, all of three texts late in the order; fr: the first text of the order fills more rows than there are places
+    rows = [("en", t, 1000) for t in ordered[-3:]] + [("fr", ordered[0], 600)] + [("fr", t, 1) for t in ordered[1:30]]
+    docs = spark.createDataFrame(rows, "lang string, text string, copies int").select(
+        F.expr("explode(array_repeat(0, copies))").alias("doc_id"), "text", "lang").withColumn("doc_id", F.lit(1))
+    L.learn(docs)
+    assert seen == [(33, ["en"] * 3 + ["fr"] * 30)]

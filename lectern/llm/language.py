@@ -180,7 +180,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
           per_language: int = PER_LANGUAGE) -> Model | None:
     """A model of labelled documents that aren't held out, from at most ``per_language`` whole texts of each language."""
     known = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), held_out(doc_id).alias("out")).where(
-        F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.col("out")).drop("out")
+        F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~F.col("out")).drop("out")
     # copies of a text share its hash: only distinct ones are counted, cut and ranked
     texts = known.select("lang", F.xxhash64("text", F.lit(7)).alias("hash")).distinct()
     counts = {r.lang: r["count"] for r in texts.groupBy("lang").count().collect()}
@@ -192,7 +192,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     order = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30))
     sample = (
         known.withColumn("order", order).where(F.col("order") < F.get(F.array(cut[F.col("lang")]), F.lit(0)))
-        .where(F.col("text").rlike(r"\p{L}")).distinct()
+        .distinct()
         .withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("order", "text")))
         .where(F.col("rank") <= each).select("lang", "rank", "text")
     )
@@ -205,6 +205,8 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], packed], names=["lang", "rank", "features"])
 
     rows = sorted((r.lang, r["rank"], r.features) for r in sample.mapInArrow(featured, schema).collect() if r.features)
+    if not rows:
+        return None
     x = np.array([np.frombuffer(f, np.float32) for _, _, f in rows]).reshape(len(rows), -1)
     return trained(x, [name for name, _, _ in rows])
 

@@ -94,3 +94,10 @@ def test_copies_take_one_place_of_the_sample(spark, monkeypatch):
         F.expr("explode(array_repeat(0, copies))").alias("doc_id"), "text", "lang").withColumn("doc_id", F.lit(1))
     L.learn(docs)
     assert seen == [(33, ["en"] * 3 + ["fr"] * 30)]
+
+
+def test_labels_without_letters_teach_nothing(spark):
+    docs = spark.createDataFrame([(i, t, "en", None) for i in range(1, 10) for t in ("", "42")], DOCS)
+    assert L.learn(docs) is None
+    assert {(r.lang_pred, r.score) for r in L.identify(docs, L.learn(docs)).collect()} == {("und", 0.0)}
+    assert L.without_unknown(docs).count() == 0

@@ -6,7 +6,7 @@ so the probability that a document with a pattern is good. These posterior label
 shapes of the text (runs of letter, capital, digit and symbol classes, and the measures in steps), which scores every document.
 
 The label model sees every document, as counts of at most 3^9 patterns; the scorer is fitted on the driver on a
-sample of at most ``SAMPLED`` whole texts, picked by hash.
+sample of at most ``SAMPLED`` distinct whole texts, picked by hash, each weighing as much as it has copies.
 
 Defined results: null text is empty; an empty text gets no votes, a score by its empty shape, and isn't kept; equal texts get equal scores;
 an empty table gives an empty one.
@@ -177,11 +177,14 @@ def estimated(patterns: np.ndarray, counts: np.ndarray, rounds: int = EM_ROUNDS)
     return model
 
 
-def fitted(x: np.ndarray, target: np.ndarray, steps: int = STEPS, penalty: float = PENALTY) -> np.ndarray:
-    """Weights (the last is the offset) of a logistic scorer for targets between 0 and 1, both classes weighing the same."""
+def fitted(x: np.ndarray, target: np.ndarray, copies: np.ndarray, steps: int = STEPS, penalty: float = PENALTY) -> np.ndarray:
+    """Weights (the last is the offset) of a logistic scorer for targets between 0 and 1, both classes weighing the same.
+
+    Every row counts ``copies`` times.
+    """
     x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
-    good, bad = max(float(target.sum()), 1e-3), max(float((1 - target).sum()), 1e-3)
-    weight = (target / good + (1 - target) / bad) / 2
+    good, bad = max(float((copies * target).sum()), 1e-3), max(float((copies * (1 - target)).sum()), 1e-3)
+    weight = copies * (target / good + (1 - target) / bad) / 2
     w = np.zeros(x.shape[1], np.float32)
     ahead, pace, rate = w.copy(), 1.0, 1 / (0.25 * float((x * x).sum(axis=1).max()) + penalty)
     for _ in range(steps):
@@ -199,27 +202,31 @@ class Model:
 
 
 def _patterns(docs: DataFrame, text: str) -> DataFrame:
+    """(pattern, hash): vote pattern and hash of every document's text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             values = [pattern(votes(measures(t))) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(values, pa.int32())], names=["pattern"])
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.int32()), batch.column(1)], names=["pattern", "hash"])
 
-    return docs.select(text_or_empty(text).alias("text")).mapInArrow(run, "pattern int")
+    whole = text_or_empty(text)
+    return docs.select(whole.alias("text"), F.xxhash64(whole, F.lit(11)).alias("hash")).mapInArrow(run, "pattern int, hash bigint")
 
 
 def learn(docs: DataFrame, text: str = "text", sampled: int = SAMPLED) -> Model | None:
     """Label model of all documents, scorer of a sample; None of an empty table."""
-    seen = [(r.pattern, r["count"]) for r in _patterns(docs, text).groupBy("pattern").count().collect()]
+    copies = _patterns(docs, text).groupBy("pattern", "hash").count()
+    seen = [tuple(r) for r in copies.groupBy("pattern").agg(F.sum("count"), F.count("*")).collect()]
     if not seen:
         return None
-    patterns, counts = (np.array(x) for x in zip(*sorted(seen)))
+    patterns, counts, texts = (np.array(x) for x in zip(*sorted(seen)))
     labels = estimated(patterns, counts)
-    total = int(counts.sum())
+    total = int(texts.sum())  # copies of a text share its hash: the cut is for distinct ones
     order = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30))
     sample = (
         docs.select(text_or_empty(text).alias("text")).withColumn("order", order)
         .where(F.col("order") < int(min(1.0, 2 * sampled / total + 100 / total) * (1 << 30)))
-        .orderBy("order", "text").limit(sampled).select("text")
+        .groupBy("order", "text").count().orderBy("order", "text").limit(sampled).select("text", "count")
     )
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,13 +234,13 @@ def learn(docs: DataFrame, text: str = "text", sampled: int = SAMPLED) -> Model
             found = [(t, measures(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 pa.array([pattern(votes(m)) for _, m in found], pa.int32()),
-                pa.array([features(t, m).tobytes() for t, m in found], pa.binary())], names=["pattern", "features"])
+                pa.array([features(t, m).tobytes() for t, m in found], pa.binary()), batch.column(1)],
+                names=["pattern", "features", "copies"])
 
-    rows = sorted((r.pattern, bytes(r.features)) for r in sample.mapInArrow(featured, "pattern int, features binary").collect())
-    if not rows:
-        return Model(labels, np.zeros(DIMENSIONS + 1, np.float32))
-    x = np.array([np.frombuffer(f, np.float32) for _, f in rows])
-    return Model(labels, fitted(x, labels.posterior(np.array([p for p, _ in rows]))))
+    rows = sorted((r.pattern, bytes(r.features), r.copies)
+                  for r in sample.mapInArrow(featured, "pattern int, features binary, copies bigint").collect())
+    x = np.array([np.frombuffer(f, np.float32) for _, f, _ in rows])
+    return Model(labels, fitted(x, labels.posterior(np.array([p for p, _, _ in rows])), np.array([n for _, _, n in rows])))
 
 
 def score(docs: DataFrame, model: Model | None, keep: Sequence[str] = ("doc_id",), text: str = "text",

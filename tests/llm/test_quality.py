@@ -69,3 +69,26 @@ def test_odd_rows(spark):
     assert Q.learn(none) is None and Q.score(none.drop("score"), None).count() == 0
     with pytest.raises(ValueError):
         Q.score(docs, model, keep=("doc_id", "score"))
+
+
+def test_copies_do_not_empty_the_sample(spark):
+    from pyspark.sql import functions as F
+
+    order = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30))
+    ids = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
+    good = spark.range(40).select(F.concat(F.lit("Some plain prose about the word "), ids, F.lit(", as it is.")).alias("text"))
+    junk = spark.range(40).select(F.repeat(F.concat(F.lit("JUNK*** "), ids, F.lit("### %%% ")), 30).alias("text"))
+    # 12,800 rows of eight texts late in the order of the hash
+    texts = [r.text for some in (good, junk) for r in some.orderBy(order.desc()).limit(4).collect()]
+    rows = [(i, t, 3000 if i < 4 else 200) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n int").select(
+        "doc_id", "text", F.explode(F.expr("array_repeat(0, n)"))).drop("col")
+    model = Q.learn(docs)
+    got = Q.score(docs.distinct(), model).collect()
+    assert {r.doc_id: r.keep for r in got} == {i: i < 4 for i in range(8)}
+
+
+def test_fit_counts_copies():
+    rng = np.random.default_rng(3)
+    x, target, copies = rng.random((6, 5), np.float32), np.array([0.9, 0.1, 0.8, 0.3, 0.6, 0.2]), np.array([1, 4, 2, 1, 3, 5])
+    assert np.allclose(Q.fitted(x, target, copies), Q.fitted(x.repeat(copies, 0), target.repeat(copies), np.ones(copies.sum())), atol=1e-5)

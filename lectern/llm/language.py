@@ -3,7 +3,7 @@
 A text's letters, lower-cased and with one space for any run of other characters, give counts of
 hashed character 1- to 3-grams (square roots, unit length). One machine per family, against all others, picks the
 family; one machine for every pair of its languages then votes on the language. The
-machines are fitted on the driver, on a bounded sample of whole texts: at most ``PER_LANGUAGE`` per language, picked by
+machines are fitted on the driver, on a bounded sample of distinct whole texts: at most ``PER_LANGUAGE`` per language, picked by
 hash, so a language's share does not depend on how common it is. Prediction reads whole texts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text when

@@ -237,7 +237,9 @@ def identify(docs: DataFrame, model: Model | None, keep: Sequence[str] = ("doc_i
 
 def without_unknown(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
                     min_score: float = MIN_SCORE) -> DataFrame:
-    """``docs`` without the rejected ones: texts without a letter, and those no language suits better than chance.
+    """``docs`` without the rejected ones: texts without a letter, and those with a score under ``min_score``.
+
+    Two families of two languages have no score under 0.25, so that nothing else goes there.
 
     Where no labelled document is there to learn from, texts with a letter stay.
     """

@@ -9,6 +9,8 @@ template's coverage is the share of its words that are aligned; it is found wher
 Only stretches that can reach it are aligned: of any floor((1 - threshold) n) + 1 of a template's n words one must be
 there, so a text without any of its longest ones is passed over, and a stretch starts at one of its
 first ones and has enough words of the template in the next ``SLACK`` n.
+This bounds what is found: a template of n words with more than about (``SLACK`` - 1) n words put in between is not, as in
+"Released under the terms and conditions of the MIT License" for the five words of the notice.
 
 Defined results: null and empty texts have no licenses; every copy in a text is reported; of overlapping finds the one with most
 words stays, then the one of higher coverage, then the template listed first; repeated rows are reported each.

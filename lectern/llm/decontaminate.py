@@ -141,7 +141,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         return docs.sparkSession.createDataFrame([], empty.format(*kinds))
     starts = staged(_starts(_seeds(texts, items, widths), threshold), "starts")
 
-    with_words = joined(texts, starts, ["doc_id", "mark"], "inner", starts.count()).select(
+    # a row carries all its windows, under 64 bytes each
+    held = starts.agg((F.count("*") + F.coalesce(F.sum(F.size("windows")), F.lit(0))).alias("n")).first().n
+    with_words = joined(texts, starts, ["doc_id", "mark"], "inner", held).select(
         "doc_id", "mark", "windows", _words("text").alias("words"))
     windows = staged(
         with_words.select("doc_id", "mark", "words", F.explode("windows").alias("w"))

@@ -116,3 +116,14 @@ def test_query(spark):
 def test_query_equals_sql(spark):
     sf = "/root/testdata/sf0.01"
     assert compare(QUERIES["op7_decontamination"](spark, sf), connect(sf), ORACLE["op7_decontamination"]) is None
+
+
+def test_windows_count_for_the_broadcast(spark, monkeypatch):
+    from lectern.llm import decontaminate
+
+    asked, join = [], decontaminate.joined
+    monkeypatch.setattr(decontaminate, "joined", lambda *a: asked.append(a[4]) or join(*a))
+    docs = spark.createDataFrame([(1, "w " * 60), (2, "other words of no item")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, "w " * 20)], "item_id bigint, text string")
+    assert [r.doc_id for r in decontaminate.contaminated(docs, items).collect()] == [1]
+    assert asked == [1 + 41]  # one document, a window at each of 41 places

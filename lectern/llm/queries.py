@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, fingerprint, language, licenses, quality, quotes, secrets, simhash, warc
+from lectern.llm import (
+    bpe,
+    decontaminate,
+    fingerprint,
+    language,
+    licenses,
+    quality,
+    quotes,
+    secrets,
+    simhash,
+    warc,
+    whitening,
+)
 from lectern.plans.sizing import staging_dir
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -98,6 +110,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the eight leading components of all of them."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whitened(vectors, whitening.fit(vectors))
+
+
 QUERIES = {
     "op1_language_svm": op1_language_svm,
     "op2_simhash_pigeonring": op2_simhash_pigeonring,
@@ -109,4 +127,5 @@ QUERIES = {
     "op8_warc_seekable": op8_warc_seekable,
     "op9_license_patience": op9_license_patience,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_feast_whitening": op12_feast_whitening,
 }

@@ -126,4 +126,44 @@ SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, payload_digest,
 FROM d JOIN b USING (r)
 """
 
-ORACLE: dict[str, str] = {"op3_quotation_linking": OP3, "op6_secret_ledger": OP6, "op7_decontamination": OP7, "op8_warc_seekable": OP8}
+# Words with their piece and place; phrases by looking one and two words ahead. Products pass 64 bits, hence HUGEINT.
+OP13 = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+    FROM documents),
+p AS (SELECT r, lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece,
+        generate_subscripts(string_split_regex(t, '[.,;:!?\x0A-\x0D]'), 1) AS i FROM d),
+w AS (
+    SELECT r, lang, i, unnest(words) AS w1, generate_subscripts(words, 1) AS j
+    FROM (SELECT r, lang, i, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p)),
+o AS (SELECT lang, w1, lead(w1, 1) OVER x AS w2, lead(w1, 2) OVER x AS w3 FROM w WINDOW x AS (PARTITION BY r, i ORDER BY j)),
+f1 AS (SELECT lang, w1 AS phrase, count(*)::HUGEINT AS f FROM o GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, w1 || ' ' || w2 AS phrase, count(*)::HUGEINT AS f FROM o WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (
+    SELECT lang, w1, w2, w3, w1 || ' ' || w2 || ' ' || w3 AS phrase, count(*)::HUGEINT AS f FROM o WHERE w3 IS NOT NULL
+    GROUP BY ALL HAVING count(*) >= 10),
+c AS (
+    SELECT lang, phrase, f AS a, w1 AS fst, w2 AS rst, 1 AS k FROM f2 WHERE NOT EXISTS (
+        SELECT 1 FROM f3 WHERE f3.lang = f2.lang AND 100 * f3.f >= 50 * f2.f
+            AND ((f3.w1 = f2.w1 AND f3.w2 = f2.w2) OR (f3.w2 = f2.w1 AND f3.w3 = f2.w2)))
+    UNION ALL SELECT lang, phrase, f, w1, w2 || ' ' || w3, 1 FROM f3
+    UNION ALL SELECT lang, phrase, f, w1 || ' ' || w2, w3, 2 FROM f3),
+f AS (SELECT lang, phrase, f FROM f1 UNION ALL SELECT lang, phrase, f FROM f2),
+s AS (
+    SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, k, (1000000 * a * a) // (x.f * y.f) AS score
+    FROM c JOIN f x ON x.lang = c.lang AND x.phrase = fst JOIN f y ON y.lang = c.lang AND y.phrase = rst),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+n AS (SELECT lang, count(*) AS n FROM w GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l,
+    r::BIGINT AS r, n, score::BIGINT AS score
+FROM b JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+ORACLE: dict[str, str] = {
+    "op3_quotation_linking": OP3,
+    "op6_secret_ledger": OP6,
+    "op7_decontamination": OP7,
+    "op8_warc_seekable": OP8,
+    "op13_phrase_collocations": OP13,
+}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import (
     bpe,
+    collocations,
     decontaminate,
     fingerprint,
     language,
@@ -116,6 +117,11 @@ def op12_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(vectors, whitening.fit(vectors))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_svm": op1_language_svm,
     "op2_simhash_pigeonring": op2_simhash_pigeonring,
@@ -128,4 +134,5 @@ QUERIES = {
     "op9_license_patience": op9_license_patience,
     "op10_byte_bpe": op10_byte_bpe,
     "op12_feast_whitening": op12_feast_whitening,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }

@@ -15,6 +15,7 @@ from lectern.llm import (
     fingerprint,
     language,
     licenses,
+    pii,
     quality,
     quotes,
     secrets,
@@ -111,6 +112,26 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_digest(found: DataFrame, path: str) -> DataFrame:
+    """Numbers of strict spans by kind, their digest, and all spans as text."""
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    def listed(s):
+        return F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["until"].cast("string"))
+
+    base = F.array_join(F.transform(F.filter("spans", lambda s: s["base"]), listed), ",")
+    return found.select(
+        path, *[number(k) for k in pii.KINDS], F.sha2(base, 256).alias("base_sha256"),
+        F.array_join(F.transform("spans", listed), ",").alias("spans"))
+
+
+def op11_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: strict matches, and loose ones that the trained classifier takes."""
+    return op11_digest(pii.scan(table(spark, sf_dir, "documents")), "doc_id")
+
+
 def op12_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding on the eight leading components of all of them."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -133,6 +154,7 @@ QUERIES = {
     "op8_warc_seekable": op8_warc_seekable,
     "op9_license_patience": op9_license_patience,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_weak_pii": op11_weak_pii,
     "op12_feast_whitening": op12_feast_whitening,
     "op13_phrase_collocations": op13_phrase_collocations,
 }

@@ -3,20 +3,21 @@
 Frequencies come from suffix subtrees of word sequences, built as ERA builds them: the prefixes of the suffixes are
 partitioned first, then every group of prefixes is worked on by itself.
 
-1. *Frequencies of prefixes.* One pass counts words, one counts pairs of words, both by 64-bit hashes. A phrase is only as
-   frequent as its rarest pair, so prefixes under ``least`` need no subtree. Bitmaps of the frequent hashes (16 bits for each
-   one, at most 32 MB) tell the tasks; a clash lets a rare prefix through, which costs a few rows and changes no count.
+1. *Frequencies of prefixes.* One pass counts words by 64-bit hashes. A phrase is only as frequent as its rarest word, so
+   words under ``least`` begin no subtree and end the suffixes before them. A bitmap of the frequent hashes (16 bits for each one, at most
+   32 MB) tells the tasks; a clash lets a rare word through, which costs a few rows and changes no count.
 2. *Vertical partitioning.* Prefixes are packed into groups of at most ``budget`` occurrences. A word that has more becomes
-   the prefixes of two words that begin with it, a pair that has more those of three, and so on down to the full depth. The
-   budget is raised for a corpus of over 32768 budgets, so that groups and over-large prefixes stay that few.
-3. *Subtrees.* A third pass cuts every suffix at its first rare pair or at the depth, adds up equal ones in each window of
-   text, and sends them to the task of their group. There they are sorted (on disk, if need be); the runs of equal prefixes
-   are the nodes of the subtree, and a node's frequency is the total of the leaves below it. Nodes over several groups
-   are added up afterwards.
+   the prefixes of two words that begin with it. Of these only pairs of two such words can be over the budget again; they
+   become prefixes of three words, and so on down to the full depth. The budget is raised for a corpus of over 32768
+   budgets, so that groups and over-large words stay that few.
+3. *Subtrees.* A second pass cuts every suffix at its first rare word or at the depth, adds up equal ones in each window of
+   text, and sends them to the task of their group. There they are sorted by a number made of their words' hashes, level by level (on
+   disk, if need be); the runs of equal prefixes are the nodes of the subtree, and a node's frequency is the total of
+   the leaves below it. Nodes over several groups or batches, or whose number is also another's, are added up afterwards.
 4. *Scores.* Parts are looked up by joins. What is more frequent than the budget is looked up by broadcast (at most
    depth times 32768 rows), so no key of the shuffled joins has more than ``budget / least`` rows.
 
-Tasks read text in windows of 16 MB, cut between pieces only, so very long texts take no more memory than short ones.
+Tasks read text in windows of 4 MB, cut between pieces only, so very long texts take no more memory than short ones.
 
 Defined results: null texts are empty; null languages are ``und``, together with that word itself; repeated rows count each time; texts without
 words, and languages without candidates, give no rows; an empty table gives none. Other columns are not read. Equal
@@ -42,7 +43,7 @@ COVERED = 50  # per cent of a phrase's occurrences inside a longer one that make
 BUDGET = 1 << 20  # occurrences in a group
 GROUPS = 1 << 15  # of them, about
 SLOTS = 1 << 16
-WINDOW = 1 << 24  # bytes
+WINDOW = 1 << 22  # bytes
 MAX_BITS = 1 << 28
 
 # Of every byte: 0 in a word, 1 between words, 2 between pieces. All of the latter are ASCII.
@@ -106,6 +107,8 @@ def windows(texts: pa.Array, langs: pa.Array, size: int = WINDOW) -> Iterator[Wo
         found = _window(data[low:high], low, offsets, lang_names, lang_of_row)
         if found is not None:
             yield found
+        del found
+        pa.default_memory_pool().release_unused()
 
 
 def _window(data: np.ndarray, low: int, offsets: np.ndarray, lang_names: pa.Array, lang_of_row: np.ndarray) -> Words | None:
@@ -125,11 +128,16 @@ def _window(data: np.ndarray, low: int, offsets: np.ndarray, lang_names: pa.Arra
         return None
     breaks = kind == 2
     breaks[begins] = True
-    piece = np.searchsorted(np.flatnonzero(breaks), starts, "right")
+    piece = np.cumsum(breaks, dtype=np.int32)[starts]
     places = np.concatenate([[0], np.cumsum(ends - starts)])
     names = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(text[inside])).dictionary_encode()
     # two languages may have a word in common
-    lang = lang_of_row[np.searchsorted(offsets, starts + low, "right") - 1]
+    if len(begins) and len(lang_names) > 1:
+        firsts = np.searchsorted(starts, begins)  # of every row's words
+        before = np.searchsorted(offsets, low, "right") - 1  # the row that the window begins in
+        lang = np.repeat(lang_of_row[[before, *range(first, last)]], np.diff([0, *firsts, len(starts)]))
+    else:
+        lang = lang_of_row[np.searchsorted(offsets, starts[0] + low, "right") - 1]
     code = names.indices.to_numpy().astype(np.int64) * len(lang_names) + lang
     codes = pa.array(code).dictionary_encode()
     at, distinct = codes.indices.to_numpy().astype(np.int64), codes.dictionary.to_numpy()
@@ -183,18 +191,6 @@ def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 "lang": coded.dictionary, "h": pa.nulls(len(total), pa.int64()), "c": pa.array(total)})
 
 
-def _pairs(found: Words, hashes: np.ndarray, words: Frequent) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Occurrences that begin a pair of frequent words, the pair of each, and the pairs (first times the words plus second)."""
-    frequent = words.holds(hashes)[found.at]
-    begins = np.flatnonzero(frequent[:-1] & frequent[1:] & found.goes_on[:-1])
-    pairs, pair = np.unique(found.at[begins] * len(hashes) + found.at[begins + 1], return_inverse=True)
-    return begins, pair, pairs
-
-
-def _pair_hashes(pairs: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    return mixed(hashes[pairs // len(hashes)], hashes[pairs % len(hashes)])
-
-
 # --- groups of prefixes and their subtrees -------------------------------------
 
 @dataclass(frozen=True)
@@ -202,16 +198,15 @@ class Partitioning:
     """Which group a suffix goes to: by the slot of its first word, or, where that is over the budget, by a longer prefix."""
 
     words: Frequent
-    pairs: Frequent
     group_of_slot: np.ndarray
     groups: int
     spread: int  # groups for longer prefixes, after the others
 
 
-def _partitioning(words_counted: DataFrame, words: Frequent, pairs: Frequent, budget: int) -> Partitioning:
+def _partitioning(counted: DataFrame, words: Frequent, budget: int) -> Partitioning:
     slot = F.expr(f"h & {SLOTS - 1}")
     light = F.col("c") <= budget
-    loads = words_counted.groupBy(F.when(light, slot).alias("slot")).agg(F.sum("c").alias("c")).collect()
+    loads = counted.groupBy(F.when(light, slot).alias("slot")).agg(F.sum("c").alias("c")).collect()
     load = np.zeros(SLOTS, np.int64)
     over = 0
     for r in loads:
@@ -225,84 +220,111 @@ def _partitioning(words_counted: DataFrame, words: Frequent, pairs: Frequent, bu
             group, filled = group + 1, 0
         filled += load[s]
         group_of_slot[s] = group
-    return Partitioning(words, pairs, group_of_slot, group + 1, -(-over // budget))
+    return Partitioning(words, group_of_slot, group + 1, -(-over // budget))
+
+
+def _shifts(depth: int) -> list[int]:
+    """Bits of the sort number below each level: the first word has 18 of 64, the others share the rest."""
+    width = 46 // max(depth - 1, 1)
+    return [width * (depth - 1 - d) for d in range(depth)]
+
+
+def _distinct(at: np.ndarray, alive: list[np.ndarray], begin: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct suffixes, a row for each (word numbers from 1, 0 for none), and their counts."""
+    parts = [at[begin] + 1] + [np.where(here, at[begin + d] + 1, 0) for d, here in enumerate(alive, 1)]
+    if (words + 1) ** len(parts) < 1 << 63:
+        path = parts[0]
+        for part in parts[1:]:
+            path = path * (words + 1) + part
+        path = np.sort(path)
+        first = np.flatnonzero(np.append(True, path[1:] != path[:-1])) if len(path) else np.zeros(0, np.int64)
+        count, path = np.diff(np.append(first, len(path))), path[first]
+        rows = []
+        for _ in parts:
+            rows.append(path % (words + 1))
+            path = path // (words + 1)
+        return np.array(rows[::-1]), count
+    rows, count = np.unique(np.array(parts), axis=1, return_counts=True)
+    return rows, count
 
 
 def _suffixes(found: Words, plan: Partitioning, depth: int) -> pa.RecordBatch:
-    """The window's distinct suffixes, cut at the depth or at the first rare pair, with their counts and groups.
+    """The window's distinct suffixes, cut at the depth or at the first rare word, with their counts and groups.
 
     ``split`` tells how many words of the prefix belong to nodes that lie in several groups.
     """
     hashes = found.hashes()
-    begins, pair, pairs = _pairs(found, hashes, plan.words)
-    of_pair = _pair_hashes(pairs, hashes)
-    known = np.zeros(len(found.at) + depth, bool)
-    known[begins] = plan.pairs.holds(of_pair)[pair]
-    pair_hash = np.zeros(len(found.at), np.uint64)
-    pair_hash[begins] = of_pair[pair]
-
-    begin = np.flatnonzero(plan.words.holds(hashes)[found.at])
-    at = np.append(found.at, np.zeros(depth, np.int64))
-    path, alive, lives = at[begin], np.ones(len(begin), bool), []
+    frequent = plan.words.holds(hashes)[found.at]
+    begin = np.flatnonzero(frequent)
+    follows = np.append(found.goes_on[:-1] & frequent[1:], np.zeros(depth, bool))
+    at, alive, here = np.append(found.at, np.zeros(depth, np.int64)), [], np.ones(len(begin), bool)
     for d in range(1, depth):
-        alive = alive & known[begin + d - 1]
-        lives.append(alive)
-        if d > 1:
-            _, path = np.unique(path, return_inverse=True)
-        path = path * (len(hashes) + 1) + np.where(alive, at[begin + d] + 1, 0)
-    _, some, count = np.unique(path, return_index=True, return_counts=True)
-    begin, lives = begin[some], [alive[some] for alive in lives]
-
-    key, group = hashes[at[begin]], plan.group_of_slot[hashes[at[begin]] & np.uint64(SLOTS - 1)].astype(np.int64)
-    open_here, split, prefix = plan.words.over(key), np.zeros(len(begin), np.int32), key
+        here = here & follows[begin + d - 1]
+        alive.append(here)
+    rows, count = _distinct(at, alive, begin, len(hashes))
+
+    heavy = np.append(False, plan.words.over(hashes))
+    hashes = np.append(np.uint64(0), hashes)
+    first = hashes[rows[0]]
+    group = plan.group_of_slot[first & np.uint64(SLOTS - 1)].astype(np.int64)
+    shifts = _shifts(depth)
+    number, prefix, above = (first >> np.uint64(46)) << np.uint64(46), first, 46
+    open_here, split, route = heavy[rows[0]], np.zeros(len(count), np.int32), first
     for d in range(1, depth):
+        prefix = np.where(rows[d] > 0, mixed(prefix, hashes[rows[d]]), np.uint64(0))
+        width = above - shifts[d]
+        number |= (prefix >> np.uint64(64 - width)) << np.uint64(shifts[d])
+        above = shifts[d]
         split += open_here
-        longer = open_here & lives[d - 1]
-        prefix = np.where(longer, pair_hash[begin] if d == 1 else mixed(prefix, hashes[at[begin + d]]), prefix)
-        # a phrase is no more frequent than its pairs; the last level is never split
-        open_here = longer & plan.pairs.over(pair_hash[np.minimum(begin + d - 1, len(pair_hash) - 1)])
+        longer = open_here & (rows[d] > 0)
+        route = np.where(longer, prefix, route)
+        open_here = longer & heavy[rows[d]]  # the last level is never split
     if plan.spread:
-        group = np.where(split > 0, plan.groups + (prefix % np.uint64(plan.spread)).astype(np.int64), group)
-    columns = {"grp": pa.array(group, pa.int32()), "split": pa.array(split), "h": pa.array(key.view(np.int64)),
-               "lang": found.langs.take(pa.array(at[begin])).cast(pa.string())}
-    for d in range(depth):
-        there = None if d == 0 else ~lives[d - 1]
-        columns[f"w{d}"] = found.names.take(pa.array(at[begin + d], mask=there))
-    return pa.RecordBatch.from_pydict(columns | {"c": pa.array(count)})
+        group = np.where(split > 0, plan.groups + (route % np.uint64(plan.spread)).astype(np.int64), group)
+    words = [found.names.take(pa.array(rows[d] - 1, mask=rows[d] == 0)) for d in range(depth)]
+    lang = found.langs.take(pa.array(rows[0] - 1)).cast(pa.large_string())
+    path = pc.binary_join_element_wise(*words, lang, pa.scalar("\t", lang.type), null_handling="replace", null_replacement="")
+    return pa.RecordBatch.from_pydict({
+        "grp": pa.array(group, pa.int32()), "split": pa.array(split), "number": pa.array(number.view(np.int64)), "path": path,
+        "c": pa.array(count)})
 
 
 def _nodes(batches: Iterator[pa.RecordBatch], depth: int, least: int) -> Iterator[pa.RecordBatch]:
     """Nodes of the subtrees whose sorted leaves come in: (lang, size, phrase, f, whole).
 
-    Nodes that go on in another batch or group aren't whole; whole ones under ``least`` are left out.
+    Nodes that go on in another batch or group, or that share their number with others, aren't whole; whole ones
+    under ``least`` are left out.
     """
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        words = [pc.fill_null(batch.column(f"w{d}"), "") for d in range(depth)]
-        lang, count = batch.column("lang"), batch.column("c").to_numpy()
-        split = batch.column("split").to_numpy()
+        parts = pc.split_pattern(batch.column("path"), "\t", max_splits=depth)
+        words, lang = [pc.list_element(parts, d) for d in range(depth)], pc.list_element(parts, depth)
+        count, split = batch.column("c").to_numpy(), batch.column("split").to_numpy()
+        number = batch.column("number").to_numpy().view(np.uint64)
 
         def changes(column: pa.Array) -> np.ndarray:
             return pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
 
         new = changes(lang)
-        phrase = None
-        for d in range(depth):
+        for d, shift in enumerate(_shifts(depth)):
             new = new | changes(words[d])
             start = np.concatenate([[0], np.flatnonzero(new) + 1])
-            phrase = words[0] if d == 0 else pc.binary_join_element_wise(phrase, words[d], pa.scalar(" ", words[d].type))
+            level = number >> np.uint64(shift)
+            alone = np.append(np.append(True, level[1:] != level[:-1])[start], False)
             total = np.add.reduceat(count, start)
-            edge = np.zeros(len(start), bool)
-            edge[[0, -1]] = True
-            whole = ~edge & (split[start] <= d)
+            whole = alone[:-1] & alone[1:] & (split[start] <= d)
+            whole[0] = False
             there = pc.not_equal(words[d].take(pa.array(start)), "").to_numpy(zero_copy_only=False)
             kept = np.flatnonzero(there & (~whole | (total >= least)))
             row = pa.array(start[kept])
+            phrase = words[0].take(row)
+            for w in words[1 : d + 1]:
+                phrase = pc.binary_join_element_wise(phrase, w.take(row), pa.scalar(" ", w.type))
             yield pa.RecordBatch.from_pydict({
                 "lang": lang.take(row), "size": pa.array(np.full(len(kept), d + 1), pa.int32()),
-                "phrase": phrase.take(row).cast(pa.string()), "f": pa.array(total[kept]), "whole": pa.array(whole[kept])})
+                "phrase": phrase, "f": pa.array(total[kept]), "whole": pa.array(whole[kept])})
 
 
 def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", max_words: int = MAX_WORDS, least: int = LEAST,
@@ -316,21 +338,7 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", max_w
     sizes = by_word.where("lang is not null").select("lang", F.col("c").alias("n"))
     budget = max(budget, (sizes.agg(F.sum("n")).first()[0] or 0) // GROUPS)
     by_word = by_word.where("lang is null").select("h", "c")
-    words = _frequent(by_word, budget)
-    shared_words = context.broadcast(words)
-
-    def pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for found in windows(batch.column(0), batch.column(1)):
-                hashes = found.hashes()
-                _, pair, pairs = _pairs(found, hashes, shared_words.value)
-                yield pa.RecordBatch.from_pydict({
-                    "h": pa.array(_pair_hashes(pairs, hashes).view(np.int64)),
-                    "c": pa.array(np.bincount(pair, minlength=len(pairs)))})
-
-    by_pair = source.mapInArrow(pair_batches, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
-    by_pair = staged(by_pair.where(F.col("c") >= least), "pairs")
-    plan = _partitioning(by_word, words, _frequent(by_pair, budget), budget)
+    plan = _partitioning(by_word, _frequent(by_word, budget), budget)
     shared_plan = context.broadcast(plan)
 
     def suffix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,10 +346,9 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", max_w
             for found in windows(batch.column(0), batch.column(1)):
                 yield _suffixes(found, shared_plan.value, max_words)
 
-    columns = [f"w{d}" for d in range(max_words)]
-    schema = f"grp int, split int, h bigint, lang string, {', '.join(f'{c} string' for c in columns)}, c bigint"
+    schema = "grp int, split int, number bigint, path string, c bigint"
     leaves = source.mapInArrow(suffix_batches, schema).repartitionById(plan.groups + plan.spread, "grp")
-    leaves = leaves.sortWithinPartitions("h", "lang", *columns)
+    leaves = leaves.sortWithinPartitions("number")
     nodes = staged(leaves.mapInArrow(
         lambda batches: _nodes(batches, max_words, least), "lang string, size int, phrase string, f bigint, whole boolean"),
         "nodes")

@@ -116,3 +116,23 @@ def test_windows_hold_every_word(texts, size):
     for which in set(langs):
         want = [p for t, lang in zip(texts, langs) if lang == which for p in pieces(t) if p]
         assert found[which] == want
+
+
+@pytest.mark.parametrize("clashes", [1, 3, 1 << 20])
+def test_nodes_that_share_a_number_are_added_up(monkeypatch, clashes):
+    texts = ["a b c. a b d. b a c c a. x a b c"] * 6 + ["b a b c. d d d d", None, ""]
+    langs = ["en", "de"] * 4 + ["en"]
+    monkeypatch.setattr(C.Words, "hashes", lambda w: (np.arange(len(w.names)) % clashes).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    plan = C.Partitioning(C.Frequent(np.full(4096, 255, np.uint8), np.zeros(0, np.uint64)), np.zeros(C.SLOTS, np.int32), 1, 0)
+    leaves = pa.Table.from_batches([C._suffixes(w, plan, 3) for w in C.windows(pa.array(texts), pa.array(langs), 40)])
+    leaves = leaves.sort_by("number").cast(pa.schema([(f.name, pa.string()) if f.name == "path" else (f.name, f.type) for f in leaves.schema]))
+    found, whole = Counter(), Counter()
+    for batch in C._nodes(leaves.to_batches(max_chunksize=7), 3, 1):
+        for r in batch.to_pylist():
+            found[r["lang"], r["phrase"]] += r["f"]
+            whole[r["lang"], r["phrase"]] += r["whole"]
+    want = Counter()
+    for lang, text in zip(langs, texts):
+        for p in pieces(text):
+            want.update((lang, " ".join(p[i : i + m])) for m in (1, 2, 3) for i in range(len(p) - m + 1))
+    assert found == want and all(n <= 1 for n in whole.values())

@@ -79,7 +79,19 @@ class BestRows:
             reached[many] = scores[many] >= self.floor[many, None]
         # rows level with the bar stay in: the id decides between them
         question, row = np.nonzero(reached)
-        score = np.round(scores[question, row], self.decimals)
+        self._take(question, np.round(scores[question, row], self.decimals), row, ids)
+
+    def offer_some(self, questions: np.ndarray, scores: np.ndarray, ids: pa.Array) -> None:
+        """``scores`` is rows of some ``questions`` x rows."""
+        slack = 10.0 ** -self.decimals
+        if scores.shape[1] > 4 * self.k:
+            cut = scores.shape[1] - self.k
+            bar = np.partition(scores, cut, axis=1)[:, cut] - slack
+            self.floor[questions] = np.maximum(self.floor[questions], bar)
+        place, row = np.nonzero(scores >= self.floor[questions, None])
+        self._take(questions[place], np.round(scores[place, row], self.decimals), row, ids)
+
+    def _take(self, question: np.ndarray, score: np.ndarray, row: np.ndarray, ids: pa.Array) -> None:
         real = np.isfinite(score)
         if not real.any():
             return

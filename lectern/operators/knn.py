@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import reduce
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,9 @@ from lectern.operators.questions import passes
 from lectern.plans.sizing import broadcast_within, top_per_group
 from lectern.settings import IN_LIST_VALUES, KNN_K
 
+if TYPE_CHECKING:
+    from lectern.operators.vector_index import VectorIndex
+
 # Scores are rounded before ranking so that equal vectors tie whatever order they are summed in.
 RANK_DECIMALS = 12
 CELLS_PER_STEP = 1 << 20
@@ -50,18 +54,23 @@ def knn_search(
     min_score: float | None = None,
     mode: str = "exact",
     order_by: Column | None = None,
+    index: VectorIndex | None = None,
     **lsh,
 ) -> DataFrame:
     """``qid, doc_id, score, rk`` of the k best documents per question.
 
     ``questions`` has ``qid``, ``vector`` and optionally ``filters``; filters hold
     before ranking. ``min_score`` cuts afterwards; none or 0 is off. ``order_by``
-    renumbers the k hits by an expression over the corpus columns.
+    renumbers the k hits by an expression over the corpus columns. ``mode="approx"`` with an ``index`` of the corpus
+    (:func:`build_vector_index`) answers unfiltered questions from it, the others exactly; without one it uses
+    random-projection buckets.
     """
     if "filters" not in questions.columns:
         questions = questions.withColumn("filters", F.create_map().cast("map<string,string>"))
     questions = questions.select("qid", "vector", clean(F.col("filters")).alias("filters"))
-    if mode == "approx":
+    if mode == "approx" and index is not None:
+        found = _indexed(corpus, questions, k, id_col, vector_col, index)
+    elif mode == "approx":
         found = _approximate(corpus, questions, k, id_col, vector_col, **lsh)
     else:
         found = _exact(corpus, questions, k, id_col, vector_col)
@@ -85,6 +94,19 @@ def _exact(corpus: DataFrame, questions: DataFrame, k: int, id_col: str, vector_
     return reduce(DataFrame.unionByName, found)
 
 
+def _indexed(
+    corpus: DataFrame, questions: DataFrame, k: int, id_col: str, vector_col: str, index: VectorIndex
+) -> DataFrame:
+    """Unfiltered questions by the index, the others by an exact pass; all by exact passes where the index says so."""
+    from lectern.operators.vector_index import index_search
+
+    if index.exact:
+        return _exact(corpus, questions, k, id_col, vector_col)
+    plain = F.size("filters") == 0
+    near = index_search(index, questions.where(plain)).withColumnRenamed(index.id_col, id_col)
+    return near.unionByName(_exact(corpus, questions.where(~plain), k, id_col, vector_col))
+
+
 def _dimension(questions: DataFrame) -> int | None:
     row = questions.select(F.max(F.size("vector")).alias("d")).first()
     return row["d"]

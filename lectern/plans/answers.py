@@ -19,6 +19,7 @@ from lectern.operators.knn import knn_search
 from lectern.functions.text import folded, strip
 from lectern.operators.lexical import filtered_page, lexical_search, page_limit
 from lectern.operators.reports import build_reports
+from lectern.operators.vector_index import VectorIndex
 from lectern.plans.route import route
 from lectern.plans.sizing import broadcast_within, settled, staged
 from lectern.rules import FIELD_WORDS, INTENT_PATTERNS, MODES
@@ -68,6 +69,7 @@ def answer_questions(
     max_chunks: int | None = MAX_CHUNKS,
     content_chars: int | None = CONTENT_KEY_CHARS,
     search: str = "exact",
+    index: VectorIndex | None = None,
 ) -> DataFrame:
     """One report per question.
 
@@ -81,7 +83,7 @@ def answer_questions(
     by default every source that was read is cited. ``with_sources`` adds
     sample documents to plain value lists.
 
-    ``k`` hits of the vector search (``search``: exact or approx) and ``max_docs`` of the word search are merged and
+    ``k`` hits of the vector search (``search``: exact or approx, with an ``index`` of ``vectors``) and ``max_docs`` of the word search are merged and
     the best ``max_hits`` fill ``chunked_context_chars`` of context, read in chunks of ``chunk_chars``. Of these ``max_chunks`` are
     read (None: all); a note tells how many were not. Vectors have ``dim`` numbers, by default as many as the
     table's; others are an error. A question that can't be answered (blank, unknown mode, a filter on a field
@@ -124,7 +126,7 @@ def answer_questions(
             searching, embed or HashedWords(dim), dim, text_col="query", vector_col="vector", strict=True
         )
         vectored = settled(vectored, "vectors", n_questions)
-        hits = settled(knn_search(vectors, vectored, k, mode=search), "knn", n_questions * k)
+        hits = settled(knn_search(vectors, vectored, k, mode=search, index=index), "knn", n_questions * k)
     near = n_questions * k
     wide = present["knn_chunked"] * (k + page_limit(max_docs))
     if "knn_chunked" in present:

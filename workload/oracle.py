@@ -361,6 +361,11 @@ SELECT p_partkey, p_brand AS brand, concat('a=', p_type) AS expr, CAST(p_size AS
     "apply_filters": """
 SELECT concat('[{"key":"form_type","value":"', lang, '"}]') AS spec, doc_id FROM documents""",
     "knn_topk": centroid_hits(10),
+    "knn_approx": centroid_hits(10),
+    "knn_index": """
+SELECT 5 * count(*) FILTER (vec_id % 20 = 0) AS wanted, 5 * count(*) FILTER (vec_id % 20 = 0) AS found, true AS recall_ok,
+       count(*) AS indexed, true AS share_ok
+FROM embeddings""",
     "knn_filtered": centroid_hits(10, "label = qid"),
     "knn_min_score": centroid_hits(50, least=0.7),
     "knn_recent": centroid_hits(10, order="doc_id DESC"),

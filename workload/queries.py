@@ -227,7 +227,27 @@ def knn_min_score(spark, sf):
 
 
 def knn_approx(spark, sf):
-    return _centroid_hits(spark, sf, mode="approx")
+    """From an index. The given vectors have no neighbourhoods: it measures that and searches exactly."""
+    index = L.build_vector_index(table(spark, sf, "embeddings"), _new_folder(spark, "index"), id_col="vec_id")
+    return _centroid_hits(spark, sf, mode="approx", index=index)
+
+
+def knn_index(spark, sf):
+    """From an index of vectors with neighbourhoods: the given ones, drawn to one of the first 25. Every 20th is asked."""
+    given = table(spark, sf, "embeddings")
+    middles = given.where("vec_id < 25").select(F.col("vec_id").alias("at"), F.col("embedding").alias("middle"))
+    drawn = given.join(F.broadcast(middles), F.col("vec_id") % 25 == F.col("at")).select(
+        "vec_id", F.zip_with("embedding", "middle", lambda x, m: (m + 0.35 * x).cast("float")).alias("embedding"))
+    drawn = staged(drawn, "drawn")
+    index = L.build_vector_index(drawn, _new_folder(spark, "index"), id_col="vec_id", k=5)
+    asked = drawn.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    exact = L.knn_search(drawn, asked, k=5, id_col="vec_id").select("qid", "doc_id", F.lit(1).alias("in_exact"))
+    near = L.knn_search(drawn, asked, k=5, id_col="vec_id", mode="approx", index=index)
+    both = near.select("qid", "doc_id", F.lit(1).alias("in_near")).join(exact, ["qid", "doc_id"], "full")
+    return both.agg(
+        F.count("in_exact").alias("wanted"), F.count("in_near").alias("found"),
+        (F.count_if((F.col("in_exact") == 1) & (F.col("in_near") == 1)) >= 0.9 * F.count("in_exact")).alias("recall_ok"),
+    ).select("*", F.lit(index.rows).cast("bigint").alias("indexed"), F.lit(not index.exact and index.share < 0.25).alias("share_ok"))
 
 
 def knn_recent(spark, sf):
@@ -433,7 +453,7 @@ QUERIES = {
         terms_agg, terms_agg_filtered, terms_agg_capped, terms_agg_least, distinct_count, distinct_count_approx,
         multi_terms_agg, facets, distribution, coverage, terms_for_questions, agg_context, enumeration_report,
         build_reports, list_reports, load_report, classify, resolve_field, route, check_questions, parse_filters,
-        apply_filters, knn_topk, knn_filtered, knn_min_score, knn_approx, knn_recent, term_statistics, lexical_bm25,
+        apply_filters, knn_topk, knn_filtered, knn_min_score, knn_approx, knn_index, knn_recent, term_statistics, lexical_bm25,
         filtered_page, embed_documents, hybrid_merge, rank_hits, dedup_content, dedup_field, uncovered_values,
         citations, embedding_text, passages, preview_text, corpus_count, build_context, chunk_context, fixed_chunks,
         build_prompts, synthesize, build_vector_table, try_search, upsert_vectors, verify_vectors, ingest_report,

@@ -18,6 +18,7 @@ from lectern.operators.questions import check_questions
 from lectern.operators.reports import build_reports
 from lectern.operators.synthesis import build_prompts, synthesize
 from lectern.operators.vector_index import VectorIndex, build_vector_index, load_vector_index
+from lectern.operators.word_index import WordIndex, build_word_index, indexed_search
 from lectern.plans.answers import answer_questions
 from lectern.plans.route import classify_intent, resolve_field, route
 from lectern.sources.corpus import corpus_count, load_corpus, preview_text

@@ -375,6 +375,9 @@ SELECT field, term, count(DISTINCT doc_id) AS docs, 0::BIGINT AS words FROM toke
 UNION ALL SELECT field, '', count(DISTINCT doc_id), count(*) FROM tokens GROUP BY field""",
     "lexical_bm25": f"""
 WITH {TOKENS}, {BM25}
+SELECT qid, doc_id, round(score, 4) AS score, CAST(rk AS INTEGER) AS rk FROM by_words""",
+    "lexical_index": f"""
+WITH {TOKENS}, {BM25}
 SELECT qid, doc_id, round(score, 4) AS score, CAST(rk AS INTEGER) AS rk FROM by_words""",
     "filtered_page": """
 SELECT lang AS qid, doc_id, 0.0::DOUBLE AS score,

@@ -263,6 +263,12 @@ def lexical_bm25(spark, sf):
     return found.select("qid", "doc_id", r4("score"), "rk")
 
 
+def lexical_index(spark, sf):
+    """The same search from a stored index of posting blocks."""
+    index = L.build_word_index(corpus(spark, sf), _new_folder(spark, "words"))
+    return L.indexed_search(index, text_questions(spark, sf)).select("qid", "doc_id", r4("score"), "rk")
+
+
 def filtered_page(spark, sf):
     return L.filtered_page(corpus(spark, sf), listing_questions(spark, sf))
 
@@ -454,7 +460,7 @@ QUERIES = {
         multi_terms_agg, facets, distribution, coverage, terms_for_questions, agg_context, enumeration_report,
         build_reports, list_reports, load_report, classify, resolve_field, route, check_questions, parse_filters,
         apply_filters, knn_topk, knn_filtered, knn_min_score, knn_approx, knn_index, knn_recent, term_statistics, lexical_bm25,
-        filtered_page, embed_documents, hybrid_merge, rank_hits, dedup_content, dedup_field, uncovered_values,
+        lexical_index, filtered_page, embed_documents, hybrid_merge, rank_hits, dedup_content, dedup_field, uncovered_values,
         citations, embedding_text, passages, preview_text, corpus_count, build_context, chunk_context, fixed_chunks,
         build_prompts, synthesize, build_vector_table, try_search, upsert_vectors, verify_vectors, ingest_report,
         answer_questions,

@@ -138,9 +138,14 @@ def scan_new(versions: DataFrame, paths: DataFrame, ledger_path: str, rules: Seq
 
 
 def blob_spans(spark: SparkSession, ledger_path: str, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """(blob, spans) of blobs with secrets; spans by begin, then rule."""
+    """(blob, spans) of blobs with secrets; spans by begin, then rule.
+
+    A pair of blob and rule version may stand in the ledger twice, as when two scans run at once or a commit is
+    repeated; its spans are the same each time and count once.
+    """
     return (
         _current(read_ledger(spark, ledger_path), rules).where(F.size("spans") > 0)
+        .groupBy("blob", "rule", "rule_version").agg(F.min("spans").alias("spans"))
         .select("blob", F.col("rule").alias("kind"), _rank(rules).alias("rank"), F.explode("spans").alias("s"))
         .groupBy("blob").agg(F.sort_array(F.collect_list(
             F.struct("s.begin", "rank", "kind", "s.until"))).cast(FOUND).alias("spans"))

@@ -63,6 +63,18 @@ def test_empty_null_and_repeated_rows(spark):
     assert S.scan(spark.createDataFrame([], schema), fresh_folder(spark, "ledger")).count() == 0
 
 
+def test_pairs_committed_twice_count_once(spark):
+    ledger = fresh_folder(spark, "ledger")
+    docs = versions(spark, TEXTS)
+    first = spans_of(S.scan(docs, ledger))
+    again = S.read_ledger(spark, ledger).collect()
+    spark.createDataFrame(again, S.LEDGER).write.mode("append").parquet(ledger)  # the same commit, repeated
+    assert S.read_ledger(spark, ledger).count() == 2 * len(again)
+    assert spans_of(S.scan(docs, ledger)) == first == {i: plain(t) for i, t in enumerate(TEXTS)}
+    masked = {r.doc_id: r.text for r in S.redacted(docs, ledger).collect()}
+    assert masked == {r.doc_id: r.text for r in S.redacted(docs, fresh_folder(spark, "ledger")).collect()}
+
+
 def test_redaction(spark):
     docs = versions(spark, TEXTS)
     got = {r.doc_id: r.text for r in S.redacted(docs, fresh_folder(spark, "ledger")).collect()}

@@ -11,11 +11,20 @@ from lectern.operators.aggregates import (
 from lectern.operators.context import build_context, chunk_context, fixed_chunks, passages
 from lectern.operators.embedding import HashedWords, embed_table
 from lectern.operators.filters import accepted, apply_filters, parse_filters
-from lectern.operators.hits import citations, dedup_hits, fetch_docs, merge_hits, rank_hits, uncovered_values
+from lectern.operators.hits import (
+    citations,
+    dedup_hits,
+    fetch_docs,
+    fuse_hits,
+    merge_hits,
+    rank_hits,
+    uncovered_values,
+)
 from lectern.operators.knn import knn_search
 from lectern.operators.lexical import filtered_page, lexical_search, term_statistics
 from lectern.operators.questions import check_questions
 from lectern.operators.reports import build_reports
+from lectern.operators.sketches import field_sketches, merged_sketches, read_sketches, save_sketches, sketch_counts
 from lectern.operators.synthesis import build_prompts, synthesize
 from lectern.operators.vector_index import VectorIndex, build_vector_index, load_vector_index
 from lectern.operators.word_index import WordIndex, build_word_index, indexed_search

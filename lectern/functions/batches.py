@@ -102,9 +102,12 @@ class BestRows:
         }))
         self.waiting += int(real.sum())
         if self.waiting > max(self.PENDING_ROWS, self.kept.num_rows if self.kept is not None else 0):
-            self._settle()
+            self.settle()
 
-    def _settle(self) -> None:
+    def settle(self) -> None:
+        """Cut what was offered to the best rows, and raise the bars of questions that have ``k`` of them."""
+        if not self.fresh:
+            return
         table = pa.concat_tables(([self.kept] if self.kept is not None else []) + self.fresh)
         self.fresh, self.waiting = [], 0
         order = [("question", "ascending"), ("score", "descending"), ("id", "ascending")]
@@ -113,12 +116,12 @@ class BestRows:
         place = np.arange(len(question)) - np.searchsorted(question, question)
         self.kept = table.filter(pa.array(place < self.k)).combine_chunks()
         full = place == self.k - 1
-        self.floor[question[full]] = table["score"].to_numpy()[full] - 10.0 ** -self.decimals
+        bar = table["score"].to_numpy()[full] - 10.0 ** -self.decimals
+        self.floor[question[full]] = np.maximum(self.floor[question[full]], bar)
 
     def result(self, names: pa.Array, id_col: str) -> list[pa.RecordBatch]:
         """``qid, id, score`` with the questions' own ids from ``names``."""
-        if self.fresh:
-            self._settle()
+        self.settle()
         if self.kept is None:
             return []
         return pa.table({

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from lectern.settings import (
     TYPE_FIELDS,
 )
 
+FUSION_CONSTANT = 60  # ranks are added up as 1 / (constant + rank)
+
 CITATION = (
     "struct<idx:int,score:double,id:string,title:string,description:string,"
     "activity:string,location:string,type:string>"
@@ -88,6 +91,34 @@ def rank_hits(hits: DataFrame, n: int = MERGED_HITS) -> DataFrame:
     return top_per_group(hits.drop("rk"), ["qid"], [F.desc("score"), F.asc("merge_rk")], n)
 
 
+def fuse_hits(lists: Sequence[DataFrame], n: int = MERGED_HITS, constant: int = FUSION_CONSTANT) -> DataFrame:
+    """Best ``n`` documents per question by their ranks alone: ``qid, doc_id, score, rk, n_lists``.
+
+    Each list (``qid, doc_id, rk``) adds ``1 / (constant + rk)``. The first n of any list have at least ``1 / (constant + n)``, and
+    a document that stands below rank m in each of L lists at most ``L / (constant + m + 1)``. So only documents
+    within the :func:`fusion_depth` of some list are looked at, and the rest of the lists only for these; the result is
+    that of the whole lists. Equal scores go by the best rank, then by id.
+    """
+    depth = fusion_depth(n, len(lists), constant)
+    parts = [df.select("qid", "doc_id", "rk", F.lit(i).alias("list")) for i, df in enumerate(lists)]
+    whole = reduce(DataFrame.unionByName, parts)
+    early = whole.where(F.col("rk") <= depth).select("qid", "doc_id").distinct()
+    late = whole.where(F.col("rk") > depth).join(early, ["qid", "doc_id"], "left_semi")
+    # a document counts once in each list, with its best rank there
+    once = whole.where(F.col("rk") <= depth).unionByName(late).groupBy("qid", "doc_id", "list").agg(F.min("rk").alias("rk"))
+    ranks = once.groupBy("qid", "doc_id").agg(F.sort_array(F.collect_list("rk")).alias("ranks"))
+    total = F.aggregate("ranks", F.lit(0.0), lambda s, r: s + 1 / (constant + r))
+    fused = ranks.select(
+        "qid", "doc_id", F.round(total, 12).alias("score"), F.col("ranks")[0].alias("first"), F.size("ranks").alias("n_lists"))
+    top = top_per_group(fused, ["qid"], [F.desc("score"), F.asc("first"), F.asc("doc_id")], n, spread_on=["doc_id"])
+    return top.select("qid", "doc_id", "score", "rk", "n_lists")
+
+
+def fusion_depth(n: int, lists: int, constant: int = FUSION_CONSTANT) -> int:
+    """The least rank m with ``lists / (constant + m + 1) < 1 / (constant + n)``."""
+    return max(n, lists * (constant + n) - constant)
+
+
 def uncovered_values(values: DataFrame, docs: DataFrame, field: str, group: Sequence[str] = ()) -> DataFrame:
     """Rows of ``values`` whose ``value`` no document of ``docs`` holds in ``field``, ignoring case."""
     covered = docs.select(*group, folded(F.col(field)).alias("__covered")).where("__covered <> ''").distinct()

@@ -63,13 +63,14 @@ def knn_search(
     before ranking. ``min_score`` cuts afterwards; none or 0 is off. ``order_by``
     renumbers the k hits by an expression over the corpus columns. ``mode="approx"`` with an ``index`` of the corpus
     (:func:`build_vector_index`) answers unfiltered questions from it, the others exactly; without one it uses
-    random-projection buckets.
+    random-projection buckets. ``mode="exact"`` with an index reads the index once for all unfiltered questions and skips
+    what can't be among the best (:mod:`lectern.operators.pivots`).
     """
     if "filters" not in questions.columns:
         questions = questions.withColumn("filters", F.create_map().cast("map<string,string>"))
     questions = questions.select("qid", "vector", clean(F.col("filters")).alias("filters"))
-    if mode == "approx" and index is not None:
-        found = _indexed(corpus, questions, k, id_col, vector_col, index)
+    if index is not None:
+        found = _indexed(corpus, questions, k, id_col, vector_col, index, mode)
     elif mode == "approx":
         found = _approximate(corpus, questions, k, id_col, vector_col, **lsh)
     else:
@@ -95,15 +96,18 @@ def _exact(corpus: DataFrame, questions: DataFrame, k: int, id_col: str, vector_
 
 
 def _indexed(
-    corpus: DataFrame, questions: DataFrame, k: int, id_col: str, vector_col: str, index: VectorIndex
+    corpus: DataFrame, questions: DataFrame, k: int, id_col: str, vector_col: str, index: VectorIndex, mode: str
 ) -> DataFrame:
-    """Unfiltered questions by the index, the others by an exact pass; all by exact passes where the index says so."""
+    """Unfiltered questions by the index (exactly, if asked or if the index says so), the others by exact passes."""
+    from lectern.operators.pivots import pivot_search
     from lectern.operators.vector_index import index_search
 
-    if index.exact:
-        return _exact(corpus, questions, k, id_col, vector_col)
     plain = F.size("filters") == 0
-    near = index_search(index, questions.where(plain)).withColumnRenamed(index.id_col, id_col)
+    if mode == "exact" or index.exact:
+        near = pivot_search(index, questions.where(plain), k)
+    else:
+        near = index_search(index, questions.where(plain))
+    near = near.withColumnRenamed(index.id_col, id_col)
     return near.unionByName(_exact(corpus, questions.where(~plain), k, id_col, vector_col))
 
 

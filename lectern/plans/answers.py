@@ -14,6 +14,7 @@ from lectern.operators import aggregates as agg
 from lectern.operators import synthesis
 from lectern.operators.context import build_context, chunk_context
 from lectern.operators.embedding import Embed, HashedWords, embed_table
+from lectern.operators.filters import clean
 from lectern.operators.hits import CITATION, citations, dedup_hits, fetch_docs, merge_hits, rank_hits
 from lectern.operators.knn import knn_search
 from lectern.functions.text import folded, strip
@@ -22,7 +23,7 @@ from lectern.operators.reports import build_reports
 from lectern.operators.vector_index import VectorIndex
 from lectern.plans.route import route
 from lectern.plans.sizing import broadcast_within, settled, staged
-from lectern.rules import FIELD_WORDS, INTENT_PATTERNS, MODES
+from lectern.rules import DEFAULT_MODE, FIELD_WORDS, INTENT_PATTERNS, MODES
 from lectern.settings import (
     CHUNK_CHARS,
     CHUNKED_CONTEXT_CHARS,
@@ -92,7 +93,11 @@ def answer_questions(
     started = time.time()
     given = F.coalesce("filters", F.create_map().cast("map<string,string>"))
     columns = ["qid", "query", "mode", "filters", "intent", "enum_field", "strategy"]
-    asked = route(questions.withColumn("filters", given), cues, words)
+    mode = folded(F.coalesce("mode", F.lit("")))
+    questions = questions.withColumns({
+        "query": strip(F.coalesce("query", F.lit(""))), "mode": F.when(mode == "", F.lit(DEFAULT_MODE)).otherwise(mode),
+        "filters": given})
+    asked = route(questions, cues, words)
     asked = settled(asked.select(*columns, _problem(questions, vectors).alias("problem")), "questions")
     refused = asked.where("problem IS NOT NULL")
     asked = asked.where("problem IS NULL").select(*columns)
@@ -157,13 +162,12 @@ def answer_questions(
 
 
 def _problem(questions: DataFrame, vectors: DataFrame):
-    """Why a question can't be answered, or null."""
-    mode = folded(F.coalesce("mode", F.lit("")))
+    """Why a question (stripped, its mode folded) can't be answered, or null. Blank filters ask for nothing, whatever their field."""
     usable = [f for f in FILTER_FIELDS if f in vectors.columns]
-    odd = F.array_sort(F.filter(F.map_keys(F.coalesce("filters", F.create_map().cast("map<string,string>"))), lambda f: ~f.isin(*usable)))
+    odd = F.array_sort(F.filter(F.map_keys(clean(F.col("filters"))), lambda f: ~f.isin(*usable)))
     return (
-        F.when(strip(F.coalesce("query", F.lit(""))) == "", F.lit("Please enter a query"))
-        .when((mode != "") & ~mode.isin(*MODES), F.concat(F.lit("Invalid mode: "), mode))
+        F.when(F.col("query") == "", F.lit("Please enter a query"))
+        .when(~F.col("mode").isin(*MODES), F.concat(F.lit("Invalid mode: "), F.col("mode")))
         .when(F.size(odd) > 0, F.concat(F.lit("Unknown filter: "), F.array_join(odd, ", ")))
     )
 

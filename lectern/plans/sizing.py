@@ -60,7 +60,7 @@ def staging_dir(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder all executors share")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, rows_per_file: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage in a way that survives lost executors, keeps costly upstream work
@@ -69,7 +69,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{staging_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file or 0).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

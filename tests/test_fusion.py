@@ -1,0 +1,66 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import lectern as L
+from lectern.operators.hits import fusion_depth
+
+
+def hits(spark, rows):
+    return spark.createDataFrame(rows, "qid int, doc_id string, score double, rk int")
+
+
+def plain(lists, n, constant=60):
+    best = {}
+    for rows in lists:
+        mine = {}
+        for q, d, _, rk in rows:
+            mine[q, d] = min(rk, mine.get((q, d), rk))
+        for key, rk in mine.items():
+            best.setdefault(key, []).append(rk)
+    out = []
+    for q in {q for q, _ in best}:
+        rows = [(-round(sum(sorted([1 / (constant + r) for r in rks], reverse=True)), 12), min(rks), d, len(rks)) for (p, d), rks in best.items() if p == q]
+        out += [(q, d, i, k) for i, (_, _, d, k) in enumerate(sorted(rows)[:n], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("lists,n,length", [(2, 5, 400), (3, 2, 300), (1, 7, 50), (2, 1, 3)])
+def test_fusion_equals_whole_lists(spark, lists, n, length):
+    rng = random.Random(lists)
+    rows = []
+    for _ in range(lists):
+        docs = [f"d{i}" for i in rng.sample(range(600), length)]
+        rows.append([(q, d, 0.5, i) for q in range(3) for i, d in enumerate(rng.sample(docs, len(docs)), 1)])
+    rows[0] += [(0, rows[0][0][1], 0.1, length + 9)]  # a document twice in a list
+    found = L.fuse_hits([hits(spark, r) for r in rows], n)
+    assert sorted((r.qid, r.doc_id, r.rk, r.n_lists) for r in found.collect()) == plain(rows, n)
+
+
+def test_early_end_changes_nothing(spark):
+    """A document far down both lists can't enter; one far down a single list can, with its full score."""
+    assert fusion_depth(5, 2) < 100
+    a = [(1, f"a{i}", 1.0, i) for i in range(1, 200)] + [(1, "both", 1.0, 200)]
+    b = [(1, f"b{i}", 1.0, i + 1) for i in range(1, 200)] + [(1, "a1", 1.0, 300), (1, "both", 1.0, 201)]
+    found = L.fuse_hits([hits(spark, a), hits(spark, b)], 5).orderBy("rk").collect()
+    assert found[0].doc_id == "a1" and found[0].n_lists == 2 and abs(found[0].score - (1 / 61 + 1 / 360)) < 1e-9
+    assert all(r.doc_id != "both" for r in found)
+    assert L.fuse_hits([hits(spark, []), hits(spark, [])]).count() == 0
+
+
+def test_sketches_add_up(spark, tmp_path):
+    docs = spark.range(50_000).select((F.col("id") % 20_000).alias("a"), F.lit(None).cast("string").alias("b"), F.col("id").cast("string").alias("c"))
+    root = str(tmp_path / "table")
+    L.save_sketches(L.field_sketches(docs.where("id < 30000"), ["a", "b", "c"], 1), root)
+    first = {r.field: r.total_unique for r in L.sketch_counts(L.read_sketches(spark, root)).collect()}
+    for _ in range(2):  # the same version saved again counts once
+        L.save_sketches(L.field_sketches(docs.where("id >= 30000"), ["a", "b", "c"], 2), root)
+    got = {r.field: (r.total_unique, r.error) for r in L.sketch_counts(L.read_sketches(spark, root)).collect()}
+    error = got["a"][1]
+    assert abs(error - 0.008125) < 1e-9
+    for field, want in (("a", 20_000), ("b", 0), ("c", 50_000)):
+        assert abs(got[field][0] - want) <= 4 * error * want
+    assert abs(first["c"] - 30_000) <= 4 * error * 30_000
+    since = {r.field: r.total_unique for r in L.sketch_counts(L.read_sketches(spark, root, since=2)).collect()}
+    assert abs(since["c"] - 20_000) <= 4 * error * 20_000

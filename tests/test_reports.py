@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 import lectern as L
 from lectern.operators import synthesis
+from lectern.rules import MODE_INSTRUCTIONS
 
 QUESTION = "qid bigint, query string, mode string, filters map<string,string>"
 
@@ -216,3 +217,14 @@ def test_another_length_of_vectors_is_an_error(spark, table):
     asked = spark.createDataFrame([(1, "what is red", "answer", {})], QUESTION)
     with pytest.raises(Exception, match="numbers where|length"):
         L.answer_questions(asked, table, dim=8).collect()
+
+
+def test_modes_are_stripped_and_folded(spark, table):
+    asked = spark.createDataFrame(
+        [(1, " compare red with blue ", " Analyze ", {}), (2, "what is red", "  ", {"colour": " "}), (3, "Distribution of types", "PREDICT", {})], QUESTION)
+    prompts = lambda texts: list(texts)
+    got = {r.qid: r for r in L.answer_questions(asked, table, Counting(), prompts, chunk_chars=10_000).collect()}
+    assert [(got[q].mode, got[q].mode_label) for q in (1, 2, 3)] == [("analyze", "Analyze"), ("answer", "Answer"), ("predict", "Predict")]
+    for q, mode in ((1, "analyze"), (2, "answer"), (3, "predict")):
+        assert MODE_INSTRUCTIONS[mode] in got[q].answer
+    assert got[1].query == "compare red with blue" and got[2].metadata.strategy == "knn_single"

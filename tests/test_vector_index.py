@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 import lectern as L
 from lectern.functions.batches import vectors
-from lectern.operators import knn, vector_index as V
+from lectern.operators import knn, pivots as P, vector_index as V
+from lectern.plans.sizing import top_per_group
 
 SCHEMA = "doc_id bigint, embedding array<float>, side string"
 
@@ -124,3 +125,50 @@ def test_code_scores_are_near_the_true_ones():
     again = centroids[lst] + np.concatenate([b[codes[:, m]] for m, b in enumerate(books)], axis=1)
     assert np.abs(x @ x[:50].T - again @ x[:50].T).mean() < 0.05
     assert knn.RANK_DECIMALS and vectors is not None
+
+
+def test_exact_search_in_one_scan_skips_rows(spark, big, monkeypatch):
+    table, index = big
+    monkeypatch.setattr(P, "QUESTIONS_PER_PASS", 150)
+    asked = asked_of(table, 40)
+    counted = spark.sparkContext.accumulator(0)
+    found = P.pivot_search(index, asked, 10, counted)
+    best = top_per_group(found, ["qid"], [F.desc("score"), F.asc("doc_id")], 10)
+    want = L.knn_search(table, asked)
+    key = lambda rows: sorted((r.qid, r.rk, r.doc_id, round(r.score, 11)) for r in rows.collect())
+    assert key(best) == key(want)
+    assert counted.value < 0.4 * 500 * 20_000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    whole = L.knn_search(table, asked, index=index)
+    assert key(whole) == key(want)
+
+
+@pytest.mark.parametrize("k", [1, 7])
+def test_exact_search_by_index_on_odd_vectors(spark, tmp_path, k):
+    """Copies, opposite vectors, ties, and vectors without neighbourhoods."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((1500, 6))
+    x[::3] = x[0]
+    x[1::9] = -x[0]
+    table = frame(spark, x.round(1))
+    index = L.build_vector_index(table, str(tmp_path / "odd"), lists=20)
+    asked = spark.createDataFrame(
+        [(i, v.tolist()) for i, v in enumerate([*rng.standard_normal((20, 6)), x[0], -x[0], np.zeros(6)])], "qid int, vector array<double>")
+    key = lambda rows: sorted((r.qid, r.rk, r.doc_id, round(r.score, 11)) for r in rows.collect())
+    assert key(L.knn_search(table, asked, k, index=index)) == key(L.knn_search(table, asked, k))
+    assert L.knn_search(table, asked.where("qid < 0"), k, index=index).count() == 0
+
+
+def test_bounds_hold_for_every_row():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((900, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    asked = rng.standard_normal((40, 5))
+    asked /= np.linalg.norm(asked, axis=1, keepdims=True)
+    order, start, pivots, reach = P.rings(x, rng.integers(0, 7, 900), 50)
+    limit = P.bounds(asked, pivots, reach)
+    assert sorted(order) == list(range(900))
+    for ring in range(len(pivots)):
+        scores = (1 + asked @ x[order[start[ring] : start[ring + 1]]].T) / 2
+        assert (scores.max(axis=1) <= limit[:, ring]).all()

@@ -362,6 +362,7 @@ SELECT p_partkey, p_brand AS brand, concat('a=', p_type) AS expr, CAST(p_size AS
 SELECT concat('[{"key":"form_type","value":"', lang, '"}]') AS spec, doc_id FROM documents""",
     "knn_topk": centroid_hits(10),
     "knn_approx": centroid_hits(10),
+    "knn_one_scan": centroid_hits(10),
     "knn_index": """
 SELECT 5 * count(*) FILTER (vec_id % 20 = 0) AS wanted, 5 * count(*) FILTER (vec_id % 20 = 0) AS found, true AS recall_ok,
        count(*) AS indexed, true AS share_ok
@@ -393,6 +394,16 @@ SELECT qid, doc_id, round(score, 4) AS score, CAST(branch AS INTEGER) AS branch,
     "rank_hits": f"""
 WITH {TOKENS}, {BM25}, {NEAR}, {MERGED}, {RANKED}
 SELECT qid, doc_id, round(score, 4) AS score, CAST(rk AS INTEGER) AS rk FROM ranked""",
+    "fuse_hits": f"""
+WITH {TOKENS}, {BM25}, {NEAR},
+either AS (SELECT qid, doc_id, rk FROM near UNION ALL SELECT qid, doc_id, rk FROM by_words),
+fused AS (SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rk)), 12) AS score, min(rk) AS lead, count(*) AS n FROM either GROUP BY ALL)
+SELECT qid, doc_id, round(score, 9) AS score,
+       CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, lead, doc_id) AS INTEGER) AS rk, CAST(n AS INTEGER) AS n_lists
+FROM fused QUALIFY rk <= 30""",
+    "distinct_sketches": "".join(f"""
+{'UNION ALL ' if i else ''}SELECT '{f}' AS field, count(DISTINCT {f}) AS exact, true AS within_error FROM lineitem"""
+        for i, f in enumerate(("l_orderkey", "l_partkey", "l_suppkey"))),
     "dedup_content": f"""
 WITH {CORPUS}
 SELECT doc_id FROM corpus QUALIFY row_number() OVER (PARTITION BY {CONTENT_KEY} ORDER BY doc_id) = 1""",

@@ -54,6 +54,18 @@ def distinct_count_approx(spark, sf):
     return L.distinct_count(table(spark, sf, "lineitem"), ["l_orderkey", "l_partkey"], approximate=True)
 
 
+def distinct_sketches(spark, sf):
+    """Sketches of two halves of a table, stored, merged and held against the exact counts."""
+    fields, lines, root = ["l_orderkey", "l_partkey", "l_suppkey"], table(spark, sf, "lineitem"), _new_folder(spark, "sketches")
+    for version in (1, 2):
+        half = lines.where(F.col("l_linenumber") % 2 == version - 1)
+        L.save_sketches(L.field_sketches(half, fields, version), root)
+    near = L.sketch_counts(L.read_sketches(spark, root))
+    exact = L.distinct_count(lines, fields).withColumnRenamed("total_unique", "exact")
+    off = F.abs(F.col("total_unique") - F.col("exact"))
+    return near.join(exact, "field").select("field", "exact", (off <= 4 * F.col("error") * F.col("exact")).alias("within_error"))
+
+
 def multi_terms_agg(spark, sf):
     return L.multi_terms_agg(table(spark, sf, "part"), ["p_brand", "p_type", "p_name"])
 
@@ -232,6 +244,12 @@ def knn_approx(spark, sf):
     return _centroid_hits(spark, sf, mode="approx", index=index)
 
 
+def knn_one_scan(spark, sf):
+    """Exact, from an index: one scan for any number of questions."""
+    index = L.build_vector_index(table(spark, sf, "embeddings"), _new_folder(spark, "index"), id_col="vec_id")
+    return _centroid_hits(spark, sf, index=index)
+
+
 def knn_index(spark, sf):
     """From an index of vectors with neighbourhoods: the given ones, drawn to one of the first 25. Every 20th is asked."""
     given = table(spark, sf, "embeddings")
@@ -306,6 +324,13 @@ def rank_hits(spark, sf):
     return _ranked(spark, sf).select("qid", "doc_id", r4("score"), "rk")
 
 
+def fuse_hits(spark, sf):
+    """Vector and word hits by their ranks alone."""
+    docs, near = _text_hits(spark, sf)
+    return L.fuse_hits([near, L.lexical_search(docs, text_questions(spark, sf))]).select(
+        "qid", "doc_id", F.round("score", 9).alias("score"), "rk", "n_lists")
+
+
 def dedup_content(spark, sf):
     return L.dedup_hits(corpus(spark, sf), group=(), order="doc_id").select("doc_id")
 
@@ -457,9 +482,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         terms_agg, terms_agg_filtered, terms_agg_capped, terms_agg_least, distinct_count, distinct_count_approx,
+        distinct_sketches, fuse_hits,
         multi_terms_agg, facets, distribution, coverage, terms_for_questions, agg_context, enumeration_report,
         build_reports, list_reports, load_report, classify, resolve_field, route, check_questions, parse_filters,
-        apply_filters, knn_topk, knn_filtered, knn_min_score, knn_approx, knn_index, knn_recent, term_statistics, lexical_bm25,
+        apply_filters, knn_topk, knn_filtered, knn_min_score, knn_approx, knn_one_scan, knn_index, knn_recent, term_statistics, lexical_bm25,
         lexical_index, filtered_page, embed_documents, hybrid_merge, rank_hits, dedup_content, dedup_field, uncovered_values,
         citations, embedding_text, passages, preview_text, corpus_count, build_context, chunk_context, fixed_chunks,
         build_prompts, synthesize, build_vector_table, try_search, upsert_vectors, verify_vectors, ingest_report,

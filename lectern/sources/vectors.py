@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -16,7 +16,12 @@ from lectern.operators.knn import knn_search
 from lectern.plans.sizing import spread_small, top_per_group
 from lectern.settings import EMBED_FIELDS, STORED_TEXT_CHARS
 
-VERSION = "version bigint, path string, kind string, id_col string, only_ok boolean, published_at timestamp"
+VERSION = (
+    "version bigint, path string, kind string, id_col string, only_ok boolean, published_at timestamp, "
+    "n_buckets int, buckets map<string,string>"
+)
+BUCKET = "__bucket"
+FILES_PER_BUCKET = 8  # at most so many tasks write a bucket, so that one id with very many rows doesn't wait for one task
 MAX_FAILED = 0.5  # share of rows that may fail before a build is refused
 
 
@@ -57,24 +62,35 @@ def build_vector_table(
     partitions: int | None = None,
     max_failed: float = MAX_FAILED,
     rejected: str | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Build and publish a version of the table at ``root``.
 
+    With ``buckets`` the rows lie in that many folders by a hash of their id, and so do those upserted later: a read puts new
+    rows in place in the folders that have some, the others are read as they are, and :func:`compact_vectors`
+    rewrites the former alone. It costs one shuffle of the built rows.
+
     ``upsert`` publishes the new rows alone; readers put them in place of those with the same ids, and
     :func:`compact_vectors` writes them out. Nothing is published if more than the share
     ``max_failed`` of the rows could not be embedded. Those that failed are appended to the table ``rejected``
     instead of being published; without one they are published with ``embed_ok`` false.
     """
     spark = corpus.sparkSession
-    path = _written(with_vectors(corpus, embed, dim, limit, id_col, fields, partitions), root)
-    made = spark.read.parquet(path)
+    if mode == "upsert":
+        buckets = versions(spark, root)[0].n_buckets
+    built = with_vectors(corpus, embed, dim, limit, id_col, fields, partitions)
+    path = _written(built, root, id_col, buckets)
+    folders = _folders(spark, path, buckets)
+    if folders == {}:  # no rows, so no folders either
+        path, folders, buckets = _written(built.limit(0), root), None, None
+    made = spark.read.schema(built.schema).parquet(path).drop(BUCKET)
     failed = made.where(~F.col("embed_ok"))
     rows, bad = made.count(), failed.count()
     if bad > max_failed * rows:
         raise ValueError(f"{bad} of {rows} rows could not be embedded; nothing is published")
     if rejected and bad:
         failed.write.mode("append").parquet(rejected)
-    _listed(spark, root, path, "rows" if mode == "upsert" else "table", id_col, bool(rejected))
+    _listed(spark, root, path, "rows" if mode == "upsert" else "table", id_col, bool(rejected), buckets, folders)
     return read_vectors(spark, root)
 
 
@@ -85,19 +101,34 @@ def publish(df: DataFrame, root: str) -> str:
     return path
 
 
-def _written(df: DataFrame, root: str) -> str:
+def _written(df: DataFrame, root: str, id_col: str = "doc_id", buckets: int | None = None) -> str:
     path = f"{root}/data/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if buckets:
+        place = F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int")
+        spread = F.pmod(F.xxhash64(id_col, "embedding"), F.lit(FILES_PER_BUCKET))
+        rows = df.withColumn(BUCKET, place).withColumn("__spread", spread)
+        rows.repartition(BUCKET, "__spread").drop("__spread").write.partitionBy(BUCKET).parquet(path)
+    else:
+        df.write.parquet(path)
     return path
 
 
-def _listed(spark: SparkSession, root: str, path: str, kind: str, id_col: str, only_ok: bool) -> None:
+def _folders(spark: SparkSession, path: str, buckets: int | None) -> dict[str, str] | None:
+    """Which buckets the rows at ``path`` lie in, and where."""
+    if not buckets:
+        return None
+    found = spark.read.schema(f"{BUCKET} int").parquet(path).distinct().collect()
+    return {str(r[BUCKET]): path for r in found}
+
+
+def _listed(
+    spark: SparkSession, root: str, path: str, kind: str, id_col: str, only_ok: bool, n_buckets: int | None = None,
+    buckets: dict[str, str] | None = None,
+) -> None:
     """Append an entry. Its version is the time in nanoseconds; of two builds at once both are listed, by folder name."""
-    entry = spark.range(1).select(
-        F.lit(time.time_ns()).alias("version"), F.lit(path).alias("path"), F.lit(kind).alias("kind"),
-        F.lit(id_col).alias("id_col"), F.lit(only_ok).alias("only_ok"), F.current_timestamp().alias("published_at"),
-    )
-    entry.write.mode("append").json(f"{root}/versions")
+    row = (time.time_ns(), path, kind, id_col, only_ok, None, n_buckets, buckets)
+    entry = spark.createDataFrame([row], VERSION).withColumn("published_at", F.current_timestamp())
+    entry.coalesce(1).write.mode("append").json(f"{root}/versions")
 
 
 def versions(spark: SparkSession, root: str) -> list[Row]:
@@ -107,30 +138,63 @@ def versions(spark: SparkSession, root: str) -> list[Row]:
     return entries[last:]
 
 
-def read_vectors(spark: SparkSession, root: str) -> DataFrame:
-    """The table as last published: newer rows in place of older ones with the same id."""
-    def part(entry: Row) -> DataFrame:
+def _part(spark: SparkSession, entry: Row, buckets: Iterable[str] | None = None) -> DataFrame:
+    """Rows of an entry, or those in some of its buckets."""
+    if entry.buckets is None:
         rows = spark.read.parquet(entry.path)
-        return rows.where("embed_ok") if entry.only_ok else rows
+    else:
+        wanted = entry.buckets.keys() if buckets is None else set(buckets) & entry.buckets.keys()
+        by_folder: dict[str, list[str]] = {}
+        for b in sorted(wanted or list(entry.buckets)[:1], key=int):
+            by_folder.setdefault(entry.buckets[b], []).append(f"{entry.buckets[b]}/{BUCKET}={b}")
+        parts = [spark.read.option("basePath", folder).parquet(*paths) for folder, paths in by_folder.items()]
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        rows = rows if wanted else rows.limit(0)
+    return (rows.where("embed_ok") if entry.only_ok else rows).drop(BUCKET)
+
+
+def _changed(spark: SparkSession, base: Row, newer: Sequence[Row]) -> tuple[DataFrame, set[str] | None]:
+    """The table's rows in the buckets that upserted rows lie in (all of them where there are no buckets), and which these are."""
+    rows = reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True),
+        [_part(spark, e).withColumn("__version", F.lit(i)) for i, e in enumerate(newer)])
+    touched = None if base.buckets is None else {b for e in newer for b in e.buckets or {}}
+    order = [F.desc("__version"), F.desc("embedded_at")]
+    return upsert_vectors(_part(spark, base, touched), rows, base.id_col, order).drop("__version"), touched
 
+
+def read_vectors(spark: SparkSession, root: str) -> DataFrame:
+    """The table as last published: newer rows in place of older ones with the same id."""
     base, *newer = versions(spark, root)
     if not newer:
-        return part(base)
-    rows = reduce(
-        lambda a, b: a.unionByName(b, allowMissingColumns=True),
-        [part(e).withColumn("__version", F.lit(i)) for i, e in enumerate(newer)])
-    return upsert_vectors(part(base), rows, base.id_col, [F.desc("__version"), F.desc("embedded_at")]).drop("__version")
+        return _part(spark, base)
+    rows, touched = _changed(spark, base, newer)
+    if touched is None or not base.buckets.keys() - touched:
+        return rows
+    return _part(spark, base, base.buckets.keys() - touched).unionByName(rows, allowMissingColumns=True)
 
 
 def compact_vectors(spark: SparkSession, root: str) -> DataFrame:
-    """Write the table as it is read now as one version, so that readers need not put upserted rows in place."""
-    publish(read_vectors(spark, root), root)
+    """Write upserted rows in place as a new version, so that readers need not.
+
+    Of a table with buckets only those that have upserted rows are written, else the whole table.
+    """
+    base, *newer = versions(spark, root)
+    if newer:
+        rows, touched = _changed(spark, base, newer)
+        if touched == set():  # nothing was upserted
+            return read_vectors(spark, root)
+        path = _written(rows, root, base.id_col, base.n_buckets)
+        folders = None if touched is None else {**base.buckets, **_folders(spark, path, base.n_buckets)}
+        only_ok = base.only_ok and touched is not None  # buckets that stay may hold rows that failed
+        _listed(spark, root, path, "table", base.id_col, only_ok, base.n_buckets, folders)
     return read_vectors(spark, root)
 
 
 def unused_folders(spark: SparkSession, root: str) -> list[str]:
     """Folders of versions that the present table does not need: safe to remove once no reader has them open."""
-    used = {e.path for e in versions(spark, root)}
+    now = versions(spark, root)
+    used = {e.path for e in now if e.buckets is None} | {f for e in now for f in (e.buckets or {}).values()}
     rows = spark.read.schema(VERSION).json(f"{root}/versions").select("path").collect()
     return sorted({r.path for r in rows} - used)
 

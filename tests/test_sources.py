@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import lectern as L
+from lectern.sources import vectors as store
 from lectern.sources.vectors import quarantine
 
 
@@ -163,3 +164,47 @@ def test_preview(spark, corpus):
 def test_hashed_words_are_unit_vectors():
     out = L.HashedWords(16)(["a b b", "", "Ä ä"])
     assert np.allclose(np.linalg.norm(out, axis=1), [1, 0, 1]) and (out[2] > 0).sum() == 1
+
+
+def test_upserts_touch_only_their_folders(spark, tmp_path):
+    root = str(tmp_path / "buckets")
+    docs = spark.range(400).select(F.col("id").cast("string").alias("doc_id"), F.format_string("title %d", "id").alias("title"))
+    table = L.build_vector_table(docs, root, buckets=16)
+    rows = {r.doc_id: r.title for r in table.collect()}
+    assert len(rows) == 400 and "__bucket" not in table.columns
+    first = store.versions(spark, root)[0]
+    assert len(first.buckets) == 16 and set(first.buckets.values()) == {first.path}
+
+    new = spark.createDataFrame([("7", "seven"), ("x", "new"), ("7", "seven")], "doc_id string, title string")
+    touched = {r.b for r in new.select(F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("string").alias("b")).collect()}
+    table = L.build_vector_table(new, root, mode="upsert")
+    rows |= {"7": "seven", "x": "new"}
+    assert {r.doc_id: r.title for r in table.collect()} == rows and table.count() == 401
+    base, *newer = store.versions(spark, root)
+    changed, found = store._changed(spark, base, newer)
+    assert found == touched and len(touched) < 3
+    # the join reads nothing of the other folders
+    assert {f.split("__bucket=")[1].split("/")[0] for f in changed.inputFiles()} == touched
+
+    before = set(store._part(spark, base, base.buckets.keys() - touched).inputFiles())
+    compact = L.compact_vectors(spark, root)
+    assert {r.doc_id: r.title for r in compact.collect()} == rows and compact.columns == table.columns
+    now = store.versions(spark, root)
+    assert len(now) == 1 and {b for b, f in now[0].buckets.items() if f != base.path} == touched
+    assert before < set(compact.inputFiles())
+    assert L.unused_folders(spark, root) == [newer[0].path]
+    # a second round on top of the compacted table
+    again = L.build_vector_table(new.limit(1).withColumn("title", F.lit("again")), root, mode="upsert")
+    assert {r.doc_id: r.title for r in again.collect()} == rows | {"7": "again"}
+
+
+def test_empty_and_whole_upserts_with_buckets(spark, tmp_path):
+    root = str(tmp_path / "buckets")
+    docs = spark.range(30).select(F.col("id").cast("string").alias("doc_id"), F.lit("text").alias("title"))
+    L.build_vector_table(docs, root, buckets=4)
+    L.build_vector_table(docs.limit(0), root, mode="upsert")
+    assert L.read_vectors(spark, root).count() == 30
+    L.build_vector_table(docs.withColumn("title", F.lit("other")), root, mode="upsert")
+    assert L.read_vectors(spark, root).where("title = 'other'").count() == 30
+    assert L.compact_vectors(spark, root).where("title = 'other'").count() == 30
+    assert L.compact_vectors(spark, root).count() == 30

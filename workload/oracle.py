@@ -474,3 +474,5 @@ counts AS (SELECT CASE WHEN contains(t, '|') THEN 'error' ELSE 'indexed' END AS
            FROM embed_text WHERE t <> '' GROUP BY 1)
 SELECT status, docs, round(docs * 100.0 / sum(docs) OVER (), 1)::DOUBLE AS percent FROM counts""",
 }
+
+ORACLE["bucketed_vector_table"] = ORACLE["build_vector_table"]

@@ -420,6 +420,19 @@ def build_vector_table(spark, sf):
     )
 
 
+def bucketed_vector_table(spark, sf):
+    """The same in folders by id, the marked rows put in place in theirs alone, then compacted."""
+    docs, root = corpus(spark, sf), _new_folder(spark, "table")
+    L.build_vector_table(docs, root, buckets=16)
+    marked = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id").withColumn(
+        "form_type", F.concat(F.lit("labelled "), "form_type")
+    )
+    L.build_vector_table(marked, root, mode="upsert")
+    return L.compact_vectors(spark, root).select(
+        "doc_id", "form_type", "embed_ok", F.length("embedded_text").alias("stored_chars")
+    )
+
+
 def try_search(spark, sf):
     return L.try_search(vector_table(spark, sf), "the tion of here", k=3).select("doc_id", r4("score"), "rk")
 
@@ -488,7 +501,7 @@ QUERIES = {
         apply_filters, knn_topk, knn_filtered, knn_min_score, knn_approx, knn_one_scan, knn_index, knn_recent, term_statistics, lexical_bm25,
         lexical_index, filtered_page, embed_documents, hybrid_merge, rank_hits, dedup_content, dedup_field, uncovered_values,
         citations, embedding_text, passages, preview_text, corpus_count, build_context, chunk_context, fixed_chunks,
-        build_prompts, synthesize, build_vector_table, try_search, upsert_vectors, verify_vectors, ingest_report,
+        build_prompts, synthesize, build_vector_table, bucketed_vector_table, try_search, upsert_vectors, verify_vectors, ingest_report,
         answer_questions,
     )
 }

@@ -8,6 +8,7 @@ from lectern.operators.aggregates import (
     multi_terms_agg,
     terms_agg,
 )
+from lectern.operators.bitmaps import ValueIndex, build_value_index, load_value_index, value_counts
 from lectern.operators.context import build_context, chunk_context, fixed_chunks, passages
 from lectern.operators.embedding import HashedWords, embed_table
 from lectern.operators.filters import accepted, apply_filters, parse_filters

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lectern.operators.bitmaps import ValueIndex, value_counts
 from lectern.operators.filters import apply_filters, clean, filter_key, match_filters
 from lectern.plans.sizing import broadcast_within, staged, top_per_group
 from lectern.settings import DEFAULT_BUCKETS, FACET_LIMITS, QUESTION_BUCKETS
@@ -81,17 +82,26 @@ def multi_terms_agg(
     corpus: DataFrame,
     limits: Mapping[str, int] | Sequence[str],
     filters: Mapping[str, str] | None = None,
+    index: ValueIndex | None = None,
 ) -> DataFrame:
-    """Value counts of several fields in one scan: ``field, value, count, rk, total_unique, returned, is_complete``."""
+    """Value counts of several fields in one scan: ``field, value, count, rk, total_unique, returned, is_complete``.
+
+    With an ``index`` that has the fields, the documents aren't read.
+    """
     if not isinstance(limits, Mapping):
         limits = {f: DEFAULT_BUCKETS for f in limits}
-    counts = (
-        apply_filters(corpus, filters)
-        .select(_long_form(list(limits)))
-        .where("c.value is not null")
-        .groupBy("c.field", "c.value")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
+    if index is not None:
+        one = [("all", dict(filters or {}), list(limits))]
+        specs = corpus.sparkSession.createDataFrame(one, "spec string, filters map<string,string>, fields array<string>")
+        counts = value_counts(index, specs.withColumn("filters", clean(F.col("filters")))).drop("spec")
+    else:
+        counts = (
+            apply_filters(corpus, filters)
+            .select(_long_form(list(limits)))
+            .where("c.value is not null")
+            .groupBy("c.field", "c.value")
+            .agg(F.count(F.lit(1)).alias("count"))
+        )
     cap = F.create_map(*[x for f, n in limits.items() for x in (F.lit(f), F.lit(n))])
     # counted through the count column: with the same columns as the ranking, both share one scan
     totals = counts.groupBy("field").agg(F.count_if(F.col("count") > 0).alias("distinct"))
@@ -107,9 +117,10 @@ def facets(
     corpus: DataFrame,
     limits: Mapping[str, int] = FACET_LIMITS,
     filters: Mapping[str, str] | None = None,
+    index: ValueIndex | None = None,
 ) -> DataFrame:
     """Values on offer per field, most frequent first: ``field, options``."""
-    listed = multi_terms_agg(corpus, limits, filters)
+    listed = multi_terms_agg(corpus, limits, filters, index)
     return listed.groupBy("field").agg(_ordered("rk", F.col("value")).alias("options"))
 
 
@@ -150,6 +161,7 @@ def terms_for_questions(
     asks: DataFrame,
     max_buckets: int = QUESTION_BUCKETS,
     fields: Sequence[str] | None = None,
+    index: ValueIndex | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Value lists for many questions in one pass over the corpus.
 
@@ -157,7 +169,8 @@ def terms_for_questions(
     filters share one list. Returns the lists, ``spec, field, value, count, rk``,
     with their summaries, ``spec, field, total, total_unique, returned,
     is_complete, is_exact_complete, notes``; join both to :func:`with_spec`.
-    ``fields`` names the fields asked for, where they are known.
+    ``fields`` names the fields asked for, where they are known. With an ``index`` of them and of the filters' fields the
+    corpus isn't read.
     """
     wanted = with_spec(asks).groupBy("spec").agg(
         F.any_value(clean(F.col("filters"))).alias("filters"),
@@ -168,14 +181,17 @@ def terms_for_questions(
     for f in fields:
         corpus[f]  # an unknown column fails here
     value = F.coalesce(*[F.when(F.col("field") == f, F.col(f).cast("string")) for f in fields], F.lit(None))
-    counts = (
-        match_filters(corpus, wanted, carry=["fields"])
-        .withColumn("field", F.explode("fields"))
-        .select("spec", "field", value.alias("value"))
-        .where("value is not null")
-        .groupBy("spec", "field", "value")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
+    if index is not None:
+        counts = value_counts(index, wanted)
+    else:
+        counts = (
+            match_filters(corpus, wanted, carry=["fields"])
+            .withColumn("field", F.explode("fields"))
+            .select("spec", "field", value.alias("value"))
+            .where("value is not null")
+            .groupBy("spec", "field", "value")
+            .agg(F.count(F.lit(1)).alias("count"))
+        )
     # lists and summaries are often written or joined apart; the corpus is read once for both
     counts = staged(counts, "counts")
     order = [F.desc("count"), F.asc("value")]

@@ -476,3 +476,5 @@ SELECT status, docs, round(docs * 100.0 / sum(docs) OVER (), 1)::DOUBLE AS perce
 }
 
 ORACLE["bucketed_vector_table"] = ORACLE["build_vector_table"]
+ORACLE["facets_indexed"] = ORACLE["facets"]
+ORACLE["terms_indexed"] = ORACLE["terms_for_questions"]

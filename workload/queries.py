@@ -75,6 +75,17 @@ def facets(spark, sf):
     return found.select("field", F.array_join("options", "|").alias("options"))
 
 
+def _value_index(spark, sf, docs):
+    return L.build_value_index(docs, _new_folder(spark, "values"), ["source_type", "form_type", "title"])
+
+
+def facets_indexed(spark, sf):
+    """From bitmaps, without the documents."""
+    docs = corpus(spark, sf)
+    found = L.facets(docs, {"source_type": 50, "form_type": 50, "title": 100}, index=_value_index(spark, sf, docs))
+    return found.select("field", F.array_join("options", "|").alias("options"))
+
+
 def distribution(spark, sf):
     return L.distribution(table(spark, sf, "events"), "event_type")
 
@@ -101,6 +112,14 @@ def terms_for_questions(spark, sf):
     return asks.join(lists, "spec").select("qid", "field", "value", "count", "rk")
 
 
+def terms_indexed(spark, sf):
+    """The lists of all questions from bitmaps, without the documents."""
+    docs = corpus(spark, sf)
+    asks = listing_questions(spark, sf).withColumn("enum_field", F.lit("source_type"))
+    lists, _ = agg.terms_for_questions(docs, asks, index=_value_index(spark, sf, docs))
+    return agg.with_spec(asks).join(lists, "spec").select("qid", "field", "value", "count", "rk")
+
+
 def agg_context(spark, sf):
     asks, lists, summaries = _lists(spark, sf)
     lines = agg.value_text(lists, ["spec"], agg.context_line(F.col("rk"), F.col("value"), F.col("count")))
@@ -495,7 +514,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         terms_agg, terms_agg_filtered, terms_agg_capped, terms_agg_least, distinct_count, distinct_count_approx,
-        distinct_sketches, fuse_hits,
+        distinct_sketches, facets_indexed, terms_indexed, fuse_hits,
         multi_terms_agg, facets, distribution, coverage, terms_for_questions, agg_context, enumeration_report,
         build_reports, list_reports, load_report, classify, resolve_field, route, check_questions, parse_filters,
         apply_filters, knn_topk, knn_filtered, knn_min_score, knn_approx, knn_one_scan, knn_index, knn_recent, term_statistics, lexical_bm25,

@@ -32,7 +32,15 @@ from lectern.operators.word_index import WordIndex, build_word_index, indexed_se
 from lectern.plans.answers import answer_questions
 from lectern.plans.route import classify_intent, resolve_field, route
 from lectern.sources.corpus import corpus_count, load_corpus, preview_text
-from lectern.sources.reports import list_reports, load_report, read_reports, save_reports
+from lectern.sources.reports import (
+    find_report,
+    list_reports,
+    load_report,
+    newest_reports,
+    read_manifest,
+    read_reports,
+    save_reports,
+)
 from lectern.sources.vectors import (
     build_vector_table,
     compact_vectors,

@@ -228,3 +228,39 @@ def test_modes_are_stripped_and_folded(spark, table):
     for q, mode in ((1, "analyze"), (2, "answer"), (3, "predict")):
         assert MODE_INSTRUCTIONS[mode] in got[q].answer
     assert got[1].query == "compare red with blue" and got[2].metadata.strategy == "knn_single"
+
+
+def test_a_save_that_is_run_again_adds_nothing(spark, table, tmp_path):
+    path = str(tmp_path / "saved")
+    asked = spark.createDataFrame([(i, f"List all locations {i}", "answer", {}) for i in range(4)], QUESTION)
+    made = L.answer_questions(asked, table, Counting(), dim=3)
+    first = {r.qid: r.report_id for r in L.save_reports(made, path, run="monday").collect()}
+    again = {r.qid: r.report_id for r in L.save_reports(made, path, run="monday").collect()}
+    assert first == again and len(set(first.values())) == 4
+    assert L.read_reports(spark, path).count() == 4 and L.read_manifest(spark, path).count() == 1
+    # a run that failed half-way left files, but no line in the manifest
+    half = L.read_reports(spark, path).limit(2)
+    half.write.json(f"{path}/run=tuesday")
+    assert L.newest_reports(spark, path, 50).count() == 4
+    assert L.find_report(spark, path, "tuesday.x").count() == 0
+    L.save_reports(made, path, run="tuesday")
+    L.save_reports(made, path, run="tuesday")
+    assert L.read_reports(spark, path).count() == 8 == L.newest_reports(spark, path, 50).count()
+
+
+def test_lookups_read_only_the_runs_that_can_hold_them(spark, table, tmp_path):
+    path = str(tmp_path / "saved")
+    asked = spark.createDataFrame([(i, f"List all locations {i}", "answer", {}) for i in range(3)], QUESTION)
+    made = L.answer_questions(asked, table, Counting(), dim=3)
+    assert L.newest_reports(spark, path).count() == 0
+    for run in ("a", "b", None):
+        ids = L.save_reports(made, path, run=run).collect()
+    L.save_reports(made.limit(0), path, run="empty")
+    runs = lambda df: {f.split("run=")[1].split("/")[0] for f in df.inputFiles()}
+    newest = L.newest_reports(spark, path, 4)
+    assert newest.count() == 4 and runs(newest) == {"b", ids[0].report_id.split(".")[0]}
+    whole = L.list_reports(L.read_reports(spark, path), 4).collect()
+    assert {r.report_id for r in newest.collect()} == {r.report_id for r in whole}
+    one = L.find_report(spark, path, ids[1].report_id)
+    assert [r.qid for r in one.collect()] == [ids[1].qid] and runs(one) == {ids[1].report_id.split(".")[0]}
+    assert L.find_report(spark, path, "b.none").count() == 0 and L.find_report(spark, path, "none").count() == 0

@@ -347,6 +347,10 @@ FROM answers""",
 WITH {LISTS}
 SELECT concat('📋 Enumeration: source_type (', n, ' values)') AS title, 'answer' AS mode,
        'List all sources' AS query, 0::BIGINT AS total_hits FROM sums""",
+    "saved_reports": f"""
+WITH {LISTS}, one AS (SELECT * FROM sums ORDER BY qid LIMIT 1),
+both_ways AS (SELECT 'listed' AS way, n FROM sums, range(2) UNION ALL SELECT 'found', n FROM one)
+SELECT way, concat('📋 Enumeration: source_type (', n, ' values)') AS title, 'List all sources' AS query FROM both_ways""",
     "load_report": f"""
 WITH {LISTS}, {ANSWER}
 SELECT qid, concat('📋 Enumeration: source_type (', n, ' values)') AS title, answer

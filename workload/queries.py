@@ -191,6 +191,17 @@ def load_report(spark, sf):
     return L.load_report(saved, wanted).select("qid", "title", "answer")
 
 
+def saved_reports(spark, sf):
+    """Two runs saved, one of them twice; the newest reports and one by its id, each from the runs that can hold it."""
+    path, made = _new_folder(spark, "reports"), _enumeration_reports(spark, sf)
+    for run in ("first", "second", "first"):
+        L.save_reports(made, path, run=run)
+    newest = L.newest_reports(spark, path, 1000, qid="string").select(F.lit("listed").alias("way"), "title", "query")
+    wanted = L.read_reports(spark, f"{path}/run=second", qid="string").orderBy("qid").first()["report_id"]
+    one = L.find_report(spark, path, wanted, qid="string").select(F.lit("found").alias("way"), "title", "query")
+    return newest.unionByName(one)
+
+
 # --- routing ---------------------------------------------------------------
 
 def classify(spark, sf):
@@ -516,7 +527,7 @@ QUERIES = {
         terms_agg, terms_agg_filtered, terms_agg_capped, terms_agg_least, distinct_count, distinct_count_approx,
         distinct_sketches, facets_indexed, terms_indexed, fuse_hits,
         multi_terms_agg, facets, distribution, coverage, terms_for_questions, agg_context, enumeration_report,
-        build_reports, list_reports, load_report, classify, resolve_field, route, check_questions, parse_filters,
+        build_reports, list_reports, load_report, saved_reports, classify, resolve_field, route, check_questions, parse_filters,
         apply_filters, knn_topk, knn_filtered, knn_min_score, knn_approx, knn_one_scan, knn_index, knn_recent, term_statistics, lexical_bm25,
         lexical_index, filtered_page, embed_documents, hybrid_merge, rank_hits, dedup_content, dedup_field, uncovered_values,
         citations, embedding_text, passages, preview_text, corpus_count, build_context, chunk_context, fixed_chunks,

@@ -12,6 +12,7 @@ from lectern.operators.bitmaps import ValueIndex, build_value_index, load_value_
 from lectern.operators.context import build_context, chunk_context, fixed_chunks, passages
 from lectern.operators.embedding import HashedWords, embed_table
 from lectern.operators.filters import accepted, apply_filters, parse_filters
+from lectern.operators.heavy import top_values
 from lectern.operators.hits import (
     citations,
     dedup_hits,

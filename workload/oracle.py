@@ -482,3 +482,6 @@ SELECT status, docs, round(docs * 100.0 / sum(docs) OVER (), 1)::DOUBLE AS perce
 ORACLE["bucketed_vector_table"] = ORACLE["build_vector_table"]
 ORACLE["facets_indexed"] = ORACLE["facets"]
 ORACLE["terms_indexed"] = ORACLE["terms_for_questions"]
+ORACLE["top_values"] = """
+SELECT w AS value, count(*) AS count, CAST(row_number() OVER (ORDER BY count(*) DESC, w) AS INTEGER) AS rk
+FROM (SELECT unnest(string_split(lower(text), ' ')) AS w FROM documents) WHERE w <> '' GROUP BY w QUALIFY rk <= 100"""

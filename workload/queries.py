@@ -42,6 +42,12 @@ def terms_agg_capped(spark, sf):
     return L.multi_terms_agg(table(spark, sf, "orders"), {"o_custkey": 10})
 
 
+def top_values(spark, sf):
+    """The most frequent of all words, of which there are very many."""
+    words = table(spark, sf, "documents").select(F.explode(F.split(F.lower("text"), " ")).alias("word")).where("word <> ''")
+    return L.top_values(words, "word", 100, keep=2000)
+
+
 def terms_agg_least(spark, sf):
     return L.terms_agg(table(spark, sf, "lineitem"), "l_suppkey", max_buckets=5, ascending=True)
 
@@ -524,7 +530,7 @@ DOCUMENT_WORDS = {
 QUERIES = {
     f.__name__: f
     for f in (
-        terms_agg, terms_agg_filtered, terms_agg_capped, terms_agg_least, distinct_count, distinct_count_approx,
+        terms_agg, terms_agg_filtered, terms_agg_capped, top_values, terms_agg_least, distinct_count, distinct_count_approx,
         distinct_sketches, facets_indexed, terms_indexed, fuse_hits,
         multi_terms_agg, facets, distribution, coverage, terms_for_questions, agg_context, enumeration_report,
         build_reports, list_reports, load_report, saved_reports, classify, resolve_field, route, check_questions, parse_filters,

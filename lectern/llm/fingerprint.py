@@ -1,24 +1,29 @@
 """Document fingerprints by consistent weighted sampling.
 
-A text's words (lower-cased, cut at white space) are hashed to ``BUCKETS`` terms and weigh as often as they
+A text's words (lower-cased, cut at white space) are its terms, as 64-bit hashes, and weigh as often as they
 occur. For each of ``SAMPLES`` samples and each term, r and c from Gamma(2, 1) and b from [0, 1) are fixed; a term of weight w gets
 t = floor(ln w / r + b) and the value ln c - r (t - b + 1), and the sample is the (term, t) of least value.
 Two texts agree in a sample with the probability of their generalised Jaccard similarity, sum of
 least weights over sum of greatest. The fingerprint keeps 16 bits of each sample.
 
+r, b and c are computed from the term's hash and the sample's salts, so any number of terms have numbers of their own and all
+tasks agree on them without a table. A worker keeps those of ``KEPT`` terms at hand.
+
 Defined results: null text is empty; a text without words has the fingerprint of zeros, is like any other such text and
-unlike all others. Equal texts have equal fingerprints.
+unlike all others. Equal texts have equal fingerprints, and very long ones are sampled whole, ``TERMS_AT_ONCE`` terms at a time. An
+empty table gives an empty one. Ids are whole numbers; text ids are an error. All rows without an id are one range. Columns in
+``keep`` are carried and must not clash; ``compared`` reads id and text alone.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,42 +31,87 @@ from pyspark.sql import types as T
 from lectern.llm.frames import mapped_schema, sliced, text_or_empty
 
 SAMPLES = 128
-BUCKETS = 1 << 16
+KEPT = 1 << 16
 SEED = 5
 TERMS_AT_ONCE = 2048
 
 
+def _mixed(values: np.ndarray, rounds: int = 2) -> np.ndarray:
+    """64 well mixed bits of each value, in place."""
+    values ^= values >> np.uint64(32)
+    for _ in range(rounds):
+        values *= np.uint64(0xD6E8FEB86659FD93)
+        values ^= values >> np.uint64(32)
+    return values
+
+
+def _gamma(bits: np.ndarray) -> np.ndarray:
+    """A value of Gamma(2, 1) from 46 of 64 bits: -ln of a product of two uniform numbers between 0 and 1, both excluded."""
+    halves = (bits.view(np.uint32) >> np.uint32(9)).astype(np.float32)
+    halves += np.float32(0.5)
+    halves *= np.float32(2.0**-23)
+    product = halves[..., 0::2] * halves[..., 1::2]
+    np.log(product, out=product)
+    return np.negative(product, out=product)
+
+
 @cache
-def _parameters(samples: int = SAMPLES, buckets: int = BUCKETS, seed: int = SEED) -> tuple[np.ndarray, ...]:
-    """r, b, and ln c - r + r b by (term, sample): the same in every worker."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    shape = (buckets, samples)
-    r = rng.standard_gamma(2.0, shape, np.float32)
-    b = rng.random(shape, np.float32)
-    c = rng.standard_gamma(2.0, shape, np.float32)
+def _salts(samples: int, seed: int) -> np.ndarray:
+    """Two odd numbers per sample: one to draw from, one to cut a sample to 16 bits."""
+    return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 63, (2, samples), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def drawn(terms: np.ndarray, samples: int = SAMPLES, seed: int = SEED) -> tuple[np.ndarray, ...]:
+    """ln c - r + r b, r, and b by (term, sample)."""
+    one = _mixed(terms[:, None] ^ _salts(samples, seed)[0])
+    r = _gamma(one)
+    # the 18 bits that r leaves
+    low = one.view(np.uint32) & np.uint32(511)
+    b = ((low[:, 0::2] << np.uint32(9)) | low[:, 1::2]).astype(np.float32)
+    b += np.float32(0.5)
+    b *= np.float32(2.0**-18)
+    c = _gamma(_mixed(one, 1))
     np.log(c, out=c)
     c -= r
     c += r * b
-    return r, b, c
+    return c, r, b
 
 
 @cache
-def _salts(samples: int, seed: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(seed + 1)).integers(1, 1 << 32, samples, np.uint64) | np.uint64(1)
-
-
-def weighted_terms(text: str, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+def _kept(samples: int, seed: int) -> tuple[np.ndarray, ...]:
+    """Terms and their drawn numbers, at the place of the term's last bits; no term has the number of an empty place there."""
+    numbers = (np.zeros((KEPT, samples), np.float32) for _ in range(3))
+    return (np.where(np.arange(KEPT) == 0, 1, 0).astype(np.uint64), *numbers)
+
+
+def _parameters(terms: np.ndarray, samples: int, seed: int, wanted: int = 3) -> tuple[np.ndarray, ...]:
+    """The first ``wanted`` of ``drawn``, from those at hand where they are."""
+    tags, *tables = _kept(samples, seed)
+    places = (terms & np.uint64(KEPT - 1)).astype(np.int64)
+    missing = np.flatnonzero(tags[places] != terms)
+    out = tuple(table[places] for table in tables[:wanted])
+    if len(missing):
+        fresh = drawn(terms[missing], samples, seed)
+        for one, new in zip(out, fresh):
+            one[missing] = new
+        # of terms of one place one stays, whole
+        at, which = np.unique(places[missing], return_index=True)
+        tags[at] = terms[missing[which]]
+        for table, new in zip(tables, fresh):
+            table[at] = new[which]
+    return out
+
+
+def weighted_terms(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Terms of a text in ascending order, and their weights."""
-    hashes = np.fromiter(map(zlib.crc32, text.lower().encode().split()), np.uint32)
-    return np.unique(hashes & np.uint32(buckets - 1), return_counts=True)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, text.lower().encode().split()), np.uint64)
+    return np.unique(hashes, return_counts=True)
 
 
-def signature(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES, buckets: int = BUCKETS,
-              seed: int = SEED) -> np.ndarray | None:
+def signature(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES, seed: int = SEED) -> np.ndarray | None:
     """16 bits per sample; None without terms."""
     if not len(terms):
         return None
-    r, b, fixed = _parameters(samples, buckets, seed)
     best = np.full(samples, np.inf, np.float32)
     term = np.zeros(samples, np.uint64)
     level = np.zeros(samples, np.int64)
@@ -72,11 +122,12 @@ def signature(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES, bu
         logs = np.log(weights[which]).astype(np.float32)
         for low in range(0, len(found), TERMS_AT_ONCE):
             some = found[low : low + TERMS_AT_ONCE]
-            values = fixed[some]
+            values, *others = _parameters(some, samples, seed, 3 if which is more else 1)
             t = None
             if which is more:
-                t = np.floor(logs[low : low + TERMS_AT_ONCE, None] / r[some] + b[some])
-                values = values - r[some] * t
+                r, b = others
+                t = np.floor(logs[low : low + TERMS_AT_ONCE, None] / r + b)
+                values = values - r * t
             at = values.argmin(axis=0)
             columns = np.arange(samples)
             least = values[at, columns]
@@ -86,7 +137,7 @@ def signature(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES, bu
             term[better] = some[at][better]
             level[better] = 0 if t is None else t[at, columns][better]
     mixed = (term * np.uint64(0x9E3779B97F4A7C15)) ^ (level.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return ((mixed * _salts(samples, seed)) >> np.uint64(48)).astype(">u2")
+    return (_mixed(mixed * _salts(samples, seed)[1]) >> np.uint64(48)).astype(">u2")
 
 
 def likeness(one: np.ndarray | None, two: np.ndarray | None) -> float:
@@ -131,8 +182,8 @@ def compared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts:
     """Every document's fingerprint beside its edited text's and the next document's, by descending id.
 
     After the last document comes the first. Equal ids follow each other by their texts' hashes and texts;
-    null ids come last. Documents are dealt into ranges of ids and sorted there, so a text moves once; the first
-    document of each range also goes to the range before it. The driver sees only the bounds of the ranges.
+    null ids come last. Documents are dealt into ranges of ids, each a partition of its own, and sorted there, so a text moves
+    once; the first document of each range also goes to the range before it. The driver sees only the bounds of the ranges.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), text_or_empty(text).alias("text"))
@@ -170,7 +221,7 @@ def compared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts:
     ).otherwise(F.array(F.struct(F.col("range").alias("at"), F.lit(0).alias("guest"))))))
     dealt = (
         twice.select(F.col("to.at").alias("at"), F.col("to.guest").alias("guest"), "id", "text")
-        .repartition(len(heads), "at")
+        .repartitionById(last + 1, "at")
         .sortWithinPartitions("at", "guest", F.col("id").desc_nulls_last(), F.xxhash64("text"), "text")
     )
 

@@ -1,6 +1,5 @@
 import hashlib
 import random
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -12,22 +11,53 @@ from lectern.llm.queries import QUERIES
 
 
 def jaccard(a, b):
-    a, b = (Counter(zlib.crc32(w) & (P.BUCKETS - 1) for w in t.lower().encode().split()) for t in (a, b))
+    a, b = (Counter(t.lower().encode().split()) for t in (a, b))
     return sum((a & b).values()) / max(1, sum((a | b).values()))
 
 
 def plain_sample(text):
-    """(term, level) of every sample, term by term."""
-    r, b, fixed = P._parameters()
-    weights = Counter(zlib.crc32(w) & (P.BUCKETS - 1) for w in text.lower().encode().split())
-    best = [(float("inf"), 0, 0)] * P.SAMPLES
-    for term in sorted(weights):
+    """(word, level) of every sample, word by word."""
+    weights = Counter(text.lower().encode().split())
+    best = [(float("inf"), b"", 0)] * P.SAMPLES
+    for word in sorted(weights):
+        fixed, r, b = (x[0] for x in P.drawn(np.array([xxhash.xxh3_64_intdigest(word)], np.uint64)))
         for s in range(P.SAMPLES):
-            t = np.floor(np.float32(np.log(weights[term])) / r[term, s] + b[term, s])
-            value = fixed[term, s] - r[term, s] * t
+            t = np.floor(np.float32(np.log(weights[word])) / r[s] + b[s])
+            value = fixed[s] - r[s] * t
             if value < best[s][0]:
-                best[s] = (value, term, int(t))
-    return [(term, t) for _, term, t in best]
+                best[s] = (value, word, int(t))
+    return [(word, t) for _, word, t in best]
+
+
+def test_drawn_numbers_have_their_distributions():
+    terms = np.random.default_rng(3).integers(0, 1 << 64, 4000, np.uint64)
+    fixed, r, b = (x.astype(float) for x in P.drawn(terms))
+    c = np.exp(fixed + r - r * b)
+    for values, mean, variance in ((r, 2, 2), (c, 2, 2), (b, 0.5, 1 / 12)):
+        assert abs(values.mean() - mean) < 0.02 and abs(values.var() - variance) < 0.05
+        assert abs(values.mean(axis=0) - mean).max() < 0.12
+    for one, two in ((r, c), (r, b), (b, c), (r[:, 0], r[:, 1]), (c[:-1], c[1:])):
+        assert abs(np.corrcoef(one.ravel(), two.ravel())[0, 1]) < 0.06
+
+
+def test_texts_without_a_common_word_are_unlike():
+    for n in (200, 20_000, 60_000):
+        one, two = (P.of_text(" ".join(f"{k}{i}" for i in range(n))) for k in "ab")
+        assert P.likeness(one, two) < 0.02
+    half = P.of_text(" ".join([f"a{i}" for i in range(30_000)] + [f"b{i}" for i in range(30_000)]))
+    assert abs(P.likeness(half, P.of_text(" ".join(f"a{i}" for i in range(60_000)))) - 1 / 3) < 0.13
+
+
+def test_numbers_at_hand_are_the_drawn_ones(monkeypatch):
+    texts = [" ".join(f"{k}{i * k}" for i in range(50)) for k in range(1, 9)] + ["a a b"]
+    whole = [P.of_text(t) for t in texts]
+    P._kept.cache_clear()
+    monkeypatch.setattr(P, "KEPT", 4)
+    try:
+        assert all((P.of_text(t) == w).all() for t, w in zip(texts + texts, whole + whole))
+    finally:
+        P._kept.cache_clear()
+    P._kept.cache_clear()
 
 
 def test_samples_are_those_of_the_method():

@@ -8,12 +8,15 @@ template's coverage is the share of its words that are aligned; it is found wher
 
 Only stretches that can reach it are aligned: of any floor((1 - threshold) n) + 1 of a template's n words one must be
 there, so a text without any of its longest ones is passed over, and a stretch starts at one of its
-first ones and has enough words of the template in the next ``SLACK`` n.
-This bounds what is found: a template of n words with more than about (``SLACK`` - 1) n words put in between is not, as in
-"Released under the terms and conditions of the MIT License" for the five words of the notice.
+first ones and has enough words of the template in its length. Stretches of ``SLACK`` n words are aligned first. Between these
+finds stretches of n + ``EXTRA`` words follow where that is more, as a few words put in make up much of a short template: "Released
+under the terms and conditions of the MIT License" holds all five words of a notice; of the starts within such a find the last that
+aligns as many words as any counts. This bounds what is found: a template of n words with more than ``EXTRA`` and more than
+(``SLACK`` - 1) n words put in between is not.
 
 Defined results: null and empty texts have no licenses; every copy in a text is reported; of overlapping finds the one with most
-words stays, then the one of higher coverage, then the template listed first; repeated rows are reported each.
+words stays, then the one of higher coverage, then the template listed first; repeated rows are reported each. Very long texts are read whole; an empty table has no finds.
+Columns in ``keep`` are carried and must not clash.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ from lectern.llm.license_texts import LICENSES
 
 THRESHOLD = 0.8
 SLACK = 1.25
+EXTRA = 16
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -117,23 +121,41 @@ class Find:
 
 
 def _in_words(words: Sequence[str], number: int, template: Template) -> Iterator[Find]:
-    """Finds of one template, left to right."""
+    """Finds of one template, left to right, those of short stretches before those of longer ones between them."""
     n = len(template.words)
     known = set(template.words)
     hits = np.array([w in known for w in words], bool)
     total = np.concatenate([[0], np.cumsum(hits)])
-    width = ceil(SLACK * n)
-    ends = np.minimum(np.arange(len(words)) + width, len(words))
-    enough = (total[ends] - total[:-1]) >= template.needed
-    at = 0
-    for start in np.flatnonzero(enough & hits).tolist():
-        if start < at or words[start] not in template.firsts:
-            continue
-        pairs = aligned(words[start : start + width], template.words)
-        if len(pairs) >= template.needed and pairs[0][0] == 0:
-            last = start + pairs[-1][0]
-            yield Find(number, template.name, len(pairs), len(pairs) / n, start, last)
-            at = last + 1
+    first = np.array([w in template.firsts for w in words], bool)
+
+    def pass_of(width: int, low: int, high: int) -> Iterator[Find]:
+        ends = np.minimum(np.arange(low, high) + width, high)
+        enough = (total[ends] - total[low:high]) >= template.needed
+        starts = (low + np.flatnonzero(enough & first[low:high])).tolist()
+
+        def at_start(start: int) -> Find | None:
+            pairs = aligned(words[start : min(start + width, high)], template.words)
+            if len(pairs) < template.needed or pairs[0][0]:
+                return None
+            return Find(number, template.name, len(pairs), len(pairs) / n, start, start + pairs[-1][0])
+
+        at = low
+        for i, start in enumerate(starts):
+            if start < at or not (found := at_start(start)):
+                continue
+            if width > short:
+                inner = (at_start(s) for s in starts[i + 1 : bisect_left(starts, found.last)])
+                found = max([found, *filter(None, inner)], key=lambda f: (f.matched, f.first))
+            yield found
+            at = found.last + 1
+
+    short = ceil(SLACK * n)
+    near = list(pass_of(short, 0, len(words)))
+    yield from near
+    if n + EXTRA > short:
+        edges = [-1, *(x for f in near for x in (f.first, f.last)), len(words)]
+        for before, after in zip(edges[::2], edges[1::2]):
+            yield from pass_of(n + EXTRA, before + 1, after)
 
 
 def finds(text: str, templates: Sequence[Template]) -> list[tuple[Find, int, int]]:

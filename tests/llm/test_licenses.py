@@ -57,6 +57,68 @@ def test_copies_overlaps_and_places():
     assert len(names((mit + " ") * 2000)) == 2000
 
 
+def test_words_put_into_short_templates():
+    assert names("Released under the terms and conditions of the MIT License, x") == [
+        ("MIT-notice", "Released under the terms and conditions of the MIT License")]
+    for name, wording in LICENSES.items():
+        words = wording.split()
+        if len(words) < 60:
+            middle = len(words) // 2
+            put = " ".join(words[:middle] + ["one", "two", "three", "four", "five"] + words[middle:])
+            assert name in [n for n, _ in names(put)]
+            far = " ".join(words[:middle] + ["word"] * 200 + words[middle:])
+            assert name not in [n for n, _ in names(far)]
+
+
+def every_stretch(text):
+    """Finds with every stretch aligned that begins at any word, without looking at marks, first words or counts."""
+    spans = [m.span() for m in S.WORD.finditer(text)]
+    words = [text[a:b].lower() for a, b in spans]
+    found = []
+
+    def at_start(t, start, until):
+        pairs = S.aligned(words[start:until], t.words)
+        return (len(pairs), start, start + pairs[-1][0]) if len(pairs) >= 0.8 * len(t.words) and pairs[0][0] == 0 else None
+
+    for i, t in enumerate(TEMPLATES):
+        n, taken = len(t.words), []
+        for width, tight in ((S.ceil(S.SLACK * n), False), (n + S.EXTRA, True)):
+            if tight and width <= S.ceil(S.SLACK * n):
+                continue
+            at, before = 0, list(taken)
+            for start in range(len(words)):
+                if start < at or any(a <= start <= b for _, a, b in before):
+                    continue
+                until = min([start + width, len(words)] + [a for _, a, _ in before if a > start])
+                if got := at_start(t, start, until):
+                    if tight:
+                        high = min([len(words)] + [a for _, a, _ in before if a > start])
+                        got = max([got, *filter(None, (at_start(t, s, min(s + width, high)) for s in range(start + 1, got[2])))])
+                    taken.append(got)
+                    at = got[2] + 1
+        found += [(-c, -c / n, i, a, b) for c, a, b in taken]
+    kept = []
+    for f in sorted(found):
+        if all(f[4] < k[3] or k[4] < f[3] for k in kept):
+            kept.append(f)
+    return sorted((TEMPLATES[i].name, -c, spans[a][0], spans[b][1]) for _, c, i, a, b in kept)
+
+
+def test_finds_are_those_of_every_stretch():
+    rng = random.Random(9)
+    pool = sorted({w for v in LICENSES.values() for w in v.split()})
+    for _ in range(40):
+        words = rng.choices(pool, k=rng.randrange(20))
+        for wording in rng.sample(list(LICENSES.values()), 2):
+            part = wording.split()
+            for _ in range(rng.choice([0, 1, 3, len(part) // 6])):
+                at = rng.randrange(len(part))
+                part[at : at + rng.randrange(2)] = rng.choices(pool, k=rng.randrange(2))
+            words += part + rng.choices(pool, k=rng.randrange(8))
+        text = " ".join(words)
+        assert sorted((f.name, f.coverage, a, b) for f, a, b in S.finds(text, TEMPLATES)) == every_stretch(text)
+
+
 def test_odd_rows(spark):
     mit = "Released under the MIT License."
     rows = [(1, None, None), (2, "", "x"), (3, mit, "x"), (3, mit, "x"), (None, mit, None), (4, "word " * 100_000 + mit, "x")]

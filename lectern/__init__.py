@@ -32,6 +32,7 @@ from lectern.operators.vector_index import VectorIndex, build_vector_index, load
 from lectern.operators.word_index import WordIndex, build_word_index, indexed_search
 from lectern.plans.answers import answer_questions
 from lectern.plans.route import classify_intent, resolve_field, route
+from lectern.plans.word_rules import resolve_by_rules
 from lectern.sources.corpus import corpus_count, load_corpus, preview_text
 from lectern.sources.reports import (
     find_report,

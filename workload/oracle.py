@@ -357,6 +357,14 @@ SELECT qid, concat('📋 Enumeration: source_type (', n, ' values)') AS title, a
 FROM answers ORDER BY qid LIMIT 1""",
     "classify": f"WITH {TALK}, {ROUTED} SELECT conv_id, turn, intent FROM routed",
     "resolve_field": f"WITH {TALK}, {ROUTED} SELECT conv_id, turn, enum_field FROM routed",
+    "resolve_by_rules": f"""
+WITH {TALK},
+b AS (SELECT item_id, unnest(string_split_regex(lower(text), '[^a-z0-9_]+')) AS word FROM benchmark),
+rules AS (SELECT word, count(*) AS n, min(item_id) AS item FROM b WHERE word <> '' GROUP BY word),
+asked AS (SELECT row_number() OVER () AS r, * FROM talk),
+w AS (SELECT DISTINCT r, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]+')) AS word FROM asked),
+hit AS (SELECT r, arg_min(item, n * 1000000 + item) AS item FROM w JOIN rules USING (word) GROUP BY r)
+SELECT conv_id, turn, 'item ' || item AS enum_field FROM asked LEFT JOIN hit USING (r)""",
     "route": f"WITH {TALK}, {ROUTED} SELECT conv_id, turn, intent, enum_field, {_strategy()} FROM routed",
     "check_questions": f"WITH {TALK} {QUESTION_SQL}",
     "parse_filters": """

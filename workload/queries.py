@@ -218,6 +218,14 @@ def resolve_field(spark, sf):
     return L.resolve_field(talk_questions(spark, sf)).select("conv_id", "turn", "enum_field")
 
 
+def resolve_by_rules(spark, sf):
+    """Every word of a benchmark text is a rule that names the first item that has it; a line of talk gets the rarest item's."""
+    words = table(spark, sf, "benchmark").select("item_id", F.explode(F.split(F.lower("text"), "[^a-z0-9_]+")).alias("word"))
+    rules = words.where("word <> ''").groupBy("word").agg(F.min("item_id").alias("item"), F.count("*").alias("n")).select(
+        "word", F.concat(F.lit("item "), F.col("item").cast("string")).alias("column"), (F.col("n") * 1000000 + F.col("item")).alias("place"))
+    return L.resolve_by_rules(talk_questions(spark, sf), rules).select("conv_id", "turn", "enum_field")
+
+
 def route(spark, sf):
     return L.route(talk_questions(spark, sf)).select(
         "conv_id", "turn", "intent", "enum_field", "strategy", "confidence"
@@ -533,7 +541,7 @@ QUERIES = {
         terms_agg, terms_agg_filtered, terms_agg_capped, top_values, terms_agg_least, distinct_count, distinct_count_approx,
         distinct_sketches, facets_indexed, terms_indexed, fuse_hits,
         multi_terms_agg, facets, distribution, coverage, terms_for_questions, agg_context, enumeration_report,
-        build_reports, list_reports, load_report, saved_reports, classify, resolve_field, route, check_questions, parse_filters,
+        build_reports, list_reports, load_report, saved_reports, classify, resolve_field, resolve_by_rules, route, check_questions, parse_filters,
         apply_filters, knn_topk, knn_filtered, knn_min_score, knn_approx, knn_one_scan, knn_index, knn_recent, term_statistics, lexical_bm25,
         lexical_index, filtered_page, embed_documents, hybrid_merge, rank_hits, dedup_content, dedup_field, uncovered_values,
         citations, embedding_text, passages, preview_text, corpus_count, build_context, chunk_context, fixed_chunks,

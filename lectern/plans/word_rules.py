@@ -4,7 +4,7 @@ A question's runs of word characters are met with the rules by one join, so a pl
 The result is that of :func:`lectern.plans.route.field_of`: the first rule whose word or phrase stands in the question as a
 whole word. A phrase has to stand there with the same characters between its words.
 
-Equal questions are looked up once. Rules are broadcast while ``RULE_ROWS`` and ``RULE_BYTES`` hold; beyond, both sides are
+Equal questions are looked up once, and only the SHA-256 of their text goes on from there. Rules are broadcast while ``RULE_ROWS`` and ``RULE_BYTES`` hold; beyond, both sides are
 salted, so that a word that most questions have is spread over many tasks. The way back to the questions is salted too, as
 one question may be asked by a third of all rows.
 
@@ -40,6 +40,10 @@ def _runs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(RUNS), F.lit(0))
 
 
+def _key(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
 def _salted(df: DataFrame, salts: int) -> DataFrame:
     return df.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
@@ -50,7 +54,7 @@ def _salt(key: Column, salts: int) -> Column:
 
 def first_fields(texts: DataFrame, rules: DataFrame, rule_rows: int = RULE_ROWS, rule_bytes: int = RULE_BYTES,
                  salts: int = SALTS) -> DataFrame:
-    """(text, enum_field) of every one of the distinct folded ``texts`` (column ``text``) that has a rule's word."""
+    """(key, enum_field) of every one of the distinct folded ``texts`` (column ``text``) that has a rule's word."""
     known = (
         rules.select(folded(F.col("word")).alias("word"), F.struct(F.col("place").cast("bigint").alias("place"), "column").alias("rule"))
         .where(F.col("word").rlike(WHOLE) & F.col("rule.place").isNotNull() & F.col("rule.column").isNotNull())
@@ -62,7 +66,7 @@ def first_fields(texts: DataFrame, rules: DataFrame, rule_rows: int = RULE_ROWS,
     lengths = {r.runs: (r.rows, r.bytes) for r in
                sizes.groupBy("runs").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")).collect()}
     if not lengths:
-        return texts.select("text", F.lit(None).cast("string").alias("enum_field")).limit(0)
+        return texts.select(_key(F.col("text")).alias("key"), F.lit(None).cast("string").alias("enum_field")).limit(0)
     runs = _runs(F.col("text"))
     pieces = [
         runs if n == 1 else
@@ -71,12 +75,12 @@ def first_fields(texts: DataFrame, rules: DataFrame, rule_rows: int = RULE_ROWS,
             lambda at: F.array_join(F.slice("runs", at, n), ""))
         for n in sorted(lengths)
     ]
-    words = texts.withColumn("runs", runs).select("text", F.explode(F.array_distinct(F.concat(*pieces))).alias("word"))
+    words = texts.withColumn("runs", runs).select(_key(F.col("text")).alias("key"), F.explode(F.array_distinct(F.concat(*pieces))).alias("word"))
     if sum(r for r, _ in lengths.values()) <= rule_rows and sum(b for _, b in lengths.values()) <= rule_bytes:
         met = words.join(F.broadcast(known), "word")
     else:
-        met = words.withColumn("__salt", _salt(F.col("text"), salts)).join(_salted(known, salts), ["word", "__salt"])
-    return met.groupBy("text").agg(F.min("rule").alias("rule")).select("text", F.col("rule.column").alias("enum_field"))
+        met = words.withColumn("__salt", _salt(F.col("key"), salts)).join(_salted(known, salts), ["word", "__salt"])
+    return met.groupBy("key").agg(F.min("rule").alias("rule")).select("key", F.col("rule.column").alias("enum_field"))
 
 
 def resolve_by_rules(questions: DataFrame, rules: DataFrame | Mapping[str, str], rule_rows: int = RULE_ROWS,
@@ -89,7 +93,7 @@ def resolve_by_rules(questions: DataFrame, rules: DataFrame | Mapping[str, str],
     # columns that can't be hashed don't help to spread equal questions
     spread = [f.name for f in questions.schema.fields if isinstance(f.dataType, T.AtomicType)]
     asked = questions.withColumns(
-        {"__text": folded(F.col("query")), "__salt": _salt(F.xxhash64(*[F.col(f"`{c}`") for c in spread]), salts)})
-    back = _salted(found, salts).select(F.col("text").alias("__text"), "__salt", F.col("enum_field").alias("__field"))
-    return asked.join(back, ["__text", "__salt"], "left").select(
+        {"__key": _key(folded(F.col("query"))), "__salt": _salt(F.xxhash64(*[F.col(f"`{c}`") for c in spread]), salts)})
+    back = _salted(found, salts).select(F.col("key").alias("__key"), "__salt", F.col("enum_field").alias("__field"))
+    return asked.join(back, ["__key", "__salt"], "left").select(
         *[F.col(f"`{c}`") for c in questions.columns if c != "enum_field"], F.col("__field").alias("enum_field"))

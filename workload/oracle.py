@@ -63,6 +63,10 @@ routed AS (
          {first_match(KEY, field_patterns(FIELD_WORDS))} AS enum_field
   FROM talk)"""
 
+# What stands before the text of a source in a context.
+SOURCE_MARK = r"\[Source \d+\]"
+SOURCE_HEAD = SOURCE_MARK + r" \(score: [^)]*\)\n"
+
 LISTS = """
 lists AS (
   SELECT lang AS qid, 'source_type' AS field, source AS value, count(*) AS count,
@@ -468,6 +472,58 @@ SELECT qid, concat({text(MODE_INSTRUCTIONS['answer'] + ' ' + ALWAYS)}, chr(10),
   chr(10), chr(10), {text(synthesis.QUESTION)}, chr(10), text, chr(10), chr(10), {text(synthesis.REPORT)}, chr(10),
   {text(synthesis.ASK_SINGLE)}) AS prompt
 FROM contexts JOIN benchmark ON item_id = qid""",
+    # The wording stands here in full, apart from the engine's.
+    "prompt_kinds": """
+WITH b AS (
+  SELECT item_id AS qid, text, concat('About item ', item_id) AS q,
+         list_extract(['answer', 'analyze', 'predict', 'summarize', 'other'], CAST(item_id % 5 AS INTEGER) + 1) AS mode
+  FROM benchmark),
+asked AS (
+  SELECT *, concat(CASE mode
+      WHEN 'analyze' THEN 'Explain what the numbered texts below have in common and where they part, with the numbers of the texts.'
+      WHEN 'predict' THEN
+        'Give an outlook on the question. Keep apart what the numbered texts below report and what you conclude.'
+      WHEN 'summarize' THEN 'Shorten the numbered texts below to what someone needs to know who will not read them.'
+      ELSE 'Reply to the question. Use the numbered texts and the lists below only, and give the number of the text you rely on.'
+    END, ' If a note says that something is missing, pass it on.') AS told,
+    concat(chr(10), chr(10), '[Notes]', chr(10), '- a list was cut', chr(10), '- mode ', mode, chr(10), 'Pass these notes on.') AS notes,
+    concat(chr(10), chr(10)) AS gap, concat(chr(10), chr(10), '[Question]', chr(10), q, chr(10), chr(10)) AS question
+  FROM b)
+SELECT qid, mode, 'lists' AS kind, concat(told, gap, '[Lists]', chr(10), text, question, '[Reply]', chr(10),
+  'Say how the documents are spread over the values, and keep all counts and shares.') AS prompt FROM asked
+UNION ALL SELECT qid, mode, 'short', concat(told, gap, '[Texts]', chr(10), text, question, '[Reply]', chr(10),
+  'Keep it short, with marks like [Source 1].') FROM asked
+UNION ALL SELECT qid, mode, 'whole', concat(told, notes, gap, '[Texts]', chr(10), text, question, '[Reply]', chr(10),
+  'Begin with the outcome, then give the grounds.') FROM asked
+UNION ALL SELECT qid, mode, 'bare', concat(told, gap, '[Texts]', chr(10), text, question, '[Reply]', chr(10),
+  'Begin with the outcome, then give the grounds.') FROM asked
+UNION ALL SELECT qid, mode, 'share', concat(told, gap, 'The texts come in 4 shares; this is number 2.', gap,
+  '[Texts, share 2 of 4]', chr(10), text, question, '[Step]', chr(10),
+  'Note what this share says about the question. The notes on all shares are put together later.') FROM asked
+UNION ALL SELECT qid, mode, 'last', concat(told, notes, gap, '[Written about shares 1 to 3]', chr(10), 'noted ', text, gap,
+  '[Texts, last share: 4 of 4]', chr(10), text, question, '[Step]', chr(10),
+  'Put the notes and the last share together into one text, with marks like [Source 1].') FROM asked""",
+    # The offline writer's answer to a chunk: the first sentence of each source in it, marked.
+    "synthesize": f"""
+WITH RECURSIVE {TOKENS}, {BM25}, {NEAR}, {MERGED}, {RANKED}, {contexts('ranked', 32000)}, {CHUNKS},
+chunks AS (
+  SELECT qid, least(len(cs), 8) AS n, unnest(range(1, least(len(cs), 8) + 1)) AS no, unnest(cs[1:8]) AS chunk FROM packed),
+pieces AS (
+  SELECT qid, n, no, unnest(range(len(ps))) AS i, unnest(ps) AS p
+  FROM (SELECT *, string_split(chunk, concat(chr(10), chr(10), '[Source ')) AS ps FROM chunks)),
+sources AS (SELECT qid, n, no, i, CASE WHEN i = 0 THEN p ELSE concat('[Source ', p) END AS s FROM pieces),
+bodies AS (
+  SELECT qid, n, no, i, regexp_matches(s, '{SOURCE_HEAD}') AS told, regexp_extract(s, '({SOURCE_MARK}) ', 1) AS mark,
+         {strip("regexp_replace(s, '(?s)^.*?" + SOURCE_HEAD + "', '')")} AS body
+  FROM sources),
+answers AS (
+  SELECT qid, n, no, coalesce(string_agg(concat(
+    CASE WHEN regexp_matches(body, '(?s)^.*?[.!?][ \n]') THEN regexp_extract(body, '(?s)^(.*?[.!?])[ \n]', 1) ELSE body END,
+    ' ', mark), chr(10) ORDER BY i) FILTER (told), '') AS answer
+  FROM bodies GROUP BY qid, n, no)
+SELECT qid, CASE WHEN n <= 3 THEN string_agg(answer, concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY no)
+                 ELSE any_value(answer) FILTER (no = n) END AS answer
+FROM answers JOIN benchmark ON item_id = qid GROUP BY qid, n""",
     "try_search": f"""
 WITH {CORPUS}, {near("(SELECT 0 AS qid, 'the tion of here' AS text)", 3)}
 SELECT doc_id, round(score, 4) AS score, CAST(rk AS INTEGER) AS rk FROM near""",

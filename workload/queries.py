@@ -444,6 +444,25 @@ def build_prompts(spark, sf):
     return asked.select("qid", prompt.alias("prompt"))
 
 
+def prompt_kinds(spark, sf):
+    """Every kind of prompt for every benchmark text, the items in turn in each mode and in one that isn't known."""
+    modes = F.array(*[F.lit(m) for m in ("answer", "analyze", "predict", "summarize", "other")])
+    body, query = F.col("text"), F.concat(F.lit("About item "), F.col("qid").cast("string"))
+    notes = F.array(F.lit("a list was cut"), F.concat(F.lit("mode "), "mode"))
+    kinds = {
+        "lists": synthesis.distribution_prompt(F.col("mode"), body, query),
+        "short": synthesis.single_prompt(F.col("mode"), body, query),
+        "whole": synthesis.chunk_prompt(F.col("mode"), body, query, F.lit(1), F.lit(1), F.lit(""), notes),
+        "bare": synthesis.chunk_prompt(F.col("mode"), body, query, F.lit(1), F.lit(1), F.lit("")),
+        "share": synthesis.chunk_prompt(F.col("mode"), body, query, F.lit(2), F.lit(4), F.lit(""), notes),
+        "last": synthesis.chunk_prompt(F.col("mode"), body, query, F.lit(4), F.lit(4), F.concat(F.lit("noted "), body), notes),
+    }
+    asked = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("qid"), "text", F.element_at(modes, (F.pmod("item_id", F.lit(5)) + 1).cast("int")).alias("mode"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), p.alias("prompt")) for k, p in kinds.items()]))
+    return asked.select("qid", "mode", each.alias("p")).select("qid", "mode", "p.kind", "p.prompt")
+
+
 def synthesize(spark, sf):
     contexts = staged(L.build_context(_ranked(spark, sf), 32000), "context")
     chunks = text_questions(spark, sf).select("qid", "query", "mode").join(L.chunk_context(contexts), "qid")
@@ -545,7 +564,7 @@ QUERIES = {
         apply_filters, knn_topk, knn_filtered, knn_min_score, knn_approx, knn_one_scan, knn_index, knn_recent, term_statistics, lexical_bm25,
         lexical_index, filtered_page, embed_documents, hybrid_merge, rank_hits, dedup_content, dedup_field, uncovered_values,
         citations, embedding_text, passages, preview_text, corpus_count, build_context, chunk_context, fixed_chunks,
-        build_prompts, synthesize, build_vector_table, bucketed_vector_table, try_search, upsert_vectors, verify_vectors, ingest_report,
+        build_prompts, prompt_kinds, synthesize, build_vector_table, bucketed_vector_table, try_search, upsert_vectors, verify_vectors, ingest_report,
         answer_questions,
     )
 }

@@ -475,9 +475,9 @@ FROM contexts JOIN benchmark ON item_id = qid""",
     # The wording stands here in full, apart from the engine's.
     "prompt_kinds": """
 WITH b AS (
-  SELECT item_id AS qid, text, concat('About item ', item_id) AS q,
-         list_extract(['answer', 'analyze', 'predict', 'summarize', 'other'], CAST(item_id % 5 AS INTEGER) + 1) AS mode
-  FROM benchmark),
+  SELECT conv_id, turn, coalesce(text, '') AS text, concat('About line ', turn) AS q,
+         list_extract(['answer', 'analyze', 'predict', 'summarize', 'other'], CAST((conv_id + turn) % 5 AS INTEGER) + 1) AS mode
+  FROM conversations),
 asked AS (
   SELECT *, concat(CASE mode
       WHEN 'analyze' THEN 'Explain what the numbered texts below have in common and where they part, with the numbers of the texts.'
@@ -489,18 +489,18 @@ asked AS (
     concat(chr(10), chr(10), '[Notes]', chr(10), '- a list was cut', chr(10), '- mode ', mode, chr(10), 'Pass these notes on.') AS notes,
     concat(chr(10), chr(10)) AS gap, concat(chr(10), chr(10), '[Question]', chr(10), q, chr(10), chr(10)) AS question
   FROM b)
-SELECT qid, mode, 'lists' AS kind, concat(told, gap, '[Lists]', chr(10), text, question, '[Reply]', chr(10),
+SELECT conv_id, turn, mode, 'lists' AS kind, concat(told, gap, '[Lists]', chr(10), text, question, '[Reply]', chr(10),
   'Say how the documents are spread over the values, and keep all counts and shares.') AS prompt FROM asked
-UNION ALL SELECT qid, mode, 'short', concat(told, gap, '[Texts]', chr(10), text, question, '[Reply]', chr(10),
+UNION ALL SELECT conv_id, turn, mode, 'short', concat(told, gap, '[Texts]', chr(10), text, question, '[Reply]', chr(10),
   'Keep it short, with marks like [Source 1].') FROM asked
-UNION ALL SELECT qid, mode, 'whole', concat(told, notes, gap, '[Texts]', chr(10), text, question, '[Reply]', chr(10),
+UNION ALL SELECT conv_id, turn, mode, 'whole', concat(told, notes, gap, '[Texts]', chr(10), text, question, '[Reply]', chr(10),
   'Begin with the outcome, then give the grounds.') FROM asked
-UNION ALL SELECT qid, mode, 'bare', concat(told, gap, '[Texts]', chr(10), text, question, '[Reply]', chr(10),
+UNION ALL SELECT conv_id, turn, mode, 'bare', concat(told, gap, '[Texts]', chr(10), text, question, '[Reply]', chr(10),
   'Begin with the outcome, then give the grounds.') FROM asked
-UNION ALL SELECT qid, mode, 'share', concat(told, gap, 'The texts come in 4 shares; this is number 2.', gap,
+UNION ALL SELECT conv_id, turn, mode, 'share', concat(told, gap, 'The texts come in 4 shares; this is number 2.', gap,
   '[Texts, share 2 of 4]', chr(10), text, question, '[Step]', chr(10),
   'Note what this share says about the question. The notes on all shares are put together later.') FROM asked
-UNION ALL SELECT qid, mode, 'last', concat(told, notes, gap, '[Written about shares 1 to 3]', chr(10), 'noted ', text, gap,
+UNION ALL SELECT conv_id, turn, mode, 'last', concat(told, notes, gap, '[Written about shares 1 to 3]', chr(10), 'noted ', text, gap,
   '[Texts, last share: 4 of 4]', chr(10), text, question, '[Step]', chr(10),
   'Put the notes and the last share together into one text, with marks like [Source 1].') FROM asked""",
     # The offline writer's answer to a chunk: the first sentence of each source in it, marked.

@@ -445,9 +445,9 @@ def build_prompts(spark, sf):
 
 
 def prompt_kinds(spark, sf):
-    """Every kind of prompt for every benchmark text, the items in turn in each mode and in one that isn't known."""
+    """Every kind of prompt for every line of talk, the lines in turn in each mode and in one that isn't known."""
     modes = F.array(*[F.lit(m) for m in ("answer", "analyze", "predict", "summarize", "other")])
-    body, query = F.col("text"), F.concat(F.lit("About item "), F.col("qid").cast("string"))
+    body, query = F.col("text"), F.concat(F.lit("About line "), F.col("turn").cast("string"))
     notes = F.array(F.lit("a list was cut"), F.concat(F.lit("mode "), "mode"))
     kinds = {
         "lists": synthesis.distribution_prompt(F.col("mode"), body, query),
@@ -457,10 +457,11 @@ def prompt_kinds(spark, sf):
         "share": synthesis.chunk_prompt(F.col("mode"), body, query, F.lit(2), F.lit(4), F.lit(""), notes),
         "last": synthesis.chunk_prompt(F.col("mode"), body, query, F.lit(4), F.lit(4), F.concat(F.lit("noted "), body), notes),
     }
-    asked = table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("qid"), "text", F.element_at(modes, (F.pmod("item_id", F.lit(5)) + 1).cast("int")).alias("mode"))
+    asked = table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"),
+        F.element_at(modes, (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5)) + 1).cast("int")).alias("mode"))
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), p.alias("prompt")) for k, p in kinds.items()]))
-    return asked.select("qid", "mode", each.alias("p")).select("qid", "mode", "p.kind", "p.prompt")
+    return asked.select("conv_id", "turn", "mode", each.alias("p")).select("conv_id", "turn", "mode", "p.kind", "p.prompt")
 
 
 def synthesize(spark, sf):

@@ -55,12 +55,13 @@ texts AS (SELECT r, passage, depth, q AS x, true AS quoted FROM quotes UNION ALL
 parts AS (
     SELECT r, passage, depth, quoted, 0 AS kind, x AS u FROM texts
     UNION ALL SELECT r, passage, depth, quoted, 1, unnest(string_split_regex(x, '\n\s*\n')) FROM texts
-    UNION ALL SELECT r, passage, depth, quoted, 2, unnest(string_split(x, chr(10))) FROM texts),
+    UNION ALL SELECT r, passage, depth, quoted, 2, unnest(string_split(x, chr(10))) FROM texts
+    UNION ALL SELECT r, passage, depth, quoted, 3, unnest(string_split_regex(x, '\n\s*\n|[.!?…]+[ \t\r\n]+|[。！？]+')) FROM texts),
 units AS (
     SELECT r, passage, depth, quoted, kind, trim(regexp_replace(lower(u), '[^\p{L}\p{N}]+', ' ', 'g')) AS u FROM parts),
 good AS (
     SELECT units.*, conv_id, turn FROM units JOIN m USING (r)
-    WHERE u <> '' AND (kind < 2 OR len(string_split(u, ' ')) >= 3) AND conv_id IS NOT NULL AND turn IS NOT NULL),
+    WHERE u <> '' AND (NOT quoted OR kind < 2 OR len(string_split(u, ' ')) >= 3) AND conv_id IS NOT NULL AND turn IS NOT NULL),
 links AS (
     SELECT q.r, q.passage, q.depth, q.kind, max(s.turn) AS source
     FROM good q JOIN good s ON q.conv_id = s.conv_id AND q.u = s.u AND s.turn < q.turn

@@ -1,10 +1,12 @@
 """Chat formatting by quotation linking, in DataFrame functions alone.
 
 Lines that begin with one or more ``>`` are quotes of that level; neighbouring lines of one level are a
-passage. A passage, its paragraphs and its lines of ``LINE_WORDS`` words or more are normalised (words of letters and digits, lower case)
-and hashed; so are the own words of every message. A unit links to the latest earlier message of the conversation that has
-it. A message replies to what its outermost linked passage quotes; whole passages count before
-paragraphs, these before lines, then later messages first. A thread is named by the message its
+passage. A passage, its paragraphs, and its lines and sentences of ``LINE_WORDS`` words or more are normalised (words of
+letters and digits, lower case) and hashed; so are the own words of every message, with short lines and sentences, too:
+a passage that is no more than one of these (``> Yes.``) is looked up whole. Sentences may run over lines, so a part
+of a paragraph that was wrapped anew is found by them; less than a sentence or line is not. A unit links to the latest
+earlier message of the conversation that has it. A message replies to what its outermost linked passage quotes; whole
+passages count before paragraphs, these before lines, these before sentences, then later messages first. A thread is named by the message its
 replies lead back to, and a conversation in reply order is ordered by thread, then turn: a
 message without a linked quote begins a thread, so without quotes the order of turns stays.
 
@@ -28,6 +30,7 @@ from lectern.plans.sizing import staged
 QUOTE = r"^\s{0,3}(?:>\s?)+"
 ATTRIBUTION = r"(?i)^\s*(?:on|am|le|el)\b.*\b(?:wrote|schrieb|écrit|escribió)\b.*:\s*$"
 WORD = r"[^\p{L}\p{N}]+"
+SENTENCE = r"\n\s*\n|[.!?…]+[ \t\r\n]+|[。！？]+"
 LINE_WORDS = 3
 SPAN = 1000
 KEY = ("conv_id", "turn", "mark")
@@ -47,13 +50,15 @@ def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), WORD, " "))
 
 
-def _units(text: Column) -> Column:
-    """(kind, unit) of a passage: 0 the whole, 1 paragraphs, 2 lines; a unit stands once, as its first kind."""
+def _units(text: Column, least: int = 1) -> Column:
+    """(kind, unit) of a passage: 0 the whole, 1 paragraphs, 2 lines and 3 sentences of ``least`` words or more."""
     def kind(parts: Column, number: int) -> Column:
         return F.transform(parts, lambda p: F.struct(F.lit(number).alias("kind"), _normal(p).alias("unit")))
 
-    lines = F.filter(kind(F.split(text, "\n", -1), 2), lambda u: F.size(F.split(u["unit"], " ")) >= LINE_WORDS)
-    every = F.concat(kind(F.array(text), 0), kind(F.split(text, r"\n\s*\n", -1), 1), lines)
+    small = F.concat(kind(F.split(text, "\n", -1), 2), kind(F.split(text, SENTENCE, -1), 3))
+    if least > 1:
+        small = F.filter(small, lambda u: F.size(F.split(u["unit"], " ")) >= least)
+    every = F.concat(kind(F.array(text), 0), kind(F.split(text, r"\n\s*\n", -1), 1), small)
     return F.filter(every, lambda u: u["unit"] != "")
 
 
@@ -120,7 +125,7 @@ def linked(messages: DataFrame, span: int = SPAN) -> DataFrame:
     rows = parsed(messages.select("conv_id", "turn", "role", "text").where("text IS NOT NULL AND conv_id IS NOT NULL AND turn IS NOT NULL"))
     passages = staged(_passages(rows), "passages")
     digest = F.struct(F.xxhash64("u.unit"), F.hash("u.unit"))
-    quoted = staged(passages.select(*KEY, "passage", "depth", F.explode(_units(F.col("text"))).alias("u"))
+    quoted = staged(passages.select(*KEY, "passage", "depth", F.explode(_units(F.col("text"), LINE_WORDS)).alias("u"))
                     .select(*KEY, "passage", "depth", "u.kind", digest.alias("h")), "quoted")
     wanted = quoted.select("conv_id", "h").distinct()
     originals = (

@@ -31,9 +31,11 @@ def normal(text):
     return " ".join(re.findall(r"[^\W_]+", text.lower()))
 
 
-def units(text):
+def units(text, least=1):
     found = [(0, normal(text))] + [(1, normal(p)) for p in re.split(r"\n\s*\n", text)]
-    found += [(2, n) for x in text.split("\n") if len((n := normal(x)).split(" ")) >= Q.LINE_WORDS]
+    small = [(2, normal(x)) for x in text.split("\n")]
+    small += [(3, normal(x)) for x in re.split(r"\n\s*\n|[.!?…]+[ \t\r\n]+|[。！？]+", text)]
+    found += [(k, u) for k, u in small if len(u.split(" ")) >= least]
     return [(k, u) for k, u in found if u]
 
 
@@ -54,7 +56,7 @@ def plain(messages):
             last = depth
         links = []
         for i, (depth, found) in enumerate(passages):
-            for kind, u in units("\n".join(found)):
+            for kind, u in units("\n".join(found), Q.LINE_WORDS):
                 before = [t for t in own.get((conv, u), []) if turn is not None and t < turn]
                 if before:
                     links.append((depth, kind, -max(before), i))
@@ -118,6 +120,18 @@ def test_nested_levels_and_rewrapped_quotes(spark):
     assert rows[1, 4].body == "To the former." and rows[2, 9].reply_to is None
 
 
+def test_short_and_rewrapped_quotes(spark):
+    messages = [
+        (1, 0, "a", "Shall we go?\nYes.\nThen bring the map with you."),
+        (1, 1, "b", "The first sentence is here. The second one runs over\nmore than a line of text. A third one\nends the paragraph."),
+        (1, 2, "a", "> Yes.\nGood."), (1, 3, "a", "> The second one runs\n> over more than a line\n> of text.\nIndeed."),
+        (1, 4, "b", "> runs over\n> more than a line of\nOnly a part."), (1, 5, "b", "> the map\nNo line, no sentence."),
+        (1, 6, "a", "> 一つ目の文です。\nno"), (2, 0, "a", "一つ目の文です。二つ目の文です。"), (2, 1, "b", "> 二つ目の文です。\nok")]
+    rows = {(r.conv_id, r.turn): r.reply_to for r in Q.formatted(frame(spark, messages)).collect()}
+    assert [rows[1, t] for t in range(7)] == [None, None, 0, 1, None, None, None] and rows[2, 1] == 0
+    assert got(Q.formatted(frame(spark, messages))) == plain(messages)
+
+
 def test_odd_rows(spark):
     long = "\n".join(f"Line number {i} of many lines" for i in range(3000))
     messages = [(1, 0, "a", None), (1, 1, None, ""), (1, 2, "a", ">"), (1, 3, "a", "> \n>\n"), (None, 0, "a", "null conversation here"),

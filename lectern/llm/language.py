@@ -51,7 +51,7 @@ STEPS = 100
 PENALTY = 1e-5
 SLOPE = 2.0  # of the curve from a machine's margin to a share
 CHUNK = 1 << 18
-MIN_SCORE = 0.2
+MARGIN = 1 / 3  # learning asks for 1
 
 
 def family_of(lang: str) -> str:
@@ -235,16 +235,28 @@ def identify(docs: DataFrame, model: Model | None, keep: Sequence[str] = ("doc_i
     return docs.select(*keep, text_or_empty(text).alias("__text")).mapInArrow(run, schema)
 
 
-def without_unknown(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-                    min_score: float = MIN_SCORE) -> DataFrame:
-    """``docs`` without the rejected ones: texts without a letter, and those with a score under ``min_score``.
+def least_scores(model: Model, margin: float = MARGIN) -> dict[str, float]:
+    """Score of a text that every machine which speaks for a language puts ``margin`` on its side.
+
+    At margin 0 it is the level of chance: one by the number of families, halved in a family of several languages.
+    """
+    others = len(model.families) - 1
+    family = 1 / (1 + others * float(np.exp(-2 * SLOPE * margin)))
+    pair = 1 / (1 + float(np.exp(-SLOPE * margin)))
+    return {lang: family * (pair if len(members) > 1 else 1.0) for members in model.languages for lang in members}
 
-    Two families of two languages have no score under 0.25, so that nothing else goes there.
 
-    Where no labelled document is there to learn from, texts with a letter stay.
+def without_unknown(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
+                    margin: float = MARGIN) -> DataFrame:
+    """``docs`` without the rejected ones: texts without a letter, and those that suit no learned language.
+
+    A text suits the predicted language if its score reaches the one of a text at ``margin`` (:func:`least_scores`);
+    foreign and random texts lie near margin 0. With one learned language there is nothing to tell apart, and every
+    text with a letter suits it. Where no labelled document is there to learn from, texts with a letter stay, too.
     """
     model = learn(docs, doc_id, text, lang)
     if model is None:
         return docs.where(F.col(text).rlike(r"\p{L}"))
     found = identify(docs, model, docs.columns, text, ("__lang", "__score"))
-    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= min_score)).select(*docs.columns)
+    least = F.create_map(*[F.lit(x) for pair in least_scores(model, margin).items() for x in pair])
+    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least[F.col("__lang")])).select(*docs.columns)

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -71,6 +72,21 @@ def test_odd_rows(spark):
         L.identify(docs, model, keep=("doc_id", "score"))
 
 
+def test_stage_rejects_what_suits_no_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(1)
+    foreign = ["これは日本語の文章です。とても長い文章です。", "Это русский текст, который должен быть отклонён моделью языка.",
+               "Ez egy magyar nyelvű szöveg, amelyet el kell utasítani.", "Tämä on suomenkielinen teksti joka pitää hylätä",
+               "To jest tekst w języku polskim, który powinien zostać odrzucony", "这是一个中文文本", "هذا نص باللغة العربية",
+               "asdkjh qwoeiu zxmcnb qpwoeiru lkjsdf zmxncbv " * 300,
+               *["".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n)) for n in (100, 1000, 10_000)]]
+    rows = spark.createDataFrame([(-1 - i, t, None, "x", len(t)) for i, t in enumerate(foreign)], docs.schema)
+    left = {r.doc_id for r in L.without_unknown(docs.unionByName(rows)).select("doc_id").collect()}
+    assert not any(d < 0 for d in left)
+    clean = {r.doc_id for r in docs.where(L.held_out() & docs["text"].rlike(r"\p{L}") & docs["lang"].isNotNull()).collect()}
+    assert len(clean) > 100 and len(clean & left) >= 0.99 * len(clean)
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "abc", None, None), (2, "12", None, None), (3, None, None, None)], DOCS)
     assert L.learn(docs) is None and L.learn(docs.limit(0)) is None

@@ -13,23 +13,31 @@ weighted Jaccard similarity, a shingle's weight being the times it occurs.
    looked up once.
 3. Multi-index Hamming blocks. Fingerprints are cut into ``BLOCKS`` blocks; items are entered under every value
    within ``FLIPS`` bits of each block. Two fingerprints within ``RADIUS`` bits have a block
-   within ``FLIPS`` bits, so all items within the radius are found. At similarity 0.8 fingerprints differ in
-   10 bits on average; 23 is more than four standard deviations above.
+   within ``FLIPS`` bits. Such blocks alone let most pairs of a size meet, so a key is a block's value together with one
+   of the first shingles, in the order of their hashes: two bags that reach the threshold share one of these. So
+   all items within the radius that can reach the threshold are found, and hardly any other. At similarity 0.8
+   fingerprints differ in 10 bits on average; 23 is more than four standard deviations above.
 4. The exact weighted similarity decides.
 
+The items' shingles are broadcast up to ``BROADCAST_SHINGLES``. Beyond, a Bloom filter of them (16 MB at most, in every
+task) is asked first, and only the places it lets through are shuffled, salted, to the shingles themselves.
+
 Defined results: null and empty texts and items match nothing; repeated rows of a document are one, repeated
-items are reported each; an empty table on either side gives no matches.
+items are reported each, also those that share an id; very long texts are read whole; other columns of both tables,
+of whatever name, don't matter; an empty table on either side gives no matches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.frames import joined
-from lectern.plans.sizing import broadcast_within, staged
+from lectern.plans.sizing import staged
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -37,6 +45,10 @@ BITS = 64
 BLOCKS = 8
 FLIPS = 2
 RADIUS = BLOCKS * (FLIPS + 1) - 1
+BROADCAST_SHINGLES = 1 << 20
+BLOOM_BITS = 1 << 27  # at most; 16 a shingle up to there
+PROBES = 3
+SALTS = 16
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -76,6 +88,47 @@ def _blocks(code: str, variants: bool) -> Column:
     return F.array(*values)
 
 
+def _first_of(bag: Column, threshold: float) -> Column:
+    """The elements of a bag, by value, of which two bags that reach the threshold share one."""
+    return F.slice(F.sort_array(bag), F.lit(1), F.size(bag) - F.ceil(F.size(bag) * threshold - 1e-9).cast("int") + 1)
+
+
+def _keyed(rows: DataFrame, variants: bool, threshold: float) -> DataFrame:
+    """size, width, digest, code and a key for every block value and first shingle of fingerprinted ``rows``."""
+    own = ["size", "width", "digest", "code"]
+    blocks = rows.select(*own, _first_of(F.col("bag"), threshold).alias("first"), F.inline(_blocks("code", variants)))
+    return blocks.select(*own, "block", "value", F.explode("first").alias("shingle")).select(
+        *own, F.xxhash64("size", "width", "block", "value", "shingle").alias("key"))
+
+
+def _digest() -> Column:
+    return F.struct(F.xxhash64("shingles").alias("a"), F.xxhash64(F.reverse("shingles")).alias("b"))
+
+
+def _bloom(hashes: DataFrame, n: int, most_bits: int) -> Callable[[Column], Column]:
+    """Whether a hash may be among the ``n`` of ``hashes`` (column h); those that are always may."""
+    bits = min(most_bits, 1 << max(10, (16 * n - 1).bit_length()))
+
+    def places(h: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(h, F.lit(i)), F.lit(bits)) for i in range(PROBES)]
+
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 64).cast("int"))
+    words = (
+        hashes.select(F.explode(F.array(*places(F.col("h")))).alias("place"))
+        .groupBy(F.floor(F.col("place") / 64).alias("at")).agg(F.bit_or(one).alias("word"))
+    )
+    every = hashes.sparkSession.range(bits // 64).withColumnRenamed("id", "at").join(words, "at", "left")
+    # one row of at most ``most_bits``, whatever the number of hashes
+    held = staged(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("word", F.lit(0).cast("long")).alias("word")))),
+                                        lambda x: x["word"]).alias("words")), "bloom").scalar()
+
+    def may(h: Column) -> Column:
+        asked = [F.getbit(F.get(held, F.floor(p / 64).cast("int")), (p % 64).cast("int")) == 1 for p in places(h)]
+        return reduce(lambda a, b: a & b, asked)
+
+    return may
+
+
 def _items(benchmark: DataFrame, item_id: str, text: str, threshold: float) -> DataFrame:
     """One row per item with words: its size, shingles, and what a window must share with it."""
     width = F.least(F.size("words"), F.lit(SHINGLE_WORDS))
@@ -90,7 +143,13 @@ def _items(benchmark: DataFrame, item_id: str, text: str, threshold: float) -> D
 def _seeds(docs: DataFrame, items: DataFrame, widths: list[int]) -> DataFrame:
     """(doc_id, mark, n_words, size, width, at): where a shingle of an item of that size begins."""
     wanted = staged(items.select("size", "width", F.explode("shingles").alias("h")).distinct(), "wanted")
-    wanted = broadcast_within(wanted, wanted.count(), 64)
+    n = wanted.count()
+    small = n <= BROADCAST_SHINGLES
+    if small:
+        wanted = F.broadcast(wanted)
+    else:
+        may = _bloom(wanted, n, BLOOM_BITS)
+        wanted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     words = docs.select("doc_id", "mark", _words("text").alias("words")).withColumn("n_words", F.size("words"))
     out = None
     for width in widths:
@@ -100,7 +159,12 @@ def _seeds(docs: DataFrame, items: DataFrame, widths: list[int]) -> DataFrame:
             "doc_id", "mark", "n_words", F.posexplode(F.arrays_zip(*shifted)).alias("at", "w"))
         hashed = rows.select("doc_id", "mark", "n_words", "at", F.lit(width).alias("width"),
                              F.xxhash64(*[F.col(f"w.w{i}") for i in range(width)]).alias("h"))
-        found = hashed.join(wanted, ["width", "h"]).drop("h")
+        if small:
+            found = hashed.join(wanted, ["width", "h"]).drop("h")
+        else:
+            salted = hashed.where(may(F.col("h"))).withColumn(
+                "salt", F.pmod(F.hash("doc_id", "mark", "at"), F.lit(SALTS)))
+            found = salted.join(wanted, ["width", "h", "salt"]).drop("h", "salt")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -151,24 +215,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                 F.col("w.at").alias("at"),
                 F.transform(F.sequence(F.col("w.at") + 1, F.col("w.at") + F.col("w.inside")),
                             lambda i: F.xxhash64(F.slice("words", i, F.col("w.width")))).alias("shingles"))
-        .withColumn("digest", F.struct(F.xxhash64("shingles").alias("a"), F.xxhash64(F.reverse("shingles")).alias("b")))
+        .withColumn("digest", _digest())
         .distinct(), "windows")
 
     def printed(rows: DataFrame) -> DataFrame:
         return rows.withColumns({"code": simhash(F.col("shingles")), "bag": _bag(F.col("shingles"))}).drop("shingles")
 
     contents = staged(printed(windows.groupBy("size", "width", "digest").agg(F.first("shingles").alias("shingles"))), "contents")
-    known = staged(printed(items), "prints")
-    index = known.select("size", "width", F.col("item_id"), F.col("code").alias("item_code"), F.col("bag").alias("item_bag"),
-                         F.inline(_blocks("code", True)))
-    probes = contents.select("size", "width", "digest", "code", "bag", F.inline(_blocks("code", False)))
+    marked = items.withColumn("digest", _digest())
+    known = staged(printed(marked.groupBy("size", "width", "digest").agg(F.first("shingles").alias("shingles"))), "prints")
+    index = _keyed(known, True, threshold).select(
+        "key", F.col("digest").alias("item"), F.col("code").alias("item_code"), F.col("size").alias("item_size"),
+        F.col("width").alias("item_width"))
+    near = (
+        _keyed(contents, False, threshold).join(index, "key")
+        .where((F.col("size") == F.col("item_size")) & (F.col("width") == F.col("item_width"))
+               & (F.bit_count(F.col("code").bitwiseXOR(F.col("item_code"))) <= RADIUS))
+        .select("size", "width", "digest", "item").distinct()
+    )
     shared = F.size(F.array_intersect("bag", "item_bag"))
     verified = (
-        probes.join(index, ["size", "width", "block", "value"])
-        .where(F.bit_count(F.col("code").bitwiseXOR(F.col("item_code"))) <= RADIUS)
-        .drop("block", "value").dropDuplicates(["size", "width", "digest", "item_id"])
+        near.join(contents.select("size", "width", "digest", "bag"), ["size", "width", "digest"])
+        .join(known.select("size", "width", F.col("digest").alias("item"), F.col("bag").alias("item_bag")), ["size", "width", "item"])
         .withColumn("similarity", shared / (F.size("bag") + F.size("item_bag") - shared))
         .where(F.col("similarity") >= threshold)
+        .join(marked.select("size", "width", F.col("digest").alias("item"), "item_id"), ["size", "width", "item"])
         .select("size", "width", "digest", "item_id", "similarity")
     )
     best = F.max(F.struct("similarity", (-F.col("at")).alias("at")))

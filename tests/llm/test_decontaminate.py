@@ -105,6 +105,45 @@ def test_radius_is_guaranteed_by_blocks(spark):
     assert left.join(right, ["n", "block", "value"]).select("n").distinct().count() == 300
 
 
+def test_keys_prune(spark):
+    rng = random.Random(8)
+    schema = "digest int, shingles array<bigint>"
+    rows = [(n, [rng.getrandbits(62) for _ in range(46)]) for n in range(200)]
+    near = [(n, s[:41] + [rng.getrandbits(62) for _ in range(5)]) for n, s in rows]
+
+    def keyed(rows, variants):
+        frame = spark.createDataFrame(rows, schema).selectExpr("*", "50 AS size", "5 AS width")
+        frame = frame.withColumns({"code": D.simhash(D.F.col("shingles")), "bag": D._bag(D.F.col("shingles"))})
+        return D._keyed(frame, variants, D.THRESHOLD)
+
+    met = keyed(near, False).join(keyed(rows, True).selectExpr("key", "digest AS item"), "key").select("digest", "item").distinct().collect()
+    assert {r.digest for r in met if r.digest == r.item} == set(range(200))
+    assert len(met) <= 200 + 0.001 * 200 * 200
+
+
+def test_items_that_share_an_id_or_a_text(spark):
+    one, other = (" ".join(f"{w}{i}" for i in range(20)) for w in ("left", "right"))
+    rows = check(spark, [(1, one), (2, f"before {other} after"), (3, one + " " + other)], [(7, one), (7, other), (8, one)])
+    assert {(r.doc_id, r.item_id) for r in rows} == {(1, 7), (1, 8), (2, 7), (3, 7), (3, 8)}
+
+
+def test_many_items_pass_a_bloom_filter(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    monkeypatch.setattr(D, "BROADCAST_SHINGLES", 0)
+    assert check(spark, docs, items)
+    monkeypatch.setattr(D, "BLOOM_BITS", 1 << 10)  # too small: lets too much through, loses nothing
+    check(spark, docs, items)
+
+
+def test_bloom_filter_keeps_all_and_little_else(spark):
+    known = spark.range(5000).select(D.F.xxhash64("id").alias("h"))
+    may = D._bloom(known, 5000, D.BLOOM_BITS)
+    assert known.where(may(D.F.col("h"))).count() == 5000
+    assert spark.range(10_000, 110_000).select(D.F.xxhash64("id").alias("h")).where(may(D.F.col("h"))).count() < 2000
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]

@@ -11,7 +11,7 @@ up in a window over the matches of one text, so that a text with very many match
 its share.
 
 Defined results: null text is empty and has no spans; repeated rows and copies are scanned once and reported for
-each path; an empty table appends nothing; a null path is reported like any other.
+each path; an empty table appends nothing; a null path is reported like any other; other columns of any name are left alone.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm.frames import joined, text_or_empty
-from lectern.plans.sizing import staged
+from lectern.plans.sizing import broadcast_within, staged
+from lectern.settings import BROADCAST_BYTES
 
 
 @dataclass(frozen=True)
@@ -50,6 +51,7 @@ RULES = (
 LEDGER = "blob binary, rule string, rule_version string, spans array<struct<begin: int, until: int>>"
 FOUND = "array<struct<begin: int, rank: int, kind: string, until: int>>"
 MASK = "[SECRET]"
+HOT_COPIES = 100_000
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -157,11 +159,29 @@ def scan(versions: DataFrame, ledger_path: str, rules: Sequence[Rule] = RULES, p
     """(path, blob, spans) of every row of ``versions``, after its unseen blobs were scanned."""
     paths = staged(versions.select(F.col(path).alias("path"), _blob(text).alias("blob")), "paths")
     scan_new(versions, paths, ledger_path, rules, path, text)
-    found = blob_spans(versions.sparkSession, ledger_path, rules)
-    return paths.join(found, "blob", "left").select(
+    found = staged(blob_spans(versions.sparkSession, ledger_path, rules), "found")
+    return _with_spans(paths, found, paths).select(
         F.col("path").alias(path), "blob", F.coalesce("spans", F.array().cast(FOUND)).alias("spans"))
 
 
+def _with_spans(rows: DataFrame, found: DataFrame, paths: DataFrame, limit: int = BROADCAST_BYTES, hot: int = HOT_COPIES) -> DataFrame:
+    """``rows`` with the spans of their blob, or null.
+
+    ``found`` is broadcast while it is small. Beyond, only the blobs with over ``hot`` of ``paths`` are, of which
+    there are at most the number of rows by ``hot``; the rest is shuffled, and no key has more rows than that.
+    """
+    size = found.agg(F.count("*"), F.sum(F.size("spans"))).first()
+    n = size[0] + (size[1] or 0)  # a span takes less than a row is reckoned with
+    if n * 64 <= limit:
+        return rows.join(F.broadcast(found), "blob", "left")
+    copies = paths.groupBy("blob").count().where(F.col("count") > hot).select("blob")
+    common = staged(copies.join(found, "blob", "left"), "common")
+    size = common.agg(F.count("*"), F.sum(F.coalesce(F.size("spans"), F.lit(0)))).first()
+    common = broadcast_within(common, size[0] + (size[1] or 0), 64)
+    rest = rows.join(common.select("blob"), "blob", "left_anti")
+    return rows.join(common, "blob").unionByName(rest.join(found, "blob", "left"))
+
+
 def _masked(text: Column, spans: Column) -> Column:
     """``text`` with every span, or run of overlapping ones, replaced by MASK."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
@@ -182,11 +202,9 @@ def redacted(docs: DataFrame, ledger_path: str, rules: Sequence[Rule] = RULES, p
     spark = docs.sparkSession
     paths = staged(docs.select(F.col(path).alias("path"), _blob(text).alias("blob")), "paths")
     scan_new(docs, paths, ledger_path, rules, path, text)
-    found = staged(blob_spans(spark, ledger_path, rules).select(
-        F.col("blob").alias("__blob"), F.col("spans").alias("__spans")), "found")
-    size = found.agg(F.count("*"), F.sum(F.size("__spans"))).first()
-    rows = size[0] + (size[1] or 0)  # a span takes less than a row is reckoned with
-    marked = joined(docs.withColumn("__blob", _blob(text)), found, ["__blob"], "left", rows)
+    found = staged(blob_spans(spark, ledger_path, rules), "found")
+    rows = docs.select(_blob(text).alias("blob"), F.struct("*").alias("row"))
+    marked = _with_spans(rows, found, paths).select("row.*", F.col("spans").alias("__spans"))
     return marked.withColumn(
         text, F.when(F.col("__spans").isNotNull(), _masked(F.col(text), F.col("__spans"))).otherwise(F.col(text)),
-    ).drop("__blob", "__spans")
+    ).drop("__spans")

@@ -75,6 +75,18 @@ def test_pairs_committed_twice_count_once(spark):
     assert masked == {r.doc_id: r.text for r in S.redacted(docs, fresh_folder(spark, "ledger")).collect()}
 
 
+def test_spans_reach_all_copies_of_a_blob_however_they_are_joined(spark):
+    texts = TEXTS + [TEXTS[3]] * 40 + ["nothing here"] * 30
+    docs = versions(spark, texts)
+    ledger = fresh_folder(spark, "ledger")
+    want = spans_of(S.scan(docs, ledger))
+    found = S.staged(S.blob_spans(spark, ledger), "found")
+    paths = docs.select(S.F.col("doc_id").alias("path"), S._blob("text").alias("blob"))
+    for limit, hot in ((1 << 26, 10), (0, 10), (0, 0), (0, 10_000)):
+        rows = S._with_spans(paths, found, paths, limit, hot).collect()
+        assert {r.path: [(s.kind, s.begin, s.until) for s in r.spans or []] for r in rows} == want and len(rows) == len(texts)
+
+
 def test_redaction(spark):
     docs = versions(spark, TEXTS)
     got = {r.doc_id: r.text for r in S.redacted(docs, fresh_folder(spark, "ledger")).collect()}

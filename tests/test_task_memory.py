@@ -47,3 +47,13 @@ def test_term_statistics_of_a_large_batch(spark, texts, monkeypatch):
     sums = {r["term"]: (r["docs_sum"], r["words_sum"]) for r in sums}
     assert sums[""] == (8192, 8192 * 340) and len(sums) == 3001
     assert sums["w7"][0] == sum(" w7 " in f" {t} " for t in texts)
+
+
+def test_word_search_of_a_large_batch(spark, texts, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:20])], "doc_id bigint, title string")
+    asked = spark.createDataFrame([(1, "w1 w2 w3")], "qid bigint, query string")
+    saved = L.term_statistics(docs, ["title"])
+    task = task_of(monkeypatch, docs, lambda: L.lexical_search(docs, asked, ["title"], statistics=saved))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "title"])
+    found, peak = peak_of(lambda: pa.Table.from_batches(list(task([batch]))))
+    assert peak < LIMIT and found.num_rows == 200

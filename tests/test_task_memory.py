@@ -57,3 +57,27 @@ def test_word_search_of_a_large_batch(spark, texts, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "title"])
     found, peak = peak_of(lambda: pa.Table.from_batches(list(task([batch]))))
     assert peak < LIMIT and found.num_rows == 200
+
+
+def test_hashed_words_of_many_texts(texts):
+    whole, peak = peak_of(lambda: L.HashedWords(16)(texts))
+    assert peak < LIMIT
+    assert np.array_equal(whole[100:200], L.HashedWords(16)(texts[100:200]))
+
+
+MADE = []
+
+
+def count_alive(texts):
+    """A vector for each text: how many vectors the worker holds by now."""
+    alive = sum(r() is not None for r in MADE)
+    out = [np.full(1, alive + 1, np.float32) for _ in texts]
+    MADE.extend(weakref.ref(v) for v in out)
+    return out
+
+
+def test_vectors_of_a_call_are_handed_on(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).coalesce(1)
+    out = L.embed_table(docs, count_alive, 1, batch_size=100)
+    alive, rows = out.agg(F.max(F.col("embedding")[0]), F.count("*")).first()
+    assert alive <= 201 and rows == 2000

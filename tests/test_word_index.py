@@ -82,3 +82,16 @@ def test_several_blocks_of_questions(spark, built, monkeypatch):
     monkeypatch.setattr(V, "passes", lambda q: real(q, rows=4))
     assert got(L.indexed_search(index, questions, max_docs=3, page=3)) == whole
     assert F is not None
+
+
+def test_ids_are_stored_once_and_files_hold_a_bounded_number_of_postings(spark, built, tmp_path, monkeypatch):
+    docs, index = built
+    rows = index.postings(spark)
+    own = rows.where("term = ''")
+    assert rows.where("ids is not null").count() == own.count() == rows.select("block", "field").distinct().count()
+    monkeypatch.setattr(V, "PART_POSTINGS", 2000)
+    small = L.build_word_index(docs, str(tmp_path / "w"), FIELDS, block_docs=32)
+    postings = small.statistics(spark).agg(F.sum("docs")).first()[0]
+    assert len(small.postings(spark).inputFiles()) > postings / 2000 / 2
+    questions = asked(spark, QUERIES)
+    assert got(L.indexed_search(small, questions)) == got(L.indexed_search(index, questions))

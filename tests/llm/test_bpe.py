@@ -73,3 +73,12 @@ def test_query(spark):
         ids = PLAIN.encode_ordinary(docs[r.doc_id])
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
+def test_short_pieces_are_merged_without_the_cached_pairs():
+    cache = bpe.MergeCache(TABLE)
+    for piece in (b"xqzvkj", b" qqqzzx", b"w" * bpe.SHORT_PIECE):
+        assert np.frombuffer(cache[piece], "<u4").tolist() == PLAIN.encode_ordinary(piece.decode())
+    assert not cache.pairs
+    cache[b"xqzvkj" * 5]
+    assert cache.pairs

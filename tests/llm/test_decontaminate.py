@@ -166,3 +166,25 @@ def test_windows_count_for_the_broadcast(spark, monkeypatch):
     items = spark.createDataFrame([(7, "w " * 20)], "item_id bigint, text string")
     assert [r.doc_id for r in decontaminate.contaminated(docs, items).collect()] == [1]
     assert asked == [1 + 41]  # one document, a window at each of 41 places
+
+
+def test_item_index_stays_off_the_driver(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    found = D.contaminated(docs, spark.createDataFrame([(1, text)], "item_id bigint, text string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"(\w+Join) \[.*\[item_size", plan) == ["SortMergeJoin"]
+    assert [r.similarity for r in found.collect()] == [1.0]
+
+
+def test_keys_of_items_can_be_compiled(spark):
+    kinds = "size int, width int, digest struct<a: bigint, b: bigint>, code bigint, bag array<bigint>"
+    rows = spark.createDataFrame([(50, 5, (i, i), i * 12345678901, [i, i + 1]) for i in range(3)], kinds)
+    changed = {"spark.sql.codegen.fallback": "false", "spark.sql.codegen.factoryMode": "CODEGEN_ONLY"}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        assert D._keyed(rows, True, D.THRESHOLD).count() == 3 * 8 * 37
+    finally:
+        for k in changed:
+            spark.conf.unset(k)

@@ -208,3 +208,64 @@ def test_empty_and_whole_upserts_with_buckets(spark, tmp_path):
     assert L.read_vectors(spark, root).where("title = 'other'").count() == 30
     assert L.compact_vectors(spark, root).where("title = 'other'").count() == 30
     assert L.compact_vectors(spark, root).count() == 30
+
+
+def _shuffled(spark, df):
+    """Columns of the rows that exchanges of the plan move."""
+    plan = df._jdf.queryExecution().executedPlan()
+    found, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.inputPlan())
+        if node.nodeName() == "Exchange":
+            out = node.output()
+            found.append({out.apply(i).name() for i in range(out.size())})
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_documents_are_dealt_before_they_are_embedded(spark, corpus, tmp_path, monkeypatch):
+    built = []
+    monkeypatch.setattr(store, "_written", lambda df, *a, real=store._written: built.append(df) or real(df, *a))
+    table = L.build_vector_table(corpus, str(tmp_path / "few"), dim=4, buckets=4)
+    moved = _shuffled(spark, built[0])
+    assert len(moved) == 1 and "title" in moved[0] and not moved[0] & {"embedding", "embedded_text", "__text"}
+    assert {r.doc_id: r.embedded_text for r in table.collect()} == {
+        r.doc_id: r.embedded_text for r in L.with_vectors(corpus, dim=4).collect()}
+
+
+def test_compaction_moves_ids_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "BROADCAST_BYTES", 4 * 64)  # several passes
+    root = str(tmp_path / "buckets")
+    docs = spark.range(60).selectExpr("IF(id = 59, NULL, CAST(id AS string)) AS doc_id", "concat('title ', id) AS title")
+    L.build_vector_table(docs, root, dim=4, buckets=3)
+    written, merged = [], store._dealt
+    monkeypatch.setattr(store, "_dealt", lambda *a: written.append(a[3:]) or merged(*a))
+    for n in range(5):
+        new = [("7", f"seven {n}"), ("7", f"other {n}"), (f"x{n}", "new"), (None, f"none {n}"), (None, f"no {n}"), ("8", f"eight {n}")]
+        for some in (new[:4], new[3:]):
+            L.build_vector_table(spark.createDataFrame(some, "doc_id string, title string"), root, mode="upsert", dim=4)
+        read = sorted((r.doc_id or "", r.title, r.embedded_text) for r in L.read_vectors(spark, root).collect())
+        monkeypatch.setattr(store, "MOST_FILES", 32 if n < 3 else 0)  # then all buckets are crowded
+        before = len(written)
+        compact = L.compact_vectors(spark, root)
+        assert sorted((r.doc_id or "", r.title, r.embedded_text) for r in compact.collect()) == read
+        assert set(written[before:]) == ({("embedding",)} if n >= 3 else set())  # only rows of crowded buckets are dealt anew
+
+
+def test_compaction_does_not_shuffle_the_table(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "buckets")
+    docs = spark.range(50).selectExpr("CAST(id AS string) AS doc_id", "concat('title ', id) AS title")
+    L.build_vector_table(docs, root, dim=4, buckets=2)
+    L.build_vector_table(docs.limit(5).withColumn("title", F.lit("new")), root, mode="upsert", dim=4)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    plans, save = [], type(docs).write.fget
+    monkeypatch.setattr(type(docs), "write", property(lambda df: plans.append(_shuffled(spark, df)) or save(df)))
+    spark.conf.set(threshold, "-1")  # as with a table whose ids Spark reckons too many
+    try:
+        compact = L.compact_vectors(spark, root)
+    finally:
+        spark.conf.unset(threshold)
+    assert plans and not [m for found in plans for m in found if "embedding" in m]
+    assert compact.where("title = 'new'").count() == 5 and compact.count() == 50

@@ -1,5 +1,8 @@
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 
 from lectern.llm import decontaminate as D
@@ -188,3 +191,63 @@ def test_keys_of_items_can_be_compiled(spark):
     finally:
         for k in changed:
             spark.conf.unset(k)
+
+
+IN_LITTLE_MEMORY = """
+import sys
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from lectern.llm import decontaminate as D
+
+conf = {"spark.master": "local[1]", "spark.driver.memory": "600m", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2",
+        "spark.checkpoint.dir": sys.argv[1]}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+passage = " ".join(f"p{i}" for i in range(40))
+other = " ".join(f"w{i}" for i in range(1000)) + " "
+text = F.repeat(F.concat(F.repeat(F.lit(other), 50), F.lit(passage + " ")), 40)  # two million words, 40 windows
+docs = spark.range(1).select(F.col("id").alias("doc_id"), text.alias("text"))
+found = D.contaminated(D.staged(docs, "docs"), spark.createDataFrame([(7, passage)], "item_id bigint, text string")).collect()
+assert [(r.doc_id, r.item_id, r.similarity, r.start_word, r.n_words) for r in found] == [(0, 7, 1.0, 50_000, 40)], found
+"""
+
+
+def test_words_of_a_long_text_in_little_memory(tmp_path):
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_", "SPARK_"))}
+    done = subprocess.run([sys.executable, "-c", IN_LITTLE_MEMORY, str(tmp_path)], env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_pieces_hold_all_words_in_order(spark, monkeypatch):
+    monkeypatch.setattr(D, "PIECE_CHARS", 20)
+    monkeypatch.setattr(D, "PIECE_WORDS", 6)
+    rng = random.Random(1)
+    texts = [None, "", "..." * 20, "!! " * 30 + "x", "é" * 50, "a1 b2 " * 9 + "!!! " * 40, "\U0001f600 x" * 40]
+    texts += ["".join(rng.choice("ab \U0001f600.é1") for _ in range(rng.randint(1, 200))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {}
+    for r in D._pieces(docs, ["doc_id"]).orderBy("doc_id", "first").collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for n, text in enumerate(texts):
+        w = words(text)
+        assert sum((r.words[:r.own] for r in got.get(n, [])), []) == w
+        for r in got.get(n, []):
+            assert r.n_words == len(w) and r.words == w[r.first:r.first + r.own + D.SHINGLE_WORDS - 1]
+
+
+def test_windows_over_several_pieces(spark, monkeypatch):
+    monkeypatch.setattr(D, "PIECE_CHARS", 20)
+    monkeypatch.setattr(D, "PIECE_WORDS", 6)
+    test_equals_all_windows(spark)
+    test_items_that_share_an_id_or_a_text(spark)
+
+
+def test_keys_are_dealt_to_enough_tasks(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, text)], "item_id bigint, text string")
+    whole = [tuple(r) for r in D.contaminated(docs, items).collect()]
+    monkeypatch.setattr(D, "KEYS_A_TASK", 500)  # a text and an item of 56 shingles: 13 * 8 and 13 * 8 * 37 keys
+    found = D.contaminated(docs, items)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert [int(n) for n in re.findall(r"hashpartitioning\((?:item_)?key#.*, (\d+)\), REPARTITION_BY_NUM", plan)] == [8, 8]
+    assert [tuple(r) for r in found.collect()] == whole and len(whole) == 1

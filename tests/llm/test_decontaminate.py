@@ -249,5 +249,5 @@ def test_keys_are_dealt_to_enough_tasks(spark, monkeypatch):
     monkeypatch.setattr(D, "KEYS_A_TASK", 500)  # a text and an item of 56 shingles: 13 * 8 and 13 * 8 * 37 keys
     found = D.contaminated(docs, items)
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert [int(n) for n in re.findall(r"hashpartitioning\((?:item_)?key#.*, (\d+)\), REPARTITION_BY_NUM", plan)] == [8, 8]
+    assert [int(n) for n in re.findall(r"hashpartitioning\((?:item_)?size#.*key#.*, (\d+)\), REPARTITION_BY_NUM", plan)] == [8, 8]
     assert [tuple(r) for r in found.collect()] == whole and len(whole) == 1
